@@ -13,6 +13,7 @@ import json
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +169,8 @@ for _c in range(0x250):
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them; each distinct word is encoded by it once and kept."""
 
-    KEEP = 1_000_000
+    #: Ids of known words that are kept, and slots for the words; a word takes the slot that its hash says.
+    KEEP, SLOT_BITS = 8_000_000, 21
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -180,7 +182,8 @@ class Encoder:
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.bits = max(1, max(self.whole.get_vocab_size() - 1, END_ID).bit_length())
         self.word = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": splits[-1], "added_tokens": []})) if self.fast else None
-        self.kept: dict[int, bytes] = {}
+        self.key, self.used, self.flat = np.zeros(1 << self.SLOT_BITS, np.uint64), 0, np.empty(0, "<u4")
+        self.at, self.size = np.zeros(1 << self.SLOT_BITS, np.int32), np.zeros(1 << self.SLOT_BITS, np.int32)
 
     def _plain(self, text: str) -> bool:
         return self.fast and "'" not in text and _PLAIN.fullmatch(text) is not None and not any(x in text for x in self.special)
@@ -190,23 +193,31 @@ class Encoder:
         raw = np.frombuffer("\n".join([*texts, ""]).encode("utf-16-le"), np.uint16)
         low, kind = _LOWER[raw], _KIND[raw]
         cut = np.flatnonzero((np.diff(kind, prepend=0) != 0) | (kind == 2))
-        start = cut[kind[cut] > 0]
-        end = np.append(cut, len(raw))[np.searchsorted(cut, start) + 1]
+        word = np.flatnonzero(kind[cut])
+        start, end = cut[word], np.append(cut, len(raw))[word + 1]
         key = span_hash(low, start, end)
-        known, first, place = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.kept) > self.KEEP:
-            self.kept.clear()
-        keys = known.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.kept]
-        said = [low[start[j] : end[j]].tobytes().decode("utf-16-le") for j in first[new].tolist()]
-        for i, e in zip(new, self.word.encode_batch_fast(said, add_special_tokens=False)):
-            self.kept[keys[i]] = np.array(e.ids, "<u4").tobytes()
-        ids = [self.kept[k] for k in keys]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, base = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        times = size[place]
-        ends = np.cumsum(times)
-        out = flat[np.repeat(base[place] - (ends - times), times) + np.arange(times.sum())] if len(place) else flat
+        slot = (key >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        if self.used > self.KEEP:  # begin anew
+            self.key[:], self.used = 0, 0
+        new = np.flatnonzero(self.key[slot] != key)
+        times, base = self.size[slot], self.at[slot]
+        if len(new):
+            known, first, place = np.unique(key[new], return_index=True, return_inverse=True)
+            first = new[first]
+            said = [low[a:b].tobytes().decode("utf-16-le") for a, b in zip(start[first].tolist(), end[first].tolist())]
+            ids = [e.ids for e in self.word.encode_batch_fast(said, add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int32, len(ids))
+            more = np.fromiter(chain.from_iterable(ids), "<u4", int(size.sum()))
+            if self.used + len(more) > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.empty(max(len(more), self.KEEP // 4), "<u4")))
+            begin = self.used + np.cumsum(size, dtype=np.int32) - size
+            self.flat[self.used : self.used + len(more)] = more
+            self.used += len(more)
+            own = slot[first]
+            self.key[own], self.at[own], self.size[own] = known, begin, size
+            times[new], base[new] = size[place], begin[place]
+        ends = np.cumsum(times, dtype=np.int32)
+        out = self.flat[np.repeat(base - (ends - times), times) + np.arange(ends[-1], dtype=np.int32)] if len(key) else np.empty(0, "<u4")
         edge = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
         stop = np.concatenate(([0], ends))[edge].tolist()
         return [out[a:b] for a, b in zip([0, *stop[:-1]], stop)]
