@@ -152,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, ordinary:
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r[0]: r[1] for r in known.groupBy("toxic").agg(F.count("*")).collect()}
     chosen = balanced(known, "toxic", {1: toxic, 0: ordinary})
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").sort("doc_id", F.xxhash64("text")).collect()
+    # about as many ids as the sample is large, whatever the corpus
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").sort("doc_id", F.xxhash64("text")).collect()
     return train([(r["text"], r["toxic"]) for r in rows], n.get(1, 0) / max(1, sum(n.values())))
 
 
