@@ -130,17 +130,21 @@ def choose(allowed_: Column, n: Column, seed: Column, attempts: int = 4) -> Colu
 
     seed: what identifies the row. Fewer than n come back only where no attempt finds n.
     """
-    best = None
-    for t in range(attempts):
-        left, got = allowed_, _strings([])
-        for k in range(3):
-            weights = F.transform(left, lambda x: _lookup(x, {a: F.lit(w) for a, w in WEIGHTS.items()}, F.lit(0.0)))
-            one = F.try_element_at(left, weighted_choice(weights, uniform(seed, t, k)) + 1)
-            taken = (F.size(got) < n) & (F.size(left) > 0)
-            got = F.when(taken, F.array_append(got, one)).otherwise(got)
-            left = F.when(taken, F.array_except(left, _lookup(one, {a: _strings(clashes(a)) for a in KINDS}, _strings([])))).otherwise(left)
-        best = got if best is None else F.when(F.size(got) > F.size(best), got).otherwise(best)
-    return best
+    weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))
+    clash = F.create_map(*(x for k in KINDS for x in (F.lit(k), _strings(clashes(k)))))
+
+    def draw(t: Column) -> Column:
+        def step(state: Column, k: Column) -> Column:
+            at = weighted_choice(F.transform(state["left"], lambda x: F.try_element_at(weight, x)), uniform(seed, t, k))
+            one = F.try_element_at(state["left"], at + 1)
+            after = F.struct(F.array_except(state["left"], F.try_element_at(clash, one)).alias("left"), F.array_append(state["got"], one).alias("got"))
+            return F.when((F.size(state["got"]) < n) & (F.size(state["left"]) > 0), after).otherwise(state)
+
+        start = F.struct(allowed_.alias("left"), F.array().cast("array<string>").alias("got"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2)), start, step, lambda s: s["got"])
+
+    tries = F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), lambda t: F.struct((F.size(draw(t))).alias("n"), (-t).alias("t"), draw(t).alias("got")))
+    return F.array_max(tries)["got"]
 
 
 def _between(seed: Column, name: str, low: int, high: int) -> Column:

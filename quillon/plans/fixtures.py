@@ -16,7 +16,7 @@ SFT_SQL = """
 sft AS (
   SELECT d.doc_id AS ord, CAST(d.doc_id AS VARCHAR) AS id, d.source, split_part(d.text, chr(10), 1) AS question,
     CASE WHEN strpos(d.text, chr(10)) > 0 THEN substr(d.text, strpos(d.text, chr(10)) + 1) ELSE '' END AS answer,
-    CASE WHEN d.doc_id % 17 = 0 THEN NULL ELSE (d.doc_id % 11) - 4 + 0.5 * coalesce(l.quality, 0) - 2.0 * coalesce(l.toxic, 0) END AS reward
+    CAST(CASE WHEN d.doc_id % 17 = 0 THEN NULL ELSE (d.doc_id % 11) - 4 + 0.5 * coalesce(l.quality, 0) - 2.0 * coalesce(l.toxic, 0) END AS DOUBLE) AS reward
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 )"""
 

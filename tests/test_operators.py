@@ -1,0 +1,208 @@
+"""Rules, invariants and golden values of the table operators."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.operators import membership, metrics, quality, restructure, rewards, sampling, validate
+from quillon.sources import io
+
+
+def test_inspection(spark):
+    rows = [
+        (1, "q", "an answer", 2.0), (2, " ", "a", 1.0), (3, "q", "", None), (4, "Same text", "same TEXT!", 7.0), (5, "q", "a�", 1.0),
+        (6, "q", "[姓名] x", 1.0), (7, "a question of more than 24 letters", "short", -7.0), (8, "q", "x" * 4001, 0.99), (9, "q", "作为ChatGPT x", 1.0), (10, "abc def ghi", "def", 0.0), (11, None, None, float("nan")),
+    ]
+    got = {r.ord: r for r in quality.inspected(spark.createDataFrame(rows, "ord int, question string, answer string, reward double")).collect()}
+    assert (got[1].hard, got[1].flags, got[1].score) == ([], [], 54.0)
+    assert got[2].hard == ["empty_question"] and got[3].hard == ["empty_answer", "invalid_reward"] and got[3].score == 0
+    assert got[4].hard == ["question_equals_answer"] and got[4].score == 50.0
+    assert got[5].hard == ["invalid_unicode_replacement"] and got[6].hard == ["unresolved_placeholder"]
+    assert got[7].flags == ["negative_reward", "very_short_answer"] and got[7].score == 20.0
+    assert got[8].flags == ["low_reward", "very_long_sample"] and got[8].score == 44.98
+    assert got[9].flags == ["assistant_self_identification"] and got[10].flags == ["low_reward", "answer_copied_from_prompt"]
+    assert got[11].hard == ["empty_question", "empty_answer", "invalid_reward"]
+
+
+def test_dedup(spark):
+    df = spark.createDataFrame([(3, "a", "x"), (1, "a", "y"), (2, "", "z"), (4, "b", "w"), (5, None, "v")], "ord int, k string, v string")
+    assert [(r.ord, r.k) for r in quality.first_wins(df, "k", "ord").orderBy("ord").collect()] == [(1, "a"), (4, "b")]
+    last = {r.k: (r.ord, r.first_place) for r in quality.last_wins(df, "k", "ord").collect()}
+    assert last["a"] == (3, 1) and last["b"] == (4, 4)
+
+
+def test_allocation():
+    assert sampling.allocation(2100, {1: 0.70, 2: 0.20, 3: 0.10}) == {1: 1470, 2: 420, 3: 210}
+    assert sampling.allocation(2100, {1: 0.35, 2: 0.45, 3: 0.20}) == {1: 735, 2: 945, 3: 420}
+    shares = {"general_instruction": 0.35, "knowledge_qa": 0.32, "creative_writing": 0.07, "dialogue_roleplay": 0.10, "extraction_classification": 0.07, "rewrite_summary": 0.06, "translation": 0.03}
+    assert list(sampling.allocation(2100, shares).values()) == [735, 672, 147, 210, 147, 126, 63]
+    assert sampling.allocation(1, {"a": 0.5, "b": 0.5}) == {"a": 1, "b": 0}
+
+
+def test_allocate_by_stratum():
+    rng = random.Random(3)
+    for _ in range(60):
+        sizes = {f"s{i}": rng.randint(1, 60) for i in range(rng.randint(1, 9))}
+        cap = {k: max(1, n // 3) for k, n in sizes.items()}
+        target = rng.randint(len(sizes), sum(cap.values()))
+        got = sampling.allocate_by_stratum(sizes, target, 1, cap)
+        assert sum(got.values()) == target and all(1 <= got[k] <= cap[k] for k in sizes)
+    with pytest.raises(ValueError):
+        sampling.allocate_by_stratum({"a": 3}, 4)
+    assert sampling.allocate_by_stratum({"a": 10, "b": 10}, 3) == {"a": 1, "b": 2}
+
+
+def test_select_datasets(spark):
+    df = spark.range(400).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("k"), (F.col("id") % 5).cast("string").alias("bucket"), F.lit("x").alias("length_bucket"), F.rand(1).alias("score"))
+    rows = sampling.select_datasets(df, ["bucket", "length_bucket"], 200, 50).collect()
+    sets = {n: {r.ord for r in rows if n in r.sets} for n in ("full", "clean", "raw")}
+    assert (len(sets["full"]), len(sets["clean"]), len(sets["raw"])) == (200, 50, 50)
+    assert sets["clean"] <= sets["full"] and not sets["raw"] & sets["full"]
+
+
+def test_split_and_draws(spark):
+    assert [sampling.split_size(n, 0.05) for n in (1, 10, 50)] == [1, 1, 2]
+    df = spark.range(100).select(F.col("id").cast("string").alias("id"), F.lit(1.0).alias("weight"))
+    a = {r.id for r in sampling.hash_split(df).filter("split = 'validation'").collect()}
+    b = {r.id for r in sampling.hash_split(df.repartition(7)).filter("split = 'validation'").collect()}
+    assert len(a) == 5 and a == b
+    drawn = sampling.repeat_sampler(df.limit(8), 2, 4, 4).collect()
+    assert len(drawn) == 32 and len({r.id for r in drawn}) == 2
+    assert sampling.shuffled_ids(range(5)) == sampling.shuffled_ids([4, 3, 2, 1, 0])
+    w = spark.createDataFrame([(str(i), 10.0 if i < 50 else 1.0) for i in range(100)], "id string, weight double")
+    heavy = sum(int(r.id) < 50 for s in range(5) for r in sampling.weighted_without_replacement(w, 20, step=s).collect())
+    assert heavy > 75
+    got = spark.range(1).select(*(sampling.weighted_choice(F.array(F.lit(1.0), F.lit(3.0)), F.lit(u)) for u in (0.1, 0.25, 0.26, 1.0))).first()
+    assert list(got) == [0, 0, 1, 1]
+    with pytest.raises(ValueError):
+        sampling.quota_top(df.withColumn("s", F.lit("a")), "s", {"a": 101})
+    assert [r.id for r in sampling.required_first(df.withColumn("ord", F.col("id").cast("long")), ["7", "3"], 50, 4).collect()] == ["7", "3", "50", "51"]
+
+
+def test_messages_contract(spark):
+    m = "array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")]), (2, [("robot", "q")]), (3, [("user", None)]), (4, []), (5, None)], f"i int, m {m}")
+    got = {r.i: r.c for r in df.select("i", validate.sft_codes(F.col("m")).alias("c")).collect()}
+    assert got == {1: [], 2: ["invalid_role", "last_not_assistant"], 3: ["content_missing", "last_not_assistant"], 4: ["messages_missing", "last_not_assistant"], 5: ["messages_missing", "last_not_assistant"]}
+    js = ['{"messages":[{"role":"assistant","content":null}]}', '{"messages":[{"role":"assistant"}]}', "{", '{"messages":[{"role":"assistant","content":3}]}']
+    codes = [r[0] for r in spark.createDataFrame([(j,) for j in js], "j string").select(validate.validate_json(F.col("j"))).collect()]
+    assert codes == [[], ["content_missing"], ["invalid_json"], ["content_not_text"]]
+
+
+def test_token_arrays(spark):
+    lit = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<int>")
+    one = lambda *c: list(spark.range(1).select(*c).first())
+    p, ids = [101, 102, 103], [101, 102, 103, 201, 202, 203]
+    assert one(restructure.label_mask(lit(p), lit(ids)), restructure.label_mask(lit([9]), lit(ids))) == [[-100, -100, -100, 201, 202, 203], None]
+    codes = lambda i, m, l, n: one(validate.tokenized_codes(lit(i), lit(m), lit(l), n))[0]  # noqa: E731, E741
+    assert codes(ids, [1] * 6, [-100] * 5 + [203], 6) == [] and codes(ids, [1] * 6, [-100] * 6, 5) == ["length_out_of_range", "nothing_supervised"]
+    assert codes(ids, [1] * 5, [7] * 6, 6) == ["lengths_differ", "label_not_its_token"]
+    df = spark.createDataFrame([([1, 5, 2, 9, 3],), ([5, 1, 2, 3],), ([1, 2],)], "ids array<int>")
+    assert [r[0] for r in df.select(validate.structure_codes(F.col("ids"), 1, 2, 3)).collect()] == [[], ["not_opened_first"], ["no_end"]]
+    df = spark.createDataFrame([([1, 2, 1, 2, 3], [1, 2]), ([1], [1, 2]), ([1, 2], [])], "ids array<int>, part array<int>")
+    assert [r[0] for r in df.select(validate.last_subsequence(F.col("ids"), F.col("part"))).collect()] == [2, -1, -1]
+    df = spark.createDataFrame([([3, 4, 3], [3, -100, -100]), ([4], [4])], "ids array<int>, l array<int>")
+    assert [r[0] for r in df.select(validate.last_supervised_end(F.col("ids"), F.col("l"), 3)).collect()] == [0, -1]
+
+
+def test_rewards(spark):
+    parts = lambda xs: list(spark.createDataFrame([(xs,)], "r array<boolean>").select(*(F.round(c, 4) for c in rewards.reward_parts(F.col("r")))).first())
+    assert parts([True, True, False]) == [0.6667, 0.0, 0.4667] and parts([True]) == [1.0, 1.0, 1.0] and parts([]) == [0.0, 0.0, 0.0] and parts(None) == [0.0, 0.0, 0.0]
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 0.5)], "g string, reward double")
+    adv = sorted((r.g, round(r.advantage, 4)) for r in rewards.group_advantages(df, ["g"]).collect())
+    assert adv == [("a", -0.9999), ("a", 0.0), ("a", 0.9999), ("b", 0.0)]
+    assert {r.g: r.z for r in df.groupBy("g").agg(rewards.zero_variance().alias("z")).collect()} == {"a": False, "b": True}
+    loss = lambda a, b: spark.createDataFrame([(a, b)], "l array<array<double>>, w array<array<double>>").select(rewards.token_loss(F.col("l"), F.col("w"))).first()[0]
+    assert loss([[-1.0, -1.25]], [[1.0, 1.0]]) == -1.125 and loss([[1.0]], [[0.0]]) == 0.0
+    with pytest.raises(Exception, match="differ in number"):
+        loss([[1.0]], [[1.0, 2.0]])
+    texts = [("<think>r</think>a",), ("a only",), ("<think>r",), ("",)]
+    got = [tuple(r.c) for r in spark.createDataFrame(texts, "t string").select(rewards.completion_parts(F.col("t")).alias("c")).collect()]
+    assert got == [("a", False, False), ("a only", True, True), (None, True, False), (None, True, False)]
+
+
+def test_emas_and_weights(spark):
+    rows = [("k", 0, 0.5), ("k", 1, 1.0), ("s", 0, 0.5), ("s", 1, 0.5), ("s", 2, 0.5), ("s", 3, 0.51), ("s", 4, 0.6)]
+    got = {(r.category, r.step): r for r in rewards.emas(spark.createDataFrame(rows, "category string, step long, rate double")).collect()}
+    assert math.isclose(got["k", 1].slow, 0.55) and got["k", 1].fast == 0.75
+    assert [got["s", i].stagnant for i in range(5)] == [0, 1, 2, 3, 0]
+    prompts = spark.createDataFrame([("p", ["keywords"]), ("q", ["startend"])], "id string, categories array<string>")
+    weigh = lambda sig: {r.id: r.weight for r in rewards.prompt_weights(prompts, spark.createDataFrame(sig, "category string, learnability double")).collect()}
+    assert weigh([("keywords", 0.3), ("startend", 0.0)]) == {"p": 1.0, "q": 0.5}
+    assert weigh([("keywords", 0.3)]) == {"p": 0.75, "q": 1.0}
+    assert weigh([("other", 0.3)]) == {"p": 1.0, "q": 1.0} and weigh([("keywords", 0.0), ("startend", 0.0)]) == {"p": 1.0, "q": 1.0}
+    steps = [r[0] for r in spark.createDataFrame([(s,) for s in (0, 19, 20, 21, 40)], "s int").select(rewards.refresh_step(F.col("s"))).collect()]
+    assert steps == [None, None, 20, 20, 40]
+    run = rewards.runs(spark.createDataFrame([(0, True), (1, True), (2, False), (3, True)], "i int, f boolean"), F.col("f"), "i").orderBy("i").collect()
+    assert [r.run for r in run] == [1, 2, 0, 1]
+
+
+def test_metrics(spark):
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 1, 2, 3, 3, 5])], "i int, v double")
+    got = [r.percentile for r in metrics.midrank_percentile(df, "v").orderBy("i").collect()]
+    assert got == [0.1, 0.1, 0.4, 0.7, 0.7, 1.0]
+    asked = spark.createDataFrame([(0.0,), (1.0,), (4.0,), (9.0,)], "v double")
+    assert [r.percentile for r in metrics.percentile_of(asked, df, "v").orderBy("v").collect()] == [0.0, 0.1, 1.0, 1.0]
+    turns = spark.createDataFrame([(1, [True, False], [True, True]), (1, [], []), (2, [], [])], "turn int, strict array<boolean>, loose array<boolean>")
+    r1, r2 = metrics.turn_metrics(turns).orderBy("turn").collect()
+    assert (r1.n_prompts, r1.n_instructions, r1.strict_prompt, r1.strict_instruction, r1.overall) == (2, 2, 0.5, 0.5, 0.75) and r2.strict_instruction is None
+    tries = spark.createDataFrame([("a", 0, False, False, "x"), ("a", 1, True, False, "y"), ("b", 0, False, False, "z"), ("b", 1, False, False, None), ("c", 0, False, True, "w"), ("c", 1, True, False, "v")], "id string, attempt int, passed boolean, broken boolean, text string")
+    assert {r.id: (r.accepted, r.attempts, r.text) for r in metrics.first_success(tries).collect()} == {"a": (True, 2, "y"), "b": (False, 2, "z"), "c": (False, 1, "w")}
+
+
+def test_membership(spark):
+    ids = lambda xs: spark.createDataFrame([(x,) for x in xs], "k long")
+    a, b = ids([1, 2, 3]), ids([3, 4])
+    assert not membership.is_disjoint(a, b, "k") and membership.is_subset(ids([1]), a, "k") and not membership.is_subset(b, a, "k")
+    assert membership.is_partition(ids([1, 2, 3, 4]), [ids([1, 2]), b], "k") and not membership.is_partition(ids([1, 2, 3, 4]), [a, b], "k")
+    with pytest.raises(ValueError, match="4"):
+        membership.ordered_lookup(a, b.withColumn("place", F.col("k")), "k")
+    assert membership.same_counts(a, ids([3, 2, 1]), ["k"]) and not membership.same_counts(a, b, ["k"])
+
+
+def test_shapes(spark):
+    src = "struct<from:string,value:string>"
+    rows = [("1", "zh-cn", None, 2.0, [("human", " q "), ("gpt", "a")], (["x"], None)), ("2", "en", "s", 1.0, [("human", "q"), ("gpt", "a")], None), ("3", "zh-cn", "s", 1.0, [("human", "q"), ("gpt", " ")], None)]
+    df = spark.createDataFrame(rows, f"id string, langdetect string, source string, reward double, conversations array<{src}>, label struct<ability_zh:array<string>,cate_ability_zh:array<string>>")
+    (r,) = restructure.from_source(df).collect()
+    assert r.messages[0].content == "q" and r.metadata.source == "unknown" and r.metadata.ability == ["x"] and r.metadata.category == []
+    lit, arr = F.lit, F.array(F.lit("t1"), F.lit("t2"))
+    roles = [[m.role for m in spark.range(1).select(restructure.constrained_messages(lit(n), lit("q"), lit("a"), arr, "H", ("bu", "ba"), "R")).first()[0]] for n in (1, 2, 3)]
+    assert roles == [["user"], ["user", "assistant", "user"], ["user", "assistant", "user", "assistant", "user"]]
+    (m,) = spark.range(1).select(restructure.constrained_messages(lit(1), lit("q"), lit("a"), arr, "H", ("bu", "ba"), "R")).first()[0]
+    assert m.content == "q\n\nH\n1. t1\n2. t2"
+    got = spark.range(1).select(restructure.parse_constraints(lit('["a"]'), lit('["{\\"n\\": \\"2\\"}"]')), restructure.parse_message(lit("None")), restructure.without_nulls(F.create_map(lit("a"), lit(None).cast("string"), lit("b"), lit("x")))).first()
+    assert got[0][0].args == {"n": "2"} and got[1] is None and got[2] == {"b": "x"}
+
+
+def test_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ä\n\"x\"", None), (2, "y", "z")], "id int, a string, b string")
+    io.write_jsonl(df, f"{tmp_path}/j")
+    with pytest.raises(Exception, match="EXISTS"):
+        io.write_jsonl(df, f"{tmp_path}/j")
+    assert sorted(map(tuple, io.read_jsonl(spark, f"{tmp_path}/j", df.schema).collect())) == sorted(map(tuple, df.collect()))
+    io.write_jsonl(df, f"{tmp_path}/j", "append")
+    assert io.read_jsonl_last(spark, f"{tmp_path}/j", df.schema, "id", "a").count() == 2
+    (tmp_path / "cut.jsonl").write_text('{"id": 1, "a": "x"}\n\n{"id": 2, "a')
+    good, bad = io.read_jsonl_tolerant(spark, f"{tmp_path}/cut.jsonl", df.schema)
+    assert good.count() == 1 and bad.count() == 1
+    with pytest.raises(Exception):
+        io.read_jsonl(spark, f"{tmp_path}/cut.jsonl", df.schema).collect()
+    (tmp_path / "b.csv").write_text('﻿id,a\n1,"x\n""y"""\n', encoding="utf-8")
+    (r,) = io.read_csv(spark, f"{tmp_path}/b.csv").collect()
+    assert (r.id, r.a) == ("1", 'x\n"y"')
+    io.write_csv(df, f"{tmp_path}/c")
+    assert {r.a for r in io.read_csv(spark, f"{tmp_path}/c").collect()} == {'ä\n"x"', "y"}
+    io.write_splits(df.withColumn("split", F.lit("train")), f"{tmp_path}/s")
+    assert io.read_splits(spark, f"{tmp_path}/s", "train").count() == 2
+    with pytest.raises(ValueError, match="validation"):
+        io.read_splits(spark, f"{tmp_path}/s", "train", "validation")
+    assert io.row_set_fingerprint(df).first() == io.row_set_fingerprint(df.orderBy(F.desc("id"))).first()
+    made = io.write_manifest(spark, f"{tmp_path}/m.json", {"n": metrics.distribution(df, "a"), "ok": True})
+    assert made["ok"] and '"ok": true' in io.read_text(spark, f"{tmp_path}/m.json")
+    with pytest.raises(Exception):
+        io.write_manifest(spark, f"{tmp_path}/m.json", {})
+    once = io.with_section("# t", "x", "a")
+    assert io.with_section(once, "x", "a") == once and "b" in io.with_section(once, "x", "b") and io.first_source(spark, f"{tmp_path}/none", f"{tmp_path}/s").count() == 2
