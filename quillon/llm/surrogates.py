@@ -226,19 +226,19 @@ def _mentions(batches):
 def pseudonymised(docs: DataFrame, key: bytes = b"quillon", to_all: int = REDRAWN_TO_ALL) -> DataFrame:
     """docs with text replaced, and n_entities, kinds (of each entity, in order) and spans (the surrogates' places in the new text).
 
-    Null texts stay null, texts without entities as they are. Columns of docs named like the three are replaced. The
+    Null texts stay null, texts without entities as they are. Columns of docs named like the three (or _redrawn, _hash) are replaced. The
     key decides all surrogates: keep it secret. Repeated rows get the same text.
     """
-    docs = docs.drop(*(f.name for f in FIELDS), "_redrawn")
+    docs = docs.drop(*(f.name for f in FIELDS), "_redrawn", "_hash")
     names, schema = docs.columns, T.StructType([*docs.schema.fields, *FIELDS])
     again = written(redrawn(docs, key), "redrawn")
     if again.count() <= to_all:
         sent = {(r["kind"], r["entity"]): r["attempt"] for r in again.collect()}
         return docs.mapInArrow(_applied(key, names, sent), schema)
-    hashed = docs.withColumn("h", F.xxhash64("text"))
-    told = hashed.select("h", "text").mapInArrow(_mentions, "h long, kind string, entity string").distinct().join(again, ["kind", "entity"])
-    told = told.groupBy("h").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_redrawn"))
-    return hashed.join(told, "h", "left").drop("h").mapInArrow(_applied(key, names, None), schema)
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    told = hashed.select(F.col("_hash").alias("h"), "text").mapInArrow(_mentions, "h long, kind string, entity string").distinct().join(again, ["kind", "entity"])
+    told = told.groupBy(F.col("h").alias("_hash")).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_redrawn"))
+    return hashed.join(told, "_hash", "left").drop("_hash").mapInArrow(_applied(key, names, None), schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

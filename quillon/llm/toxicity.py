@@ -109,7 +109,8 @@ class Model:
         if not self.weights:
             return np.full(len(texts), self.floor)
         x = (self.features(texts) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        # summed row by row: a matrix product would round a text's score by the texts beside it
+        return 1 / (1 + np.exp(-np.clip((x * self.weights[:-1]).sum(1) + self.weights[-1], -30, 30)))
 
 
 def _calibrated(model: Model, texts: list[str], y: np.ndarray) -> float:
