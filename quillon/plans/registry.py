@@ -24,4 +24,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from quillon.plans import q_adaptive, q_chat, q_checks, q_curation, q_metrics, q_sampling, q_terms  # noqa: E402, F401
+from quillon.plans import q_adaptive, q_chat, q_checks, q_curation, q_gates, q_metrics, q_sampling, q_terms  # noqa: E402, F401
