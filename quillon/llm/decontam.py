@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.shared import slices, written
+from quillon.llm.shared import pieces, slices, written
 from quillon.llm.words import ALNUM, Words, mix, words
 
 WINDOW = 10
@@ -163,7 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         def run(batches, tables=tables, again=k > 0):
             arrow = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
-            for batch in batches:
+            for batch in pieces(batches):
                 found = search(batch.column(text).to_pylist(), tables)
                 if again:
                     old = zip(batch.column("hit_spans").to_pylist(), batch.column("item_ids").to_pylist())

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.samples import balanced, held_out
-from quillon.llm.shared import slices
+from quillon.llm.shared import pieces, slices
 
 BUCKETS_BITS, SIZES, WIDTH = 16, (2, 3, 4), 16
 #: Rows of each language that are fitted on, at most about.
@@ -140,7 +140,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = model.predict(batch.column("text").to_pylist())
             more = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + more, [*names, "lang_pred", "score", "rejected"])

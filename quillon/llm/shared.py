@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that one pass of a vectorised kernel takes at once; a longer text goes alone.
@@ -35,6 +37,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most limit bytes of text, or one row: what a task holds as Python objects stays small however long texts are."""
+    for batch in batches:
+        at = size = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if i > at and size + n > limit:
+                yield batch.slice(at, i - at)
+                at, size = i, 0
+            size += n
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
 def slices(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts that together have at most limit characters, or hold one text."""
     at = size = 0

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.shared import written
+from quillon.llm.shared import pieces, written
 
 #: Entities drawn again that may be sent to all tasks; more are joined to the documents instead.
 REDRAWN_TO_ALL = 100_000
@@ -157,7 +157,7 @@ def surrogate(key: bytes, kind: str, text: str, attempt: int = 0) -> str:
 
 
 def _found(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         seen = {(k, t[a:b]) for t in batch.column("text").to_pylist() for a, b, k in entities(t)}
         yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in seen], pa.string()), "entity": pa.array([e for _, e in seen], pa.string())})
 
@@ -196,7 +196,7 @@ def _applied(key: bytes, names: list[str], to_all: dict | None):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             own = batch.column("_redrawn").to_pylist() if to_all is None else None
             texts, kinds, spans = [], [], []
             for i, t in enumerate(batch.column("text").to_pylist()):
@@ -218,7 +218,7 @@ def _applied(key: bytes, names: list[str], to_all: dict | None):
 
 
 def _mentions(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         rows = [(h, k, t[a:b]) for h, t in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()) for a, b, k in entities(t)]
         yield pa.RecordBatch.from_pydict({"h": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.string()), "entity": pa.array([r[2] for r in rows], pa.string())})
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.samples import balanced, held_out
+from quillon.llm.shared import pieces
 
 #: Rows that are fitted on, at most about: half for the dictionaries, half for calibration.
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2400, 4800
@@ -95,8 +96,8 @@ class Model:
 
         return of(self.base), of(self.base + self.toxic)
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        plain, toxic = self.compressors()
+    def features(self, texts: list[str | None], made=None) -> np.ndarray:
+        plain, toxic = made or self.compressors()
         out = []
         for t in texts:
             b = b" " + b" ".join(_words(t)) + b" "
@@ -105,10 +106,10 @@ class Model:
             out.append([d.max(), np.sort(d)[-3:].mean(), d.mean(), *(20 * x / len(d) for x in over), *(math.log1p(x) for x in over[1:]), math.log1p(len(d))])
         return np.array(out).reshape(len(texts), -1)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: list[str | None], made=None) -> np.ndarray:
         if not self.weights:
             return np.full(len(texts), self.floor)
-        x = (self.features(texts) - self.mean) / self.scale
+        x = (self.features(texts, made) - self.mean) / self.scale
         # summed row by row: a matrix product would round a text's score by the texts beside it
         return 1 / (1 + np.exp(-np.clip((x * self.weights[:-1]).sum(1) + self.weights[-1], -30, 30)))
 
@@ -164,9 +165,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
-            made = pa.array(model.score(batch.column("text").to_pylist()).tolist(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [made], [*names, "toxic_score"])
+        made = model.compressors()
+        for batch in pieces(batches):
+            score = pa.array(model.score(batch.column("text").to_pylist(), made).tolist(), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [score], [*names, "toxic_score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import slices, written
+from quillon.llm.shared import pieces, slices, written
 from quillon.llm.words import span_hash
 
 SHARD_IDS = 1 << 20
@@ -261,7 +261,7 @@ def _writer(path: str, end_id: int, shard_ids: int):
             row = (part, seq, ids, [len(x) for x in held], size, WaveletMatrix.of(np.concatenate(held), max(code.bits, int(end_id).bit_length())).to_bytes())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
 
-        for batch in batches:
+        for batch in pieces(batches):
             texts, docs = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in slices(texts):
                 for d, x in zip(docs[a:b], code.encode(texts[a:b])):
