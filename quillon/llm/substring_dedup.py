@@ -26,7 +26,9 @@ from quillon.llm.shared import slices
 from quillon.llm.words import SPACED, words
 
 WINDOW, BLOCK = 13, 7  # 2 * BLOCK - 1 <= WINDOW: each window holds a whole block
-UNIT_CHARS, PART_RUNS = 8_000_000, 2_000_000
+#: Characters of a unit and runs of a part, at least and at most. They grow with the corpus, so that what a unit sends to a part does
+#: not shrink to a few hashes: parts and units multiply.
+UNIT_CHARS, PART_RUNS = (4_000_000, 64_000_000), (2_000_000, 16_000_000)
 LAST = (1 << 63) - 1
 
 
@@ -166,6 +168,10 @@ def _kept(with_text: bool):
     return fn
 
 
+def _within(n: int, bounds: tuple[int, int]) -> int:
+    return max(bounds[0], min(bounds[1], n))
+
+
 def drop_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and (with_text) kept, the words left, joined by one space.
 
@@ -175,8 +181,8 @@ def drop_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    units = -(-chars // UNIT_CHARS) or 1
-    parts = -(-chars // (6 * PART_RUNS)) or 1
+    units = -(-chars // _within(chars // 4000, UNIT_CHARS)) or 1
+    parts = -(-chars // (6 * _within(chars // 25_000, PART_RUNS))) or 1
     bits = min(62, max(24, math.ceil(math.log2(chars + 2))) + 8)
     units_of = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)).alias("unit"), "doc_id", "text")
     by_unit = units_of.groupBy("unit")

@@ -314,8 +314,8 @@ def test_wu_manber_against_definition():
 
 
 def test_repeats(spark, docs, corpus, none, clash, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "UNIT_CHARS", 5_000)
-    monkeypatch.setattr(substring_dedup, "PART_RUNS", 500)
+    monkeypatch.setattr(substring_dedup, "UNIT_CHARS", (5_000, 5_000))
+    monkeypatch.setattr(substring_dedup, "PART_RUNS", (500, 500))
     for rows in (corpus, [(None if i % 7 == 0 else i // 2, t) for i, t in corpus] + corpus[:20]):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.drop_repeats(df).collect()))
