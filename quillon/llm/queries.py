@@ -62,7 +62,63 @@ QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_imatch, op3_ngram_join,
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_ESCAPED = r"regexp_replace({}, '([<\[\\])', '\1\\', 'g')"
+_PROBE = "'</s>[INST] ok [/INST]'"
+
 ORACLE_SQL = {
+    "op1_chat_windows": rf"""
+WITH turn AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', {_PROBE} UNION ALL SELECT -1, 1, 'assistant', {_PROBE}
+), a AS (
+  SELECT *, length('[INST]' || {_ESCAPED.format("role")} || '[/INST]' || {_ESCAPED.format("t")} || '</s>') AS chars,
+    len(regexp_extract_all(t, '[\pL\pM\p{{Nd}}\p{{Pc}}]+|[^\pL\pM\p{{Nd}}\p{{Pc}}\s]')) + 8 AS tokens FROM turn
+), b AS (
+  SELECT *, row_number() OVER o AS place, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS upto,
+    first_value(CASE WHEN role = 'system' THEN chars END IGNORE NULLS) OVER (o ROWS UNBOUNDED PRECEDING) AS sys_chars,
+    first_value(CASE WHEN role = 'system' THEN tokens END IGNORE NULLS) OVER (o ROWS UNBOUNDED PRECEDING) AS sys_tokens
+  FROM a WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t)
+), c AS (
+  SELECT *, greatest(1, (1024 - 256 - coalesce(sys_tokens, 0)) // 2) AS room FROM b
+), d AS (
+  SELECT *, (upto - 1) // room AS stretch, tokens > room AS long FROM c
+), e AS (
+  SELECT *, place = 1 OR stretch <> lag(stretch) OVER o OR long OR lag(long) OVER o OR room <> lag(room) OVER o AS new, lag(sys_chars) OVER o AS known,
+    lag(role) OVER o AS r1, lag(chars) OVER o AS c1, lag(tokens) OVER o AS t1, lag(role, 2) OVER o AS r2, lag(chars, 2) OVER o AS c2, lag(tokens, 2) OVER o AS t2
+  FROM d WINDOW o AS (PARTITION BY conv_id ORDER BY place)
+), f AS (
+  SELECT *, chars + CASE WHEN NOT new THEN 0 ELSE 3 + coalesce(known, 0) + CASE WHEN r1 IS NULL OR r1 = 'system' OR t1 > 256 THEN 0
+    ELSE c1 + CASE WHEN r2 IS NULL OR r2 = 'system' OR t1 + t2 > 256 THEN 0 ELSE c2 END END END AS out_chars FROM e
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(length(coalesce(string_agg(t, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(out_chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+""",
+    "op3_ngram_join": f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, text, {_WORDS.format("lower(text)")} AS w FROM documents WHERE text <> ''
+), gram AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM doc WHERE len(w) > 0)
+  UNION ALL SELECT doc_id, chr(1) || text FROM doc WHERE len(w) = 0
+), own AS (
+  SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id
+), link AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM gram x JOIN gram y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN own p ON p.doc_id = x.doc_id JOIN own q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING count(*) / (p.n + q.n - count(*)) >= 0.8
+), reach(a, b) AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+), class AS (
+  SELECT a AS doc_id, min(b) AS least_of FROM reach GROUP BY a
+), many AS (
+  SELECT a AS doc_id, count(*) AS n FROM link GROUP BY a
+), copy AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE chr(1) || text END) AS copy_id FROM doc
+)
+SELECT d.doc_id, least(d.doc_id, coalesce(class.least_of, d.doc_id)) AS class_id, coalesce(copy.copy_id, d.doc_id) AS copy_id, coalesce(many.n, 0) AS n_links
+FROM documents d LEFT JOIN class ON class.doc_id = d.doc_id LEFT JOIN many ON many.doc_id = d.doc_id LEFT JOIN copy ON copy.doc_id = d.doc_id
+""",
     "op7_decontaminate": f"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS id, {_WORDS.format(_LOWER.format("text"))} AS w FROM benchmark
