@@ -95,7 +95,7 @@ def constraint_loose(spark, sf_dir):
 _MET = "len(list_filter(strict, lambda x: x))"
 
 
-@query(f"WITH {_CHECKED} SELECT doc_id, round({_MET} / 6.0, 6) AS instruction, CASE WHEN {_MET} = 6 THEN 1.0 ELSE 0.0 END AS prompt, round(0.7 * {_MET} / 6.0 + 0.3 * CASE WHEN {_MET} = 6 THEN 1 ELSE 0 END, 6) AS core FROM k")
+@query(f"WITH {_CHECKED} SELECT doc_id, round({_MET} / 6.0, 6) AS instruction, CAST(CASE WHEN {_MET} = 6 THEN 1 ELSE 0 END AS DOUBLE) AS prompt, round(0.7 * {_MET} / 6.0 + 0.3 * CASE WHEN {_MET} = 6 THEN 1 ELSE 0 END, 6) AS core FROM k")
 def reward_score(spark, sf_dir):
     rows = _checked(spark, sf_dir)
     rows = rows.withColumn("s", checkers.strict_results(F.col("r"), F.col("kinds"), F.col("args")))
@@ -121,7 +121,7 @@ def category_pass_rates(spark, sf_dir):
     return rewards.category_rates(rows, "kinds", "s").withColumn("rate", F.round("rate", 6))
 
 
-@query(f"WITH {_CHECKED} SELECT doc_id % 3 + 1 AS turn, count(*) AS n_prompts, sum(len(strict)) AS n_instructions, round(avg(CASE WHEN {_MET} = 6 THEN 1 ELSE 0 END), 6) AS strict_prompt, round(sum({_MET}) / sum(len(strict)), 6) AS strict_instruction FROM k GROUP BY 1")
+@query(f"WITH {_CHECKED} SELECT doc_id % 3 + 1 AS turn, count(*) AS n_prompts, CAST(sum(len(strict)) AS BIGINT) AS n_instructions, round(avg(CASE WHEN {_MET} = 6 THEN 1 ELSE 0 END), 6) AS strict_prompt, round(sum({_MET}) / sum(len(strict)), 6) AS strict_instruction FROM k GROUP BY 1")
 def per_turn_metrics(spark, sf_dir):
     from quillon.operators.metrics import turn_metrics
 

@@ -114,7 +114,7 @@ def resume_anti(spark, sf_dir):
 _A, _B = "SELECT o_custkey AS id FROM orders WHERE o_totalprice > 200000", "SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0"
 
 
-@query(f"SELECT 'union' AS op, count(*) AS n, sum(id) AS s FROM ({_A} UNION {_B}) UNION ALL SELECT 'intersect', count(*), sum(id) FROM ({_A} INTERSECT {_B}) UNION ALL SELECT 'except', count(*), sum(id) FROM ({_A} EXCEPT {_B})")
+@query(f"SELECT 'union' AS op, count(*) AS n, CAST(sum(id) AS BIGINT) AS s FROM ({_A} UNION {_B}) UNION ALL SELECT 'intersect', count(*), CAST(sum(id) AS BIGINT) FROM ({_A} INTERSECT {_B}) UNION ALL SELECT 'except', count(*), CAST(sum(id) AS BIGINT) FROM ({_A} EXCEPT {_B})")
 def id_union_intersect_except(spark, sf_dir):
     a = table(spark, sf_dir, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("id"))
     b = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"))

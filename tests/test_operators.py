@@ -206,3 +206,45 @@ def test_files(spark, tmp_path):
         io.write_manifest(spark, f"{tmp_path}/m.json", {})
     once = io.with_section("# t", "x", "a")
     assert io.with_section(once, "x", "a") == once and "b" in io.with_section(once, "x", "b") and io.first_source(spark, f"{tmp_path}/none", f"{tmp_path}/s").count() == 2
+
+
+def test_gates(spark):
+    from quillon.operators import gates
+
+    rows = spark.createDataFrame([("1", "code", 60.0, "q" * 30, "k1"), ("2", "other", 60.0, "q" * 30, "k2"), ("3", "code", 10.0, "q" * 30, "k3"), ("4", "code", 60.0, "最多三个字" + "q" * 30, "k4"), ("5", "code", 60.0, "q" * 30, "k5"), ("6", "code", None, None, None)], "id string, bucket string, score double, question string, k string")
+    marks = spark.createDataFrame([("k5",)], "k string")
+    got = {r.id: r.reason for r in gates.source_reason(rows, ["code"], marks).collect()}
+    assert got == {"1": None, "2": "task", "3": "score", "4": "constrained", "5": "boundary", "6": "score"}
+    used = spark.createDataFrame([("5",)], "id string")
+    got = {r.id: r.reason for r in gates.guardrail_reason(rows, ["code"], used, {"4": "by hand"}).collect()}
+    assert got == {"1": None, "2": "task", "3": "score", "4": "excluded", "5": "in use", "6": "length"}
+    cells = spark.createDataFrame([('{"content": " a  b"}', '{"content": "a b"}', "None"), (None, "", '{"content": "c"}')], "t1 string, t2 string, t3 string")
+    assert [r[0] for r in cells.select(gates.prompt_set([F.col("t1"), F.col("t2"), F.col("t3")])).collect()] == [["a b"], ["c"]]
+    with pytest.raises(Exception, match="not JSON"):
+        spark.createDataFrame([("{",)], "t string").select(gates.prompt_set([F.col("t")])).collect()
+    assert gates.benchmark_problems(rows, ["id", "x"], "id", 6) == ["columns missing: ['x']"] and gates.benchmark_problems(rows, ["id"], "id", 5) == ["6 rows instead of 5"]
+    one, two = gates.RunConfig(), gates.RunConfig(sampler="adaptive")
+    assert not one.problems() and one.differs_only_in_sampler(two) and not one.differs_only_in_sampler(gates.RunConfig(batch=16))
+    assert gates.RunConfig(batch=6).problems() == ["the batch must be a multiple of the generations"]
+    a = "struct<answer:string,clipped:boolean,unclosed:boolean,tokens:long>"
+    pairs = spark.createDataFrame([(("x", False, False, 5), ("y", False, False, 7)), (("", False, False, 5), ("y", False, False, 7)), (("x", True, False, 5), ("", False, False, 7)), (("x", True, False, 5), None)], f"f {a}, s {a}")
+    assert [tuple(r[0]) for r in pairs.select(gates.chosen_answer(F.col("f"), F.col("s"))).collect()] == [("x", False, 5), ("y", True, 12), ("x", False, 12), ("x", False, 5)]
+
+
+def test_training_contract(spark):
+    m = "array<struct<role:string,content:string>>"
+    rows = [("1", [("user", "q")], ["keywords:existence"], ["keywords"], 1, 1), ("", [("assistant", "q")], [], ["x"], 1, 2)]
+    df = spark.createDataFrame(rows, f"id string, m {m}, ids array<string>, cats array<string>, n int, t int")
+    c = F.col
+    df = df.withColumn("v", validate.training_codes(c("id"), c("m"), c("ids"), c("ids"), c("cats"), c("n"), c("t")))
+    one, two = (r.v for r in df.orderBy(F.desc("id")).collect())
+    assert one == [] and two == ["id_missing", "last_not_user", "no_instructions", "categories_differ", "constraint_count_differs", "context_turns_differ"]
+    assert validate.pool_problems(df, "v", "id", 3) == ["1 rows break the contract", "1 rows more or fewer than expected"]
+    back = df.withColumn("t", 3 - F.col("t"))
+    assert validate.same_order(df, df, "id", "t") and not validate.same_order(df, back, "id", "t")
+
+
+def test_teacher_reasons(spark):
+    df = spark.createDataFrame([(False, [True], "a</think>b"), (True, [True], "x"), (False, [], "x"), (False, [False], "x"), (False, [True], "x")], "t boolean, s array<boolean>, raw string")
+    got = [r[0] for r in df.select(validate.teacher_reason(F.col("t"), F.col("s"), F.col("raw"))).collect()]
+    assert got == [None, "truncated", "no strict results", "strict check failed", "reasoning not closed"]
