@@ -36,13 +36,13 @@ def _words(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").lower().encode("utf-8", "surrogatepass"))
 
 
-def _pieces(words) -> set[bytes]:
+def _pieces(words, sizes: tuple[int, ...] = PIECES) -> set[bytes]:
     out = set()
     for w in words:
         w = b" " + w + b" "
-        if len(w) <= max(PIECES):
+        if len(w) < min(PIECES) in sizes:
             out.add(w)
-        for n in PIECES:
+        for n in sizes:
             out.update(w[i : i + n] for i in range(len(w) - n + 1))
     return out
 
@@ -58,8 +58,11 @@ def _telling(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """Words with the most telling pieces, best first, at most two for a piece."""
     nx, ny = len(toxic), len(ordinary)
     own = [set(_words(t)) for t in toxic]
-    ct, co = Counter(p for w in own for p in _pieces(w)), Counter(p for t in ordinary for p in _pieces(set(_words(t))))
-    good = {p: g for p, n in ct.items() if n >= 3 and n / nx >= TIMES * (co[p] + 0.5) / max(ny, 1) and (g := _likelihood(n, co[p], nx, ny)) >= TELLING}
+    ct: dict[bytes, int] = {}
+    for size in PIECES:  # one size after the other: most pieces are rare and go at once
+        ct |= {p: n for p, n in Counter(p for w in own for p in _pieces(w, (size,))).items() if n >= 3}
+    co = Counter(p for t in ordinary for p in _pieces(set(_words(t))) if p in ct)
+    good = {p: g for p, n in ct.items() if n / nx >= TIMES * (co[p] + 0.5) / max(ny, 1) and (g := _likelihood(n, co[p], nx, ny)) >= TELLING}
     found, seen, out = {}, Counter(), []
     for w, n in Counter(x for w in own for x in w).items():
         if best := max((p for p in _pieces([w]) if p in good), key=lambda p: (good[p], p), default=None):
