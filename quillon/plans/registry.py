@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.sources.spread import spread
+
+#: Tables whose rows are long texts: work on one is worth a shuffle where a single file would leave cores idle.
+LONG = ("documents",)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -21,7 +25,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in LONG else rows
 
 
 from quillon.plans import q_adaptive, q_chat, q_checks, q_curation, q_gates, q_metrics, q_sampling, q_terms  # noqa: E402, F401
