@@ -5,7 +5,7 @@ Bands and rows are chosen for a target recall; band hashes are the shuffle key.
 member is paired with the smallest one only and compared with it on the full sets; those near enough, by a looser
 threshold, form families. In a family all sets meet, block by block inside a task, where links are counted
 without a row for each pair. Pairs of a bucket from different families are compared
-one by one (in buckets that a common passage crowds, those that share further bands).
+one by one (in buckets that a common passage crowds, those that share one of their rarest shingles, which every pair within the threshold does).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm.graph import components
@@ -27,8 +28,6 @@ NGRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 128
 LOOSE = 0.6
 #: Sets that meet in one task at once.
 BLOCK = 512
-#: Bands at most by which the members of crowded buckets are told apart.
-DEPTH = 3
 LAST = (1 << 63) - 1
 
 
@@ -162,31 +161,49 @@ def _counter(threshold: float):
     return fn
 
 
-def _across(placed: DataFrame, reach: float, crowded: int, depth: int = DEPTH) -> DataFrame:
+def _across(placed: DataFrame, sets: DataFrame, threshold: float, crowded: int) -> DataFrame:
     """Pairs (a, b) of a bucket's members that lie in different families: those were not compared through its smallest member.
 
     placed: band, node, root, far (the distance from the bucket's smallest member). Jaccard distance is a metric: two texts within
     the threshold are about as far from a third, so only such pairs meet. A bucket of more than `crowded` families (than there are bands: telling
-    its members apart takes up to that many rows for each) is one that a common passage makes: its members meet only
-    in the smaller buckets of two bands that they share, then three, and in those of `depth` all of them meet. Texts at the threshold share
-    eight bands on average, mostly uncrowded ones, where they meet at once.
+    its members apart takes up to that many rows for each) is one that a common passage makes: its members meet over rare shingles instead.
     """
-    found, rows, hot = None, placed.select(F.array("band").alias("bands"), F.col("band").alias("key"), "node", "root", "far"), None
-    for level in range(1, depth + 1):
-        sizes = rows.groupBy("key").agg(F.count_distinct("root").alias("n")).filter("n > 1")
-        few = rows.join(sizes if level == depth else sizes.filter(F.col("n") <= crowded), "key").select("key", "node", "root", "far")
-        other = few.select("key", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("far").alias("far2"))
-        pairs = few.join(other, "key").filter((F.col("root") < F.col("root2")) & (F.abs(F.col("far") - F.col("far2")) <= reach + 1e-9)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-        found = pairs if found is None else found.union(pairs)
-        if level == depth:
-            break
-        many = written(rows.join(sizes.filter(F.col("n") > crowded), "key").select("bands", "node", "root", "far"), "crowded")
-        if not many.take(1):
-            break
-        hot = many.select("node", F.element_at("bands", 1).alias("band")) if hot is None else hot
-        rows = many.join(hot, "node").filter(F.col("band") > F.element_at("bands", -1)).select(F.array_append("bands", F.col("band")).alias("bands"), "node", "root", "far")
-        rows = rows.select("bands", F.xxhash64("bands").alias("key"), "node", "root", "far")
-    return found.distinct()
+    sizes = placed.groupBy("band").agg(F.count_distinct("root").alias("families")).filter("families > 1")
+    few = placed.join(sizes.filter(F.col("families") <= crowded), "band").select("band", "node", "root", "far")
+    other = few.select("band", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("far").alias("far2"))
+    near = (F.col("root") < F.col("root2")) & (F.abs(F.col("far") - F.col("far2")) <= 1 - threshold + 1e-9)
+    found = few.join(other, "band").filter(near).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    many = written(placed.join(sizes.filter(F.col("families") > crowded), "band").select("node", "root").distinct(), "crowded")
+    return (found.union(_by_rare_shingles(many, sets, threshold)) if many.take(1) else found).distinct()
+
+
+def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of nodes (node, root) with different roots, all within the threshold among them: an exact prefix filter.
+
+    With shingles in one order for all, rarest first, two sets within the threshold t have one in common among the first n - ceil(tn) + 1 of
+    each, and the first that they have in common leaves enough after it on both sides. Shingles of one passage lie side by side and have the
+    same sets before the cut: one stands for them. A shingle's sets meet block by block.
+    """
+    own = nodes.join(sets.withColumnRenamed("cls", "node"), "node").select("node", "root", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    same = W.partitionBy("gram")
+    known = own.withColumn("df", F.count("*").over(same)).withColumn("mark", F.bit_xor(F.xxhash64("node")).over(same)).filter("df > 1")
+    common = known.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "mark", "gram"))).alias("common"), F.first("root").alias("root"), F.first("n").alias("n"))
+    # those of one set only come before all others and meet nothing
+    alone, first = F.col("n") - F.size("common"), F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1
+    ranked = common.withColumn("alone", alone).withColumn("left", (first - F.col("alone")).cast("int")).filter("left > 0")
+    prefix = ranked.select("node", "root", "n", "alone", F.posexplode(F.slice("common", 1, F.col("left"))).alias("at", "key"))
+    prefix = written(prefix.select("node", "root", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), "key"), "prefix")
+    lists = prefix.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("x"), "node")).alias("y"), F.min("root").alias("low"), F.max("root").alias("high"))
+    lists = lists.filter("low < high").groupBy("m", "x", "y").agg(F.min("key").alias("key"))
+    lists = lists.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    faced = prefix.join(lists, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    faced = faced.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    faced = faced.select("key", F.least("block", "against").alias("lo"), F.greatest("block", "against").alias("hi"), "block", "node", "root", "n", "rest")
+    other = faced.select("key", "lo", "hi", *(F.col(c).alias(f"{c}2") for c in ("block", "node", "root", "n", "rest")))
+    met = (F.col("root") < F.col("root2")) & ((F.col("lo") == F.col("hi")) | (F.col("block") != F.col("block2")))
+    enough = F.least("rest", "rest2") >= threshold / (1 + threshold) * (F.col("n") + F.col("n2")) - 1e-6
+    alike = F.least("n", "n2") >= threshold * F.greatest("n", "n2") - 1e-6
+    return faced.join(other, ["key", "lo", "hi"]).filter(met & enough & alike).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
 def near_copies(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, loose: float = LOOSE, block: int = BLOCK) -> DataFrame:
@@ -222,7 +239,7 @@ def near_copies(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOL
     # and pairs of a bucket from different families
     placed = crowd.join(star, ["a", "b"], "left").select("band", F.col("b").alias("node"), (1 - F.coalesce("near", F.lit(1.0))).alias("far"))
     placed = placed.join(groups, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"), "far")
-    across = _across(placed, 1 - threshold, bands)
+    across = _across(placed, sets, threshold, bands)
     across = written(_compared(across.join(star, ["a", "b"], "left_anti"), sets).filter(F.col("near") >= threshold).select("a", "b"), "across")
     final = components(links.union(across))
     sides = across.select("a", "b").union(across.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,28 @@ def test_crowded_buckets_lose_nothing(spark):
     assert got == ngram_join.brute(rows)
 
 
+def test_crowded_band_alone_joins(spark, monkeypatch):
+    """One band of one row: near copies whose only common band is the passage's must be joined too, in one block and in several."""
+    monkeypatch.setattr(ngram_join, "choose_bands", lambda *_: (1, 1))
+    rng = random.Random(12)
+    passage, rows = prose(rng, 100), []
+    for i in range(40):
+        own = prose(rng, 80).split()
+        rows += [(2 * i, f"{passage} {' '.join(own)}"), (2 * i + 1, f"{passage} {' '.join([*own[:-1], 'changed'])}")]
+    signed = next(ngram_join._signer(5, 1, 1)(iter([pa.RecordBatch.from_pydict({"rid": [i for i, _ in rows], "text": [t for _, t in rows]})]))).to_pydict()
+    band = dict(zip(signed["rid"], (x[0] for x in signed["bands"])))
+    crowd = collections.Counter(band.values()).most_common(1)[0]
+    assert crowd[1] > 10
+    want = {i: (i - i % 2, 1) for i in band if band[i] == band[i ^ 1]}
+    assert sum(band[i] == crowd[0] for i in want) > 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_copies(df).collect()}
+    assert {i: got[i] for i in want} == want
+    exact = ngram_join._by_rare_shingles
+    monkeypatch.setattr(ngram_join, "_by_rare_shingles", lambda *x: exact(*x, block=3))
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_copies(df).collect()} == got
+
+
 # languages and toxicity
 
 
