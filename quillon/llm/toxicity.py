@@ -104,7 +104,7 @@ class Model:
         out = []
         for t in texts:
             b = b" " + b" ".join(_words(t)) + b" "
-            d = np.array([len(plain(x)) - len(toxic(x)) for x in (b[i : i + WINDOW] for i in range(0, max(1, len(b) - STEP // 2), STEP))], float)
+            d = np.array([len(plain(x)) - len(toxic(x)) for x in (b[i : i + WINDOW] for i in range(0, max(1, len(b) - (WINDOW - STEP)), STEP))], float)
             over = [(d >= k).sum() for k in SAVINGS]
             out.append([d.max(), np.sort(d)[-3:].mean(), d.mean(), *(20 * x / len(d) for x in over), *(math.log1p(x) for x in over[1:]), math.log1p(len(d))])
         return np.array(out).reshape(len(texts), -1)

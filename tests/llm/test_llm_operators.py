@@ -272,6 +272,15 @@ def test_toxicity(spark, none, clash):
     assert toxicity.scored(clash, toxicity.Model()).columns[-1] == "toxic_score"
 
 
+def test_toxicity_reads_to_the_end():
+    """A telling word that comes last counts at every length of text."""
+    model = toxicity.Model(b" calm waters run deep ", b" scoundrel ")
+    for n in range(60, 400):
+        start = (b"calm waters run deep " * 20)[:n].decode().rstrip()
+        plain, last = model.features([f"{start} abcdefghi", f"{start} scoundrel"])
+        assert last[0] > plain[0], n
+
+
 # personal data
 
 
