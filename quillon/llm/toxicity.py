@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from quillon.llm.shared import pieces
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2400, 4800
 WINDOW, STEP, LEVEL, BASE_BYTES = 96, 72, 9, 16384
 SAVINGS, WORD_LIMITS, PIECES = (2, 3, 4, 5, 6), (30, 60, 120), (5, 6, 7, 8)
+#: Stretches of 40 words, at most, that the ordinary dictionary is trained on: every k-th of the sample's.
+PARTS = 20_000
 #: A piece is telling if its likelihood ratio statistic and its ratio of frequencies are at least these.
 TELLING, TIMES = 15.0, 25.0
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -75,7 +78,9 @@ def _telling(toxic: list[str], ordinary: list[str]) -> list[bytes]:
 
 
 def _ordinary(texts: list[str]) -> bytes:
-    parts = [b" ".join(w[i : i + 40]) + b" " for t in texts for w in [_words(t)] for i in range(0, len(w), 40)][:20_000]
+    cut = lambda: (b" ".join(w[i : i + 40]) + b" " for t in texts for w in [_words(t)] for i in range(0, len(w), 40))
+    # evenly over all of them, so that texts late in the sample count as the first do
+    parts = list(islice(cut(), 0, None, max(1, -(-sum(1 for _ in cut()) // PARTS))))
     try:
         return zstandard.train_dictionary(BASE_BYTES, parts).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: it is its own dictionary

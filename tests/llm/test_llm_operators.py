@@ -281,6 +281,13 @@ def test_toxicity_reads_to_the_end():
         assert last[0] > plain[0], n
 
 
+def test_toxicity_learns_from_late_texts(monkeypatch):
+    got = []
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, parts: got.extend(parts) or toxicity.zstandard.ZstdCompressionDict(b"x" * 64))
+    toxicity._ordinary(["early " * 900_000, "late " * 900_000])
+    assert len(got) <= 20_000 and abs(sum(b"late" in x for x in got) / len(got) - 0.5) < 0.01
+
+
 # personal data
 
 
