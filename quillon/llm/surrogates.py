@@ -3,7 +3,7 @@
 Entities are mail addresses, telephone numbers, IPv4 addresses, card-like numbers, secrets and titled names. An entity's
 surrogate depends on the key and the entity alone, so mentions of one stay mentions of one, in every document. It keeps
 the type and the format: letters stay letters of their case, digits digits, separators where they are, Luhn numbers
-Luhn numbers, and a name is of the same gender, script and number of parts. For one format the replacement is a
+Luhn numbers, and a name is of the same gender, script and number of parts (family names beyond the lists are built from syllables). For one format the replacement is a
 permutation (a Feistel network), so different entities cannot meet; a surrogate that is another entity of the corpus, or that of
 another, is found by a join and drawn again until none is left.
 """
@@ -36,6 +36,13 @@ NAMES = {
     ("cyrillic", "f"): "Алина Анна Вера Галина Дарья Елена Зоя Ирина Ксения Лидия Мария Нина Ольга Полина Яна".split(),
     ("cyrillic", "last"): "Белых Волошенко Гончаренко Долгих Жук Коваленко Крутых Мельник Мороз Назаренко Седых Ткаченко Черных Шевченко Юрченко".split(),
 }
+#: Family names beyond the lists are built: syllables of an onset and a vowel, then an ending that no gender changes.
+SYLLABLES = {
+    "latin": ([o + v for o in "b d f g h k l m n p r s t v w z br dr gr kl kr tr".split() for v in "aeiou"], "ck ld ler lt mer nd ner rt ser tz".split()),
+    "cyrillic": ([o + v for o in "б в г д з к л м н п р с т х ч бр гр кр тр".split() for v in "аеиоу"], ["нко", "шко", "йко", "лко", "ченко", "щенко", "ренко", "менко", "ненко", "тенко"]),
+}
+#: Attempts at the lists before family names are built.
+LISTED = 3
 TITLES = {"m": "Mr Herr Señor Monsieur Sir Господин Г-н".split(), "f": "Mrs Ms Miss Frau Señora Señorita Madame Mme Госпожа Г-жа".split()}
 
 _LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
@@ -118,21 +125,27 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _name(key: bytes, tweak: str, text: str, gender: str) -> str:
+def _name(key: bytes, tweak: str, text: str, gender: str, attempt: int) -> str:
+    """Of the same gender, script and number of parts. Later attempts have longer family names: no number of entities uses them up."""
     script = "cyrillic" if re.search("[А-я]", text) else "latin"
     first, last = NAMES[script, gender], NAMES[script, "last"]
     parts, x = text.split(" "), _prf(key, tweak, "name", text)
-    return last[x % len(last)] if len(parts) == 1 else f"{first[x % len(first)]} {last[x // len(first) % len(last)]}"
+    given, x = (first[x % len(first)] + " ", x // len(first)) if len(parts) > 1 else ("", x)
+    if attempt < LISTED:
+        return given + last[x % len(last)]
+    syllables, endings = SYLLABLES[script]
+    family, x = endings[x % len(endings)], _prf(key, tweak, "family", text)
+    for i in range(attempt):
+        family = syllables[x % len(syllables)] + family
+        x = x // len(syllables) or _prf(key, tweak, "family", i, text)
+    return given + family.capitalize()
 
 
 @lru_cache(200_000)
 def surrogate(key: bytes, kind: str, text: str, attempt: int = 0) -> str:
     tweak = f"{kind}|{attempt}"
     if kind.startswith("name_"):
-        out = _name(key, tweak, text, kind[-1])
-        if attempt > 40:  # the lists are used up: more parts make more names
-            out += " " + _name(key, tweak + "|more", text, kind[-1]).split(" ")[-1]
-        return out
+        return _name(key, tweak, text, kind[-1], attempt)
     if kind == "email":
         local, _, host = text.partition("@")
         name, _, end = host.rpartition(".")

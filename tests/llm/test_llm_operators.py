@@ -319,6 +319,15 @@ def test_surrogates_stay_apart(spark):
     assert len(set(out.values())) == len(rows) and not set(out.values()) & set(was.values())
 
 
+def test_surrogates_of_names_do_not_run_out(spark):
+    """More one-part names than the lists and their pairs can make, in both scripts."""
+    names = [f"{a}{b}{c}{d}" for a in "BDFGHJKLMN" for b in "aeiou" for c in "bdfgklmnpr" for d in "aeiou"] + [f"{a}{b}{c}" for a in "БВГДЖЗКЛМН" for b in "аеиоу" for c in "бвгдклмнпр"]
+    df = spark.createDataFrame([(i, f"{'Mr' if i % 2 else 'Mrs'} {n}") for i, n in enumerate(names)], "doc_id long, text string")
+    out = {r.doc_id: r.text.split(" ", 1)[1] for r in surrogates.pseudonymised(df, b"key").collect()}
+    assert len(set(out.values())) == len(names) == 3000 and not set(out.values()) & set(names)
+    assert all(" " not in x and surrogates._NAME.fullmatch(f"Mr {x}") and (x[0] > "z") == (n[0] > "z") for n, x in zip(names, map(out.get, range(len(names)))))
+
+
 def test_permutation_is_one():
     seen = {tuple(surrogates.permuted(b"k", "t", [a, b, c], [10, 10, 10])) for a in range(10) for b in range(10) for c in range(10)}
     assert len(seen) == 1000
