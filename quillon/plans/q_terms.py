@@ -52,13 +52,23 @@ def end_phrase(spark, sf_dir):
 
 def _constrained(spark, sf_dir):
     rows = sft(spark, sf_dir).withColumn("bucket", text.task_bucket(F.col("question"), RULES)).filter(F.col("bucket").isin(*constraints.BARRED))
-    rows = rows.withColumn("terms", F.slice(prompt_terms("question"), 1, 12))
+    rows = rows.withColumn("terms", prompt_terms("question"))
     n = (F.pmod(F.xxhash64(F.lit("n"), "id"), F.lit(3)) + 1).cast("int")
     seed = F.concat_ws(":", F.lit("42"), "id")
     kinds = constraints.choose(constraints.allowed(F.col("bucket"), F.size("terms"), F.col("question")), n, seed)
     return rows.withColumn("n", n).withColumn("kinds", kinds).withColumn("seed", seed)
 
 
+def _ranked(rows, most=12):
+    """Rows with terms cut to the best by document frequency over all rows' questions. The tables have no abilities or categories to raise a term."""
+    flat = rows.groupBy("question").agg(F.count("*").alias("n"), F.first("terms").alias("terms")).select("question", "n", F.explode("terms").alias("term"))
+    df = flat.groupBy("term").agg(F.sum("n").alias("df"))
+    score = scores.idf_score(F.lit(rows.count()), F.col("df"), F.col("term"), F.lit(False))
+    ranked = flat.join(df, "term").groupBy("question").agg(F.sort_array(F.collect_list(F.struct(score.alias("score"), F.length("term").alias("length"), "term")), asc=False).alias("ranked"))
+    best = ranked.select("question", F.transform(F.slice("ranked", 1, most), lambda x: x["term"]).alias("best"))
+    return rows.join(best, "question", "left").withColumn("terms", F.coalesce("best", F.array().cast("array<string>"))).drop("best")
+
+
 @query()
 def constraint_sampling(spark, sf_dir):
     """Random draws from hashes; tests hold the compatibility rules and the weights."""
@@ -68,7 +78,7 @@ def constraint_sampling(spark, sf_dir):
 @query()
 def constraint_prompt_build(spark, sf_dir):
     """Prompts of one to three turns with their constraints as text and as arguments."""
-    rows = _constrained(spark, sf_dir).filter(F.size("kinds") > 0)
+    rows = _ranked(_constrained(spark, sf_dir)).filter(F.size("kinds") > 0)
     made = F.transform("kinds", lambda k: constraints.arguments(k, F.col("seed"), F.col("terms"), F.col("question"), F.col("answer")))
     rows = rows.withColumn("args", made).withColumn("texts", F.zip_with("kinds", "args", constraints.constraint_text))
     turns = F.when(F.pmod(F.xxhash64(F.lit("t"), "id"), F.lit(10)) < 7, 1).when(F.pmod(F.xxhash64(F.lit("t"), "id"), F.lit(10)) < 9, 2).otherwise(3)

@@ -176,3 +176,34 @@ def test_constraints_go_together(spark):
     bad = made.withColumn("t", constraints.constraint_text(F.col("k"), F.col("a"))).filter(F.col("t").contains("{") | (F.col("t") == "") | checkers.raises(F.col("k"), F.col("a")))
     assert bad.count() == 0
     assert one(spark, F.size(F.array_intersect(constraints.allowed(L("general_instruction"), L(0), L("x" * 121)), F.array(*map(L, [*constraints.KEYWORD_KINDS, "combination:repeat_prompt"])))))[0] == 0
+
+
+def test_prompt_terms_are_ranked_before_they_are_cut(spark, monkeypatch):
+    """The end phrase names the best term, keywords are among the best 12, by frequency over all questions."""
+    import collections
+    import json
+    import math
+    import random
+
+    from quillon.functions.terms import candidates
+    from quillon.plans.registry import q_terms
+
+    rng = random.Random(3)
+    pool = [rng.choice("bcdfg") * rng.randint(2, 5) + rng.choice("aeiou") + str(i) for i in range(40)] + ["红楼梦", "水浒传", "长江黄河"]
+    asked = [", ".join(rng.sample(pool, 18)) for _ in range(150)]
+    asked += asked[:5] + [""]
+    rows = spark.createDataFrame([(i, str(i), "s", q, "", 1.0) for i, q in enumerate(asked)] + [(900, "900", "s", None, "", 1.0)], "ord long, id string, source string, question string, answer string, reward double")
+    monkeypatch.setattr(q_terms, "sft", lambda *_: rows)
+    made = q_terms.constraint_prompt_build(spark, "").collect()
+    df, n = collections.Counter(t for q in asked for t in candidates(q)), q_terms._constrained(spark, "").count()
+    best = [sorted(candidates(q), key=lambda t: (math.log((n + 1) / (df[t] + 1)) + 0.15 * len(t), len(t), t), reverse=True)[:12] for q in asked]
+    ends = words = 0
+    for r in made:
+        for a in json.loads(r.args) if r.ord < 150 else ():
+            if "end_phrase" in a:
+                ends += 1
+                assert a["end_phrase"] == f"关于{best[r.ord][0]}的说明到此结束"
+            for t in [a["keyword"]] if "keyword" in a else (a.get("keywords") or a.get("forbidden_words") or "").split("\x1f"):
+                words += t != ""
+                assert t == "" or t in best[r.ord]
+    assert ends > 5 and words > 20
