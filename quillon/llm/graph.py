@@ -8,30 +8,25 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    own = both if large else both.filter("b < a")
-    least = own.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    moved = own.join(least, "a")
-    out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
-
-
-def _mark(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). One row for each node that has an edge: node, root (the smallest node of its component).
 
-    Rounds grow with the logarithm of the longest path; each is written to the shared folder, so a lost executor costs
-    one round. Loops (a = b) count as no edge.
+    An edge is kept as (larger, smaller) node. Large star: the smaller node of each edge gives way to its own smallest neighbour. Small star:
+    the smaller neighbours of a node are tied to the smallest of them. Smallest neighbours are counted with partial sums and
+    written before edges meet them, so that a node with very many edges (the root of a large component) is a skewed side of a plain
+    join, which Spark deals out. Rounds grow with the logarithm of the longest path; each is written to the shared folder, so a
+    lost executor costs one step. Loops (a = b) count as no edge. Nulls must not occur.
     """
+    least = lambda e: written(e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
-        now = written(_star(_star(now, True), False), "edges")
-        was, mark = mark, _mark(now)
-        if was == mark:
+    while True:
+        known = least(now)
+        below = known.select(F.col("a").alias("b"), "m")
+        large = written(now.join(below, "b", "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved")).distinct(), "edges")
+        if not large.filter("moved").take(1) and not known.filter("n > 1").take(1):
             break
+        large = large.select("a", "b").distinct()
+        known = least(large)
+        tied = large.join(known.filter("n > 1").select("a", "m"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = written(tied.union(known.select("a", F.col("m").alias("b"))).distinct(), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -188,6 +188,74 @@ def test_one_of_each(docs, corpus, clash):
     assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == sorted(heads)
 
 
+def test_one_of_each_by_row(spark):
+    """Different texts under one doc_id both stay; near copies without a doc_id leave one; so do repeated rows; texts that are null or empty stay."""
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = lambda t: " ".join([*t.split()[:-1], "changed"])
+    rows = [(5, a, 1), (5, b, 1), (None, c, 1), (None, near(c), 1), (None, c, 1), (7, near(a), 1), (7, near(a), 2), (None, None, 1), (None, None, 1), (None, "", 1), (8, None, 1), (8, None, 1), (5, a, 1), (9, a.upper(), 1)]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, rid int")).collect()
+    named = collections.Counter((r.doc_id, r.text) for r in kept)
+    assert named[5, a] == named[5, b] == 1 and named[None, c] + named[None, near(c)] == 1
+    assert named[None, None] == 2 and named[None, ""] == 1 and named[8, None] == 1 and len(kept) == 7
+    copies = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string, rid int"))
+    assert copies.count() == len(rows) and {(r.class_id, r.n_links) for r in copies.filter("doc_id = 5").collect()} == {(5, 4), (5, 0)}
+
+
+def tight(rng, n, words, edits):
+    """Texts around one base with at most so many words changed."""
+    base = prose(rng, words).split()
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(words)] = prose(rng, 1) + "x"
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("edits", [2, 9, 25])
+def test_large_families_by_shells(spark, edits):
+    """Families far larger than a block: links and classes as by the definition, whether shells decide or blocks meet."""
+    rng = random.Random(edits)
+    rows = list(enumerate([*tight(rng, 70, 150, edits), *tight(rng, 20, 40, 3)]))
+    rows += [(500 + i, t) for i, (_, t) in enumerate(rows[:9])]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=5).collect()}
+    assert got == ngram_join.brute(rows)
+
+
+def test_tight_families_meet_nobody(spark, monkeypatch):
+    """All within half the distance of the root: shells decide, no block meets."""
+
+    def never(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        raise AssertionError("a block meets")
+
+    monkeypatch.setattr(ngram_join, "_counter", lambda _: never)
+    rng = random.Random(33)
+    base = prose(rng, 300).split()
+    rows = [(i, " ".join([*base[:i], "changed", *base[i + 1 :]])) for i in range(40)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=5).collect()}
+    assert got == ngram_join.brute(rows) and {n for _, n in got.values()} == {39}
+
+
+def test_rare_shingles_find_all(spark):
+    """The prefix filter alone, over sets with every amount in common: no pair within the threshold is missing."""
+    rng = np.random.default_rng(4)
+    base, rows = rng.integers(0, 1 << 63, 300), []
+    for i in range(150):
+        own = rng.integers(0, 1 << 63, rng.integers(1, 60))
+        rows.append((i, i, [int(x) for x in np.unique(np.concatenate([rng.choice(base, rng.integers(0, 280), replace=False), own, rng.choice(base[:20], rng.integers(0, 20))]))]))
+    for i in range(150, 230):
+        like = np.array(rows[i - 150][2])
+        rows.append((i, i, [int(x) for x in np.unique(np.concatenate([rng.permutation(like)[: int(len(like) * rng.uniform(0.75, 1))], rng.integers(0, 1 << 63, 3)]))]))
+    rows.append((900, 1, rows[1][2]))  # of the same root as its equal: no pair
+    sets = {i: set(x) for i, _, x in rows}
+    root = {i: r for i, r, _ in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    nodes, grams = spark.createDataFrame([(i, r) for i, r, _ in rows], "node long, root long"), spark.createDataFrame([(i, x) for i, _, x in rows], "cls long, grams array<long>")
+    for block in (512, 7):
+        got = {(r.a, r.b) for r in ngram_join._by_rare_shingles(nodes, grams, 0.8, block).collect()}
+        assert want <= got and len(want) > 30
+
+
 def test_crowded_buckets_lose_nothing(spark):
     """Many texts around one long passage: buckets that all share, whose members are told apart by further bands."""
     rng = random.Random(9)
