@@ -1,9 +1,11 @@
 """Personal data replaced by keyed surrogates.
 
-Entities are mail addresses, telephone numbers, IPv4 addresses, card-like numbers, secrets and titled names. An entity's
+Entities are mail addresses, telephone numbers, IPv4 addresses, card-like and social security numbers, secrets and names of persons. A
 surrogate depends on the key and the entity alone, so mentions of one stay mentions of one, in every document. It keeps
-the type and the format: letters stay letters of their case, digits digits, separators where they are, Luhn numbers
-Luhn numbers, and a name is of the same gender, script and number of parts (family names beyond the lists are built from syllables). For one format the replacement is a
+the type and the format: letters stay letters of their script and case, digits digits, separators where they are, Luhn numbers
+Luhn numbers. A name is found after a title or by a known given name; from there on every mention of its family name or of one of its given names in the
+document counts. It is replaced part by part, given names by given names of the same gender, family names by family names, in their script,
+so that "Mr Adam Weber", "Mr Weber" and "Adam Weber" stay one person. For one format the replacement is a
 permutation (a Feistel network), so different entities cannot meet; a surrogate that is another entity of the corpus, or that of
 another, is found by a join and drawn again until none is left.
 """
@@ -13,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
+from bisect import bisect
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,7 +29,9 @@ from quillon.llm.shared import pieces, written
 
 #: Entities drawn again that may be sent to all tasks; more are joined to the documents instead.
 REDRAWN_TO_ALL = 100_000
-LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+HEX = "0123456789abcdef"
+#: Draws that keep the format. A format with too few values for its entities is left by making the surrogate longer.
+FORMAT_DRAWS = 8
 
 #: Given names and family names by script and gender, and the titles that announce a name of a gender.
 NAMES = {
@@ -41,43 +47,105 @@ SYLLABLES = {
     "latin": ([o + v for o in "b d f g h k l m n p r s t v w z br dr gr kl kr tr".split() for v in "aeiou"], "ck ld ler lt mer nd ner rt ser tz".split()),
     "cyrillic": ([o + v for o in "б в г д з к л м н п р с т х ч бр гр кр тр".split() for v in "аеиоу"], ["нко", "шко", "йко", "лко", "ченко", "щенко", "ренко", "менко", "ненко", "тенко"]),
 }
-#: Attempts at the lists before family names are built.
+#: Endings of built given names, by script and gender.
+GIVEN_ENDINGS = {("latin", "m"): "o us an or ert".split(), ("latin", "f"): "a ia ina elle ette".split(), ("cyrillic", "m"): "ан ий ор ей ир".split(), ("cyrillic", "f"): "а ия ина ея ана".split()}
+#: Attempts at the lists before names are built.
 LISTED = 3
-TITLES = {"m": "Mr Herr Señor Monsieur Sir Господин Г-н".split(), "f": "Mrs Ms Miss Frau Señora Señorita Madame Mme Госпожа Г-жа".split()}
-
-_LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
+#: Titles by the gender that they tell (u: none).
+TITLES = {"m": "Mr Herr Señor Monsieur Sir Господин Г-н".split(), "f": "Mrs Ms Miss Frau Señora Señorita Madame Mme Госпожа Г-жа".split(), "u": "Dr Prof Professor Professorin Docteur Доктор Профессор".split()}
+
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ɏа-яё"
+_CAP = rf"[{_UPPER}](?:['’][{_UPPER}])?[{_UPPER}{_LOWER}]+(?:[-'’][{_UPPER}][{_UPPER}{_LOWER}]+)*"
+_FULL = rf"{_CAP}(?:(?: (?:van|von|der|den|de|da|di|del|la|le))* {_CAP}){{0,2}}"
+_VALUE = r"[^\s\"'<>]*[^\s\"'<>.,;:)\]}]"
+_WORDS_OF_SECRETS = r"(?i:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|client[_-]?secret|token|secret|passw(?:or)?d|passphrase|pwd)"
+#: (type, pattern, what any match contains): the entity is the first group that took part, or the whole match.
 _PATTERNS = [
-    ("email", re.compile(r"(?<![\w.+-])\w[\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), "@"),
-    ("secret", re.compile(r"(?i)(?<=\btoken = \")[0-9a-z_\-]{16,}(?=\")|(?<=\b(?:token|api_k|secre|passw)[:=])[^\s\"']{8,}"), None),
-    ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*\d)[0-9A-F]{32,64})\b"), None),
-    ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"), "."),
-    ("card", re.compile(r"(?<![\d.])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?!\d)"), None),
-    ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "-"),
-    ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,5}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w)"), None),
+    ("email", re.compile(r"(?<![\w.+%-])\w[\w.+%-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}"), "@"),
+    ("secret", re.compile(rf"{_WORDS_OF_SECRETS}[\"']?\s?(?:=>|[=:])\s?(?:\"([^\"\n]{{4,}})\"|'([^'\n]{{4,}})')"), None),
+    ("secret", re.compile(rf"{_WORDS_OF_SECRETS}[\"']?[=:]((?=[^\s\"'<>]*[^\W_]){_VALUE}(?<=\S{{4}}))"), None),
+    ("secret", re.compile(rf"{_WORDS_OF_SECRETS}[\"']?\s?(?:=>|[=:])\s((?=[^\s\"'<>]*\d){_VALUE}(?<=\S{{6}}))"), None),
+    ("secret", re.compile(r"\b[Bb]earer ([A-Za-z0-9._~+/-]{16,}=*)"), "earer "),
+    ("secret", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END"), "PRIVATE KEY"),
+    ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*\d)[0-9A-F]{32,64})\b"), None),
+    ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)", re.A), "."),
+    ("card", re.compile(r"(?<![\d.])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?!\d)", re.A), None),
+    ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.A), "-"),
+    ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,5}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w)", re.A), None),
 ]
-_NAME = re.compile(rf"\b({'|'.join(x for v in TITLES.values() for x in v)})\.? ((?:[A-ZÀ-ÖØ-ÞА-Я][{_LETTERS}а-яё]+)(?: [A-ZÀ-ÖØ-ÞА-Я][{_LETTERS}а-яё]+)?)")
+_NUMBERS = ("ip", "card", "ssn", "phone")
+_DIGIT = re.compile("[0-9]")
+_NAME = re.compile(rf"\b({'|'.join(x for v in TITLES.values() for x in v)})\.? ({_FULL})")
+_PERSON = re.compile(rf"\b({_CAP})(?= ({_CAP}))")
+_KNOWN = {n: g for (_, g), names in NAMES.items() if g != "last" for n in names}
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_ANY = re.compile(r"[0-9@]")
-_TITLE = re.compile("|".join(x for v in TITLES.values() for x in v))
+_TOKEN = re.compile(rf"[{_UPPER}{_LOWER}]{{2,}}")
+
+
+def _tokens(kind: str, said: str) -> list[tuple[int, int, str]]:
+    """(from, to, type) of the parts of a name: those before its last word are given names; particles and single letters are no parts."""
+    found = [m.span() for m in _TOKEN.finditer(said) if said[m.start()].isupper()]
+    last = said.rfind(" ") + 1
+    return [(a, b, "family" if a >= last and kind.startswith("name_") else f"given_{kind[-1]}") for a, b in found]
+
+
+def _names(text: str) -> list[tuple[int, int, str]]:
+    """(from, to, name_ or given_ and the gender). Names that are announced come first; then mentions of their parts."""
+    found = [(*m.span(2), f"name_{_GENDER[m[1]]}") for m in _NAME.finditer(text)]
+    for m in _PERSON.finditer(text):
+        if g := _KNOWN.get(m[1]):
+            found.append((m.start(), m.end(2), f"name_{g}"))
+    if not found:
+        return found
+    role: dict[str, str] = {}
+    for a, b, kind in found:
+        for x, y, part in _tokens(kind, text[a:b]):
+            role.setdefault(text[a + x : a + y], part)
+    known = {t.upper(): t for t in role} | {t: t for t in role}
+    run: list[tuple[int, int, str]] = []
+    for m in _TOKEN.finditer(text):
+        if t := known.get(m[0]):
+            if run and run[-1][2] != "family" and text[run[-1][1] : m.start()] == " ":
+                run.append((*m.span(), role[t]))
+                continue
+            found += _said(run)
+            run = [(*m.span(), role[t])]
+    return found + _said(run)
+
+
+def _said(run: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """A mention without a title: known given names, a known family name, or both in a row."""
+    if not run:
+        return []
+    g = next((p[-1] for *_, p in run if p != "family"), "u")
+    return [(run[0][0], run[-1][1], f"name_{g}" if run[-1][2] == "family" else f"given_{g}")]
 
 
 def entities(text: str | None) -> list[tuple[int, int, str]]:
-    """(from, to, type) of all entities, in order, none inside another; where two overlap the type that is listed first holds."""
-    found: list[tuple[int, int, str]] = []
+    """(from, to, type) of all entities, in order, none inside another; where two overlap the type that is listed first holds, then the earlier one."""
+    found: list[tuple[int, int, int, str]] = []
     if not text:
-        return found
-    if _ANY.search(text):
-        for kind, pattern, need in _PATTERNS:
-            if need is None or need in text:
-                found += [(*m.span(), kind) for m in pattern.finditer(text)]
-    if _TITLE.search(text):
-        found += [(*m.span(2), f"name_{_GENDER[m[1]]}") for m in _NAME.finditer(text)]
-    rank = {k: i for i, (k, *_) in enumerate(_PATTERNS)}
+        return []
+    digits = _DIGIT.search(text) is not None
+    for rank, (kind, pattern, need) in enumerate(_PATTERNS):
+        if (need is None or need in text) and (digits or kind not in _NUMBERS):
+            for m in pattern.finditer(text):
+                group = (m.lastindex or 0) if kind == "secret" else 0
+                found.append((rank, *m.span(group), kind))
+    found += [(len(_PATTERNS) + n, *x) for n, x in enumerate(_names(text))]
     taken: list[tuple[int, int, str]] = []
-    for a, b, k in sorted(found, key=lambda x: (rank.get(x[2], 99), x)):
-        if all(b <= c or d <= a for c, d, _ in taken):
-            taken.append((a, b, k))
-    return sorted(taken)
+    for _, a, b, k in sorted(found):
+        at = bisect(taken, (a, b, k))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+            taken.insert(at, (a, b, k))
+    return taken
+
+
+def parts(kind: str, said: str) -> list[tuple[int, int, str, str]]:
+    """(from, to, type, entity) of what an entity is replaced by: itself, or the parts of a name, in lower case."""
+    if kind[:5] not in ("name_", "given"):
+        return [(0, len(said), kind, said)]
+    return [(a, b, part, said[a:b].lower()) for a, b, part in _tokens(kind, said)]
 
 
 def _prf(key: bytes, *parts) -> int:
@@ -100,19 +168,36 @@ def permuted(key: bytes, tweak: str, value: list[int], radix: list[int]) -> list
     return out
 
 
-def _classes(text: str, hexadecimal: bool) -> list[str | None]:
-    if hexadecimal:
-        alphabet = HEX if any(c in "abcdef" for c in text) else HEX.upper()
-        return [alphabet if c in alphabet else None for c in text]
-    return [LOWER if c in LOWER else UPPER if c in UPPER else DIGITS if c in DIGITS else None for c in text]
+#: Letters of scripts whose pages in Unicode hold many that are hardly used.
+ALPHABETS = [x for y in ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω") for x in (y, y.upper())]
+
+
+@lru_cache(4096)
+def alphabet(c: str) -> str:
+    """The characters that may stand for a letter or digit: of its script and case, near it in Unicode; empty for all others."""
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(chr(zero + i) for i in range(10))
+    if not c.isalpha():
+        return ""
+    if own := next((x for x in ALPHABETS if c in x), ""):
+        return own
+    page = range(ord(c) & ~127, (ord(c) & ~127) + 128) if c.isascii() else range(ord(c) & ~255, (ord(c) & ~255) + 256)
+    kind, script = unicodedata.category(c), unicodedata.name(c, "").split(" ")[0]
+    return "".join(x for x in map(chr, page) if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script)
 
 
 def _respelled(key: bytes, tweak: str, text: str, hexadecimal: bool = False) -> str:
-    kinds = _classes(text, hexadecimal)
-    at = [i for i, k in enumerate(kinds) if k]
+    """A permutation of all texts of the same format. A text without a letter or digit becomes letters, as many."""
+    if hexadecimal:
+        digits = HEX if any(c in "abcdef" for c in text) else HEX.upper()
+        kinds = [digits if c in digits else "" for c in text]
+    else:
+        kinds = [alphabet(c) for c in text]
+    at = [i for i, k in enumerate(kinds) if len(k) > 1]
     if not at:
-        return text
-    shape = "".join("-" if k is None else k[0] for k in kinds)
+        return "".join(chr(97 + _prf(key, tweak, "letters", i, text) % 26) for i in range(len(text)))
+    shape = "".join(k[0] if len(k) > 1 else c for c, k in zip(text, kinds))
     new = permuted(key, f"{tweak}|{shape}", [kinds[i].index(text[i]) for i in at], [len(kinds[i]) for i in at])
     out = list(text)
     for i, v in zip(at, new):
@@ -125,27 +210,36 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _name(key: bytes, tweak: str, text: str, gender: str, attempt: int) -> str:
-    """Of the same gender, script and number of parts. Later attempts have longer family names: no number of entities uses them up."""
-    script = "cyrillic" if re.search("[А-я]", text) else "latin"
-    first, last = NAMES[script, gender], NAMES[script, "last"]
-    parts, x = text.split(" "), _prf(key, tweak, "name", text)
-    given, x = (first[x % len(first)] + " ", x // len(first)) if len(parts) > 1 else ("", x)
+def _part_of_name(key: bytes, tweak: str, text: str, kind: str, attempt: int) -> str:
+    """Of the same script and role, in lower case. Later attempts are built from more and more syllables: no number of names uses them up."""
+    script = "cyrillic" if re.search("[а-яё]", text) else "latin"
+    genders = ("m", "f") if kind == "given_u" else (kind[-1],)
+    x = _prf(key, tweak, "name", text)
     if attempt < LISTED:
-        return given + last[x % len(last)]
+        names = NAMES[script, "last"] if kind == "family" else [n for g in genders for n in NAMES[script, g]]
+        return names[x % len(names)].lower()
     syllables, endings = SYLLABLES[script]
-    family, x = endings[x % len(endings)], _prf(key, tweak, "family", text)
-    for i in range(attempt):
-        family = syllables[x % len(syllables)] + family
-        x = x // len(syllables) or _prf(key, tweak, "family", i, text)
-    return given + family.capitalize()
+    if kind != "family":
+        endings = [e for g in genders for e in GIVEN_ENDINGS[script, g]]
+    out, x = endings[x % len(endings)], _prf(key, tweak, "built", text)
+    if kind != "family":
+        onset = syllables[x % len(syllables)]
+        out, x = onset[:-1] + out, x // len(syllables)  # an ending starts with its own vowel
+    for i in range(attempt - LISTED + 1):
+        out = syllables[x % len(syllables)] + out
+        x = x // len(syllables) or _prf(key, tweak, "built", i, text)
+    return out
 
 
 @lru_cache(200_000)
 def surrogate(key: bytes, kind: str, text: str, attempt: int = 0) -> str:
+    """Of one entity (of one part of a name, in lower case)."""
     tweak = f"{kind}|{attempt}"
-    if kind.startswith("name_"):
-        return _name(key, tweak, text, kind[-1], attempt)
+    if kind == "family" or kind.startswith("given_"):
+        return _part_of_name(key, tweak, text, kind, attempt)
+    if attempt >= FORMAT_DRAWS:  # too many entities for the format: a longer text, which no number of them uses up
+        more = attempt - FORMAT_DRAWS + 1
+        return surrogate(key, kind, text, 0) + "".join(str(_prf(key, tweak, "more", i, text) % 10) for i in range(4 * more))
     if kind == "email":
         local, _, host = text.partition("@")
         name, _, end = host.rpartition(".")
@@ -169,9 +263,21 @@ def surrogate(key: bytes, kind: str, text: str, attempt: int = 0) -> str:
     return _respelled(key, tweak, text, kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", text) is not None)
 
 
+def replaced(key: bytes, kind: str, said: str, again: dict) -> str:
+    """What stands for a mention; again: attempts by (type, entity) where the first draw would not do."""
+    out, at = [], 0
+    for a, b, part, entity in parts(kind, said):
+        new = surrogate(key, part, entity, again.get((part, entity), 0))
+        if part == "family" or part.startswith("given_"):  # in the mention's case
+            new = new.upper() if said[a:b].isupper() else new.capitalize()
+        out += [said[at:a], new]
+        at = b
+    return "".join([*out, said[at:]])
+
+
 def _found(batches):
     for batch in pieces(batches):
-        seen = {(k, t[a:b]) for t in batch.column("text").to_pylist() for a, b, k in entities(t)}
+        seen = {(p, e) for t in batch.column("text").to_pylist() for a, b, k in entities(t) for *_, p, e in parts(k, t[a:b])}
         yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in seen], pa.string()), "entity": pa.array([e for _, e in seen], pa.string())})
 
 
@@ -185,21 +291,21 @@ def _drawn(key: bytes):
     return run
 
 
-def redrawn(docs: DataFrame, key: bytes, rounds: int = 60) -> DataFrame:
-    """kind, entity, attempt of the entities whose first surrogate will not do: it is an entity of the corpus itself, or some other entity's."""
+def redrawn(docs: DataFrame, key: bytes) -> DataFrame:
+    """kind, entity, attempt of the entities whose first surrogate will not do: it is an entity of the corpus itself, or some other entity's.
+
+    Later draws have more values than earlier ones, without an end, so the rounds come to one even where a format has too few."""
     known = written(docs.select("text").mapInArrow(_found, "kind string, entity string").distinct(), "entities")
+    real = known.select(F.col("entity").alias("surrogate")).distinct().withColumn("real", F.lit(True))
+    order = W.partitionBy("surrogate").orderBy("attempt", "kind", "entity")
     now = known.withColumn("attempt", F.lit(0))
-    for _ in range(rounds):
-        drawn = written(now.select("kind", "entity", "attempt").mapInArrow(_drawn(key), "kind string, entity string, attempt int, surrogate string"), "drawn")
-        real = known.select(F.col("entity").alias("surrogate")).distinct().withColumn("real", F.lit(True))
-        order = W.partitionBy("surrogate").orderBy("attempt", "kind", "entity")
-        checked = drawn.join(real, "surrogate", "left").withColumn("nth", F.row_number().over(order))
-        bad = F.coalesce("real", F.lit(False)) | (F.col("nth") > 1)
-        checked = written(checked.select("kind", "entity", F.when(bad, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), bad.alias("bad")), "checked")
+    while True:
+        drawn = now.select("kind", "entity", "attempt").mapInArrow(_drawn(key), "kind string, entity string, attempt int, surrogate string")
+        checked = drawn.join(real, "surrogate", "left").withColumn("bad", F.coalesce("real", F.lit(False)) | (F.row_number().over(order) > 1))
+        checked = written(checked.select("kind", "entity", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad"), "checked")
         now = checked.select("kind", "entity", "attempt")
         if not checked.filter("bad").take(1):
             return now.filter("attempt > 0")
-    raise RuntimeError("the formats of these entities have too few values to keep them distinct")
 
 
 FIELDS = [T.StructField("n_entities", T.LongType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
@@ -214,14 +320,14 @@ def _applied(key: bytes, names: list[str], to_all: dict | None):
             texts, kinds, spans = [], [], []
             for i, t in enumerate(batch.column("text").to_pylist()):
                 again = to_all if own is None else {(x["kind"], x["entity"]): x["attempt"] for x in own[i] or ()}
-                parts, at, size, ks, sp = [], 0, 0, [], []
+                out, at, size, ks, sp = [], 0, 0, [], []
                 for a, b, k in entities(t):
-                    new = surrogate(key, k, t[a:b], again.get((k, t[a:b]), 0))
-                    parts += [t[at:a], new]
+                    new = replaced(key, k, t[a:b], again)
+                    out += [t[at:a], new]
                     sp.append({"start": size + a - at, "end": size + a - at + len(new)})
                     size, at = sp[-1]["end"], b
                     ks.append(k)
-                texts.append("".join([*parts, t[at:]]) if ks else t)
+                texts.append("".join([*out, t[at:]]) if ks else t)
                 kinds.append(ks)
                 spans.append(sp)
             arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
@@ -232,16 +338,19 @@ def _applied(key: bytes, names: list[str], to_all: dict | None):
 
 def _mentions(batches):
     for batch in pieces(batches):
-        rows = [(h, k, t[a:b]) for h, t in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()) for a, b, k in entities(t)]
+        rows = [(h, p, e) for h, t in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()) for a, b, k in entities(t) for *_, p, e in parts(k, t[a:b])]
         yield pa.RecordBatch.from_pydict({"h": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.string()), "entity": pa.array([r[2] for r in rows], pa.string())})
 
 
-def pseudonymised(docs: DataFrame, key: bytes = b"quillon", to_all: int = REDRAWN_TO_ALL) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, to_all: int = REDRAWN_TO_ALL) -> DataFrame:
     """docs with text replaced, and n_entities, kinds (of each entity, in order) and spans (the surrogates' places in the new text).
 
-    Null texts stay null, texts without entities as they are. Columns of docs named like the three (or _redrawn, _hash) are replaced. The
-    key decides all surrogates: keep it secret. Repeated rows get the same text.
+    Null texts stay null, texts without entities as they are. Every entity gets a surrogate, also one without a letter or digit. Columns of docs named
+    like the three (or _redrawn, _hash) are replaced. Repeated rows get the same text; no other column matters. Whoever
+    has the key can undo the replacement: keep it secret.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     docs = docs.drop(*(f.name for f in FIELDS), "_redrawn", "_hash")
     names, schema = docs.columns, T.StructType([*docs.schema.fields, *FIELDS])
     again = written(redrawn(docs, key), "redrawn")
@@ -254,5 +363,6 @@ def pseudonymised(docs: DataFrame, key: bytes = b"quillon", to_all: int = REDRAW
     return hashed.join(told, "_hash", "left").drop("_hash").mapInArrow(_applied(key, names, None), schema)
 
 
-def report(docs: DataFrame) -> DataFrame:
-    return pseudonymised(docs.select("doc_id", "text"))
+def report(docs: DataFrame, key: bytes) -> DataFrame:
+    """The result of op6, one row per row of docs: doc_id, text with surrogates, n_entities, kinds and spans."""
+    return pseudonymised(docs.select("doc_id", "text"), key)

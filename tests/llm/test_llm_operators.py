@@ -372,11 +372,97 @@ def test_surrogates(spark, none):
     assert surrogates._luhn(shown[4].replace(" ", "")) and not surrogates._luhn(shown[5]) and shown[4].count(" ") == 3
     assert shown[0].split()[0] in surrogates.NAMES["latin", "m"] and shown[6].split()[0] in surrogates.NAMES["latin", "f"] and shown[7] in surrogates.NAMES["cyrillic", "last"]
     assert got[3].text is None and got[4].text == "" and got[6].text == rows[5][1] and got[6].n_entities == 0 and got[7].n_entities == 1
-    assert surrogates.pseudonymised(none).count() == 0
+    assert surrogates.pseudonymised(none, b"key").count() == 0
     assert {x.doc_id: x.text for x in surrogates.pseudonymised(df, b"key", to_all=-1).collect()} == {i: x.text for i, x in got.items()}
     assert surrogates.pseudonymised(df, b"other").filter("doc_id = 1").first().text != r.text
 
 
+def shown(text, key=b"key"):
+    """The text with every entity replaced by its first draw."""
+    out, at = [], 0
+    for a, b, kind in surrogates.entities(text):
+        out += [text[at:a], surrogates.replaced(key, kind, text[a:b], {})]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def found(text):
+    return [text[a:b] for a, b, _ in surrogates.entities(text)]
+
+
+def test_secrets_are_found():
+    for said, want in {
+        "password=hunter22": ["hunter22"], "PASSWORD: 'open sesame'": ["open sesame"], "my api_key=abcdefgh, then": ["abcdefgh"], 'secret: "my dog"': ["my dog"], "token: x9y8z7w6": ["x9y8z7w6"],
+        '{"client_secret": "qwerty"}': ["qwerty"], "Bearer abcdefghijklmnop.qrs": ["abcdefghijklmnop.qrs"], "pwd:Zzzz!": ["Zzzz!"], "id 1 token:********": [], "the password: reset it": [], "a secret: nothing else": [],
+        "ghp_" + "a1" * 12: ["ghp_" + "a1" * 12], "-----BEGIN PRIVATE KEY-----\nMIIab12\n-----END PRIVATE KEY-----": ["MIIab12"],
+    }.items():
+        assert found(said) == want
+        assert not any(x in shown(said) for x in want)
+
+
+def test_names_stay_one_person():
+    text = "Mr Adam Weber. Mr Weber was here, and Adam Weber left. WEBER! So Adam went. Frau Anne-Marie van Dyck, Dyck again; Dr. O'Brien. Later O'Brien; Anna Novak and Novak. Г-н Петров, Петров"
+    new = shown(text)
+    given, family = new.split(". ")[0].removeprefix("Mr ").split(" ")
+    assert new.count(family) == 3 and new.count(family.upper()) == 1 and new.count(given) == 3 and given in surrogates.NAMES["latin", "m"]
+    assert not any(x in new for x in ("Adam", "Weber", "WEBER", "Anne", "Marie", "Dyck", "Brien", "Anna", "Novak", "Петров"))
+    assert " van " in new and new.count("O'") == 2 and len(new.split()) == len(text.split())
+    assert found("Weber bakes bread. Adam too.") == [] and found("") == found(None) == []
+
+
+def test_respelling_keeps_script_and_case():
+    for text in ("иван@сайт.рф", "Ünïcode-Ñandú77", "漢字テスト12", "٣٤٥ αβγ ΑΒΓ", "********", "-", "K"):
+        new = surrogates._respelled(b"key", "t", text)
+        assert len(new) == len(text)
+        if any(map(str.isalnum, text)):
+            for a, b in zip(text, new):
+                assert (a == b) if not a.isalnum() else b in surrogates.alphabet(a)
+    assert len({surrogates._respelled(b"k", "t", a + b) for a in "абвгд" for b in "жзик"}) == 20
+
+
+def test_surrogates_never_give_up(spark):
+    """More entities than their format has values; entities of no letter or digit; very many in one text."""
+    rows = [(i, f"{chr(97 + i % 26)}@{chr(97 + i // 26)}.co") for i in range(26 * 26)] + [(1000, "id 1 token:********"), (1001, 'secret: "...."'), (1002, " ".join(f"u{i}@mail.org" for i in range(20_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in surrogates.pseudonymised(df, b"key").collect()}
+    new = [out[i].text for i in range(26 * 26)]
+    assert len(set(new)) == 26 * 26 and not set(new) & {t for _, t in rows[: 26 * 26]}
+    many = out[1002].text.split(" ")
+    assert out[1000].text == rows[26 * 26][1] and "...." not in out[1001].text and len(set(many)) == 20_000 == out[1002].n_entities and not set(many) & set(rows[-1][1].split(" "))
+    with pytest.raises(ValueError):
+        surrogates.pseudonymised(df, b"")
+
+
+def test_surrogates_by_brute_force(spark):
+    """Random texts with planted entities: each is found where it was put, equal ones get equal surrogates, different ones different, and all else stays."""
+    rng = random.Random(15)
+    kinds = {
+        "email": lambda: f"{rng.choice(VOCABULARY)}.{rng.randint(0, 99)}@mail{rng.randint(0, 5)}.example.com", "phone": lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "secret": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(38)) + "a1", "ssn": lambda: f"{rng.randint(100, 999)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+    }
+    pool = [(k, make()) for k, make in kinds.items() for _ in range(30)]
+    rows, planted = [], {}
+    for i in range(150):
+        w = [(None, x) for x in prose(rng, rng.randint(1, 60)).split()]
+        for _ in range(rng.randint(0, 6)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(pool))
+        rows.append((i, " ".join(x for _, x in w)))
+        planted[i] = w
+    mapped = collections.defaultdict(set)
+    for r in surrogates.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect():
+        own = [x for x in planted[r.doc_id] if x[0]]
+        assert r.kinds == [k for k, _ in own]
+        for (k, e), s in zip(own, r.spans):
+            mapped[k, e].add(r.text[s.start : s.end])
+        left = r.text
+        for s in reversed(r.spans):
+            left = left[: s.start] + "\0" + left[s.end :]
+        assert left == " ".join("\0" if k else x for k, x in planted[r.doc_id])
+    assert all(len(x) == 1 for x in mapped.values())
+    new = [next(iter(x)) for x in mapped.values()]
+    assert len(set(new)) == len(new) and not set(new) & {e for _, e in pool}
+
+
 def test_surrogates_stay_apart(spark):
     """A format of few values: surrogates must neither meet nor be another's entity."""
     rows = [(i, f"{'Mr' if i % 2 else 'Mrs'} {n}") for i, n in enumerate(f"Name{chr(97 + a)}{chr(97 + b)}" for a in range(4) for b in range(5))]
