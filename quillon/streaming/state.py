@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,14 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillon.sources.spread import folder
+
 SLOW, FAST, TOLERANCE = 0.9, 0.5, 0.02
 STATE = "slow double, fast double, last double, stagnant int"
 
 
-def _root(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-stream-")).rstrip("/")
-
-
 def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     slow, fast, last, stagnant = state.get if state.exists else (None, None, None, 0)
     rows = pd.concat(list(parts)).sort_values("step")
@@ -40,7 +37,7 @@ def ema_stream(rates: DataFrame) -> DataFrame:
 
 def drained_emas(series: DataFrame) -> DataFrame:
     """The series as a stream, drained once; the last state of each category."""
-    spark, root = series.sparkSession, f"{_root(series.sparkSession)}/emas-{uuid.uuid4().hex}"
+    spark, root = series.sparkSession, f"{folder(series.sparkSession, "quillon-stream-")}/emas-{uuid.uuid4().hex}"
     series.select("category", F.col("step").cast("long").alias("step"), "rate").write.parquet(f"{root}/in")
     stream = ema_stream(spark.readStream.schema("category string, step long, rate double").parquet(f"{root}/in"))
     stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -64,7 +61,7 @@ def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
 
 def appended_once(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows as a stream, appended to a table by key, drained twice: what the table holds then."""
-    spark, root = rows.sparkSession, f"{_root(rows.sparkSession)}/append-{uuid.uuid4().hex}"
+    spark, root = rows.sparkSession, f"{folder(rows.sparkSession, "quillon-stream-")}/append-{uuid.uuid4().hex}"
     rows.write.parquet(f"{root}/in")
     for run in range(2):  # a second consumer that begins anew sees all input again
         stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
