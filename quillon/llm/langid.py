@@ -18,19 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.samples import balanced, held_out
+from quillon.llm.samples import bounded, held_out
 from quillon.llm.shared import pieces, slices
 
 BUCKETS_BITS, SIZES, WIDTH = 16, (2, 3, 4), 16
-#: Rows of each language that are fitted on, at most about.
-SAMPLE = 500
+#: What is fitted on, at most about: rows and characters of each language, characters of a text.
+SAMPLE, SAMPLE_CHARS, SAMPLE_LONGEST = 500, 4_000_000, 400_000
 EPOCHS, BATCH, RATE, SEED = 6, 16, 20.0, 11
 REJECT = 0.01
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")
 _CLEAN = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
 _MUL = np.uint32(2654435761)
 
 
+def has_letter(text: str | None) -> bool:
+    """Letters are of Unicode's category L; numbers that are no digits, like ½ or Ⅷ, are none."""
+    return bool(text) and any(m[0].isalpha() for m in _MAYBE.finditer(text))
+
+
 def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all subwords, and how many each text has (one at least)."""
     raw = [b"  " + t.lower().encode("utf-8", "surrogatepass") + b"  " for t in texts]
@@ -75,7 +80,7 @@ class Model:
         out = []
         for a, b in slices(texts):
             own = texts[a:b]
-            real = [i for i, t in enumerate(own) if t and _LETTER.search(t)]
+            real = [i for i, t in enumerate(own) if has_letter(t)]
             found = [("und", 0.0, True)] * len(own)
             if real and self.langs:
                 p = _softmax(self.logits([own[i] for i in real]) / self.heat)
@@ -126,11 +131,10 @@ def train(texts: list[str], langs: list[str]) -> Model:
     return model
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs: doc_id, text, lang. Learns from rows that are not held out; rows without a lang, a text or a letter teach nothing."""
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    chosen = balanced(known.select("doc_id", "lang", "text"), "lang", sample)
-    rows = [(r["text"], r["lang"]) for r in chosen.sort("doc_id").collect() if r["text"] and _LETTER.search(r["text"])]
+def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, longest: int = SAMPLE_LONGEST) -> Model:
+    """docs: doc_id, text, lang. Learns from rows that are not held out; rows without a lang, a text or a letter teach nothing, equal texts of one
+    lang teach once. What comes to the driver is bounded in rows and characters for each language."""
+    rows = [(t, lang) for t, lang in bounded(docs.filter(~held_out(F.col("doc_id"))), "lang", sample, chars, longest) if has_letter(t)]
     return train([t for t, _ in rows], [x for _, x in rows])
 
 

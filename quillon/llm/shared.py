@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.sources.spread import spread
+from quillon.sources.spread import folder, spread
 
 #: Characters that one pass of a vectorised kernel takes at once; a longer text goes alone.
 CHUNK_CHARS = 1_000_000
@@ -22,14 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (as in tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own in local mode (as in tests); on a cluster a ValueError."""
+    return folder(spark, "quillon-checkpoint-")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on toxic text, which is the same stretch of ordinary
-text followed by the words that toxic documents have far more often (by a likelihood ratio of word pieces). Windows of a text are compressed with either; what the toxic one saves
+Two zstandard dictionaries are trained: one on ordinary text, one on toxic text of which only the telling words are left, those that toxic
+documents have far more often (by a likelihood ratio of word pieces); a trainer that sees all of it keeps what ordinary
+text has as well. Windows of a text are compressed with the ordinary dictionary and with both; what the toxic one saves
 shows toxic words. The share and number of windows that save at least some bytes are turned
-into a score by a logistic fit on a calibration part of the sample, which also chooses the dictionary's size.
+into a score by a logistic fit on a calibration part of the sample, which also chooses the toxic dictionary's size.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.samples import balanced, held_out
-from quillon.llm.shared import pieces
+from quillon.llm.samples import balanced, bounded, held_out
+from quillon.llm.shared import pieces, written
 
-#: Rows that are fitted on, at most about: half for the dictionaries, half for calibration.
-TOXIC_SAMPLE, ORDINARY_SAMPLE = 2400, 4800
-WINDOW, STEP, LEVEL, BASE_BYTES = 96, 72, 9, 16384
-SAVINGS, WORD_LIMITS, PIECES = (2, 3, 4, 5, 6), (30, 60, 120), (5, 6, 7, 8)
+#: Rows that are fitted on, at most about (half for the dictionaries, half for calibration), and characters, of each label and of a text.
+TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS, SAMPLE_LONGEST = 2400, 4800, 16_000_000, 400_000
+WINDOW, STEP, LEVEL, BASE_BYTES = 48, 32, 9, 16384
+SAVINGS, TOXIC_BYTES, PIECES = (2, 3, 4, 5, 6), (1024, 2048, 4096), (5, 6, 7, 8)
+#: The toxic dictionary's trainer: lengths of the segments that it keeps and of the strings that it counts, so short that single words stay.
+SEGMENT, COUNTED = 24, 6
 #: Stretches of 40 words, at most, that the ordinary dictionary is trained on: every k-th of the sample's.
 PARTS = 20_000
 #: A piece is telling if its likelihood ratio statistic and its ratio of frequencies are at least these.
@@ -87,6 +90,16 @@ def _ordinary(texts: list[str]) -> bytes:
         return b"".join(parts)[-BASE_BYTES:] or b" " * 8
 
 
+def _toxic(texts: list[str], telling: set[bytes], size: int) -> bytes:
+    """Trained on the texts' telling words."""
+    left = [[w for w in _words(t) if w in telling] for t in texts]
+    left = [b" " + b" ".join(w) + b" " for w in left if w]
+    try:
+        return zstandard.train_dictionary(size, left * 4, k=SEGMENT, d=COUNTED).as_bytes()
+    except zstandard.ZstdError:  # too few to train on: they are their own dictionary
+        return b"".join(dict.fromkeys(left))[-size:]
+
+
 @dataclass
 class Model:
     base: bytes = b" " * 8
@@ -98,7 +111,8 @@ class Model:
 
     def compressors(self):
         def of(content):
-            made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            # what trainers add for entropy coding is of no use in windows as short as these; the last bytes of a content are not searched, so they are none of it
+            made = zstandard.ZstdCompressionDict(content + bytes(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             made.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
@@ -140,15 +154,15 @@ def train(rows: list[tuple[str | None, int]], natural: float | None = None) -> M
     toxic, ordinary = [t or "" for t, y in rows if y == 1], [t or "" for t, y in rows if y != 1]
     if len(toxic) < 4 or len(ordinary) < 4:
         return Model(floor=1.0 if toxic and not ordinary else 0.0)
-    words = _telling(toxic[::2], ordinary[::2])
+    telling = set(_telling(toxic[::2], ordinary[::2]))
     base, best = _ordinary(ordinary[::2]), None
     test, y = toxic[1::2] + ordinary[1::2], np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-    for limit in WORD_LIMITS:
-        model = Model(base, b" " + b" ".join(reversed(words[:limit])) + b" " if words else b"")
+    for size in TOXIC_BYTES:
+        model = Model(base, _toxic(toxic[::2], telling, size))
         loss = _calibrated(model, test, y)
         if best is None or loss < best[0]:
             best = (loss, model)
-        if len(words) <= limit:
+        if len(model.toxic) < size:
             break
     model = best[1]
     if natural is not None and 0 < natural < 1:
@@ -157,14 +171,15 @@ def train(rows: list[tuple[str | None, int]], natural: float | None = None) -> M
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, ordinary: int = ORDINARY_SAMPLE) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic. Labels of held-out documents, null labels and null ids teach nothing; of repeated labels the larger counts."""
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, ordinary: int = ORDINARY_SAMPLE, chars: int = SAMPLE_CHARS, longest: int = SAMPLE_LONGEST) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic. Labels of held-out documents, null labels and null ids teach nothing; of repeated labels the larger
+    counts, and equal texts of one label teach once, so an id that many documents share does not fill the sample. What comes to the driver is bounded in rows and characters."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r[0]: r[1] for r in known.groupBy("toxic").agg(F.count("*")).collect()}
-    chosen = balanced(known, "toxic", {1: toxic, 0: ordinary})
-    # about as many ids as the sample is large, whatever the corpus
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").sort("doc_id", F.xxhash64("text")).collect()
-    return train([(r["text"], r["toxic"]) for r in rows], n.get(1, 0) / max(1, sum(n.values())))
+    # about as many ids as the sample is large, whatever the corpus; written, so that Spark knows its size when it picks the join
+    chosen = written(balanced(known, "toxic", {1: toxic, 0: ordinary}), "sample-ids")
+    rows = written(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic"), "sample")
+    return train(bounded(rows, "toxic", {1: toxic, 0: ordinary}, chars, longest), n.get(1, 0) / max(1, sum(n.values())))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -314,6 +314,32 @@ def test_language(spark, none, clash):
     assert {"lang_pred", "rejected"} <= set(langid.identify(clash, langid.train(["kaka"], ["xx"])).columns)
 
 
+def test_letters():
+    assert [langid.has_letter(x) for x in ("½ ²", "Ⅷ ①", "12 _ !!", "٣", "", None, "é", "漢", "1 a", "ª")] == [False] * 6 + [True] * 4
+    model = langid.train(["kaka ko", "schung"], ["xx", "yy"])
+    assert [x[0] for x in model.predict(["½ ²", "Ⅷ ①", "ka"])] == ["und", "und", "xx"]
+
+
+def test_samples_stay_bounded(spark):
+    """Rows without an id, rows of one id and copies of one text must neither fill the sample nor empty it."""
+    from quillon.llm.samples import bounded
+
+    own = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("ka "), F.col("id") % 9000).alias("text"), F.when(F.col("id") % 4 == 0, "xx").otherwise("yy").alias("lang"))
+    picked = bounded(own, "lang", 500, 1 << 40, 1000)
+    n = collections.Counter(x for _, x in picked)
+    assert len(set(picked)) == len(picked) and all(200 < n[k] < 700 for k in ("xx", "yy")) and picked == bounded(own.repartition(5), "lang", 500, 1 << 40, 1000)
+    assert sum(len(t) for t, _ in bounded(own, "lang", 500, 900, 1000)) < 4000
+    long = own.withColumn("text", F.concat("text", F.repeat(F.lit("x"), 2000)))
+    assert bounded(long, "lang", 500, 1 << 40, 1000) == []
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    docs = own.withColumn("doc_id", F.when(F.col("lang") == "xx", 1).otherwise(2).cast("long"))
+    got = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "train", lambda rows, share: got.extend(rows))
+        toxicity.fit(docs, labels, toxic=300, ordinary=300)
+    assert 100 < len(got) < 900 and len({t for t, _ in got}) > 100
+
+
 def test_language_learns_nothing_held_out(spark):
     rows = tongues(random.Random(4), 200)
     flip = [(i, t, "bad" if zlib.crc32(str(i).encode()) % 5 == 0 else x) for i, t, x in rows]
