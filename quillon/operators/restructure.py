@@ -35,6 +35,17 @@ def without_nulls(args: Column) -> Column:
     return F.map_filter(args, lambda k, v: v.isNotNull())
 
 
+def trainer_rows(rows: DataFrame) -> DataFrame:
+    """The names that a trainer expects."""
+    names = {"id": "row_id", "messages": "prompt", "kwargs": "constraint_kwargs"}
+    return rows.withColumnsRenamed(names)
+
+
+def without_raw(rows: DataFrame, *heavy: str) -> DataFrame:
+    """What a report keeps: all but the raw texts."""
+    return rows.drop(*(heavy or ("raw_text",)))
+
+
 def completion_text(reasoning: Column, content: Column) -> Column:
     """P5: a completion as one text, reasoning in its tags."""
     return F.when(F.coalesce(reasoning, F.lit("")) != "", F.concat(F.lit("<think>"), reasoning, F.lit("</think>\n"), F.coalesce(content, F.lit("")))).otherwise(content)

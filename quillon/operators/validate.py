@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.checkers import CHECKERS, raises
 from quillon.functions.text import repetition_loop, strip
+from quillon.operators.membership import is_disjoint, is_subset, same_counts
 from quillon.operators.quality import codes
 
 ROLES = ["system", "user", "assistant", "tool"]
@@ -72,6 +75,19 @@ def pool_problems(rows: DataFrame, violations: str, key: str, expected: int | No
     return [f"{n} {what}" for what, n in found if n]
 
 
+def raw_report(files: dict[str, DataFrame], key: str, messages: str, score: str, reward: str, strata: list[str]) -> DataFrame:
+    """F11, one row for each file of a data set: rows, rows that break the contract, rows without metadata, repeated keys, mean and median of both values, and
+    whether the files fit each other: clean lies in full, raw shares nothing with full, clean and raw have the same strata."""
+    parts = []
+    for name, rows in files.items():
+        gone = F.col(score).isNull() | F.col(reward).isNull() | F.col(key).isNull()
+        facts = [F.count("*").alias("n"), F.count_if(F.size(sft_codes(F.col(messages))) > 0).alias("n_invalid"), F.count_if(gone).alias("n_no_metadata"), (F.count(key) - F.count_distinct(key)).alias("n_again")]
+        values = [f(c).alias(f"{c}_{n}") for c in (score, reward) for n, f in (("mean", F.avg), ("median", F.median))]
+        parts.append(rows.agg(*facts, *values).select(F.lit(name).alias("file"), "*"))
+    fine = is_subset(files["clean"], files["full"], key) and is_disjoint(files["raw"], files["full"], key) and same_counts(files["clean"], files["raw"], strata)
+    return reduce(DataFrame.unionByName, parts).withColumn("files_fit", F.lit(fine))
+
+
 def tokenized_codes(ids: Column, mask: Column, labels: Column, most: int) -> Column:
     """F12."""
     return codes(

@@ -111,9 +111,11 @@ def last_subsequence(spark, sf_dir):
     return rows.select("doc_id", validate.last_subsequence(F.col("words"), F.array(F.lit("the"), F.lit("the"))).cast("long").alias("place"))
 
 
-@query()
+_UNITS = "list_filter(list_transform(string_split(regexp_replace(text, '([。！？!?])', '\\1' || chr(10), 'g'), chr(10)), lambda u: lower(regexp_replace(u, '\\s+', '', 'g'))), lambda u: u <> '')"
+
+
+@query(f"WITH u AS (SELECT doc_id, {_UNITS} AS u FROM documents) SELECT doc_id, len(list_filter(range(1, len(u) - 1), lambda i: u[i] = u[i + 1] AND u[i] = u[i + 2] AND length(u[i]) >= 12)) > 0 AS repeats FROM u")
 def repetition_loop(spark, sf_dir):
-    """A fold over units; tests hold it against a loop."""
     from quillon.functions.text import repetition_loop as loop
 
     return table(spark, sf_dir, "documents").select("doc_id", loop(F.col("text")).alias("repeats"))

@@ -76,9 +76,25 @@ def largest_remainder_alloc(spark, sf_dir):
     return spark.createDataFrame(list(sampling.allocation(total, _RATIOS).items()), "k string, n long")
 
 
-@query()
+def _quota(name: str, target: str, low: str, cap: str) -> str:
+    """Of each stratum: its proportion rounded down within its bounds, and single units, ranked by their distance from it, up to the target."""
+    return f"""{name}_t AS (SELECT *, {low} AS low, {cap} AS cap, {target} AS target, sum(n) OVER () AS whole FROM size),
+{name}_i AS (SELECT *, CAST(target * n AS DOUBLE) / whole AS ideal, greatest(low, least(cap, CAST(floor(CAST(target * n AS DOUBLE) / whole) AS BIGINT))) AS start FROM {name}_t),
+{name}_s AS (SELECT *, target - sum(start) OVER () AS need FROM {name}_i),
+{name}_u AS (SELECT bucket, length_bucket, need, sign(need) AS sg, row_number() OVER (ORDER BY sign(need) * (ideal - (start + sign(need) * j)) DESC, CASE WHEN need > 0 THEN bucket END DESC, CASE WHEN need > 0 THEN length_bucket END DESC, bucket, length_bucket) AS r
+  FROM (SELECT *, unnest(range(0, CASE WHEN need > 0 THEN cap - start WHEN need < 0 THEN start - low ELSE 0 END)) AS j FROM {name}_s)),
+{name} AS (SELECT s.bucket, s.length_bucket, s.n, CAST(s.start + coalesce(u.more, 0) AS BIGINT) AS k FROM {name}_s s LEFT JOIN (SELECT bucket, length_bucket, sum(sg) AS more FROM {name}_u WHERE r <= abs(need) GROUP BY ALL) u ON u.bucket = s.bucket AND u.length_bucket = s.length_bucket)"""
+
+
+_THIRD = "greatest(1, n // 3)"
+_SETS = f"""size AS (SELECT bucket, length_bucket, count(*) AS n FROM ranked WHERE n_stratum >= 2 GROUP BY ALL),
+{_quota('few', f'least(100, (SELECT sum({_THIRD}) FROM size))', '1', _THIRD)},
+{_quota('many', '(SELECT least(400, sum(n - k)) FROM few)', '(SELECT f.k FROM few f WHERE f.bucket = size.bucket AND f.length_bucket = size.length_bucket)', 'n - (SELECT f.k FROM few f WHERE f.bucket = size.bucket AND f.length_bucket = size.length_bucket)')}"""
+
+
+@query(f"WITH {ANNOTATED_SQL}, {_SETS}, x AS (SELECT r.*, list_filter([CASE WHEN rn <= many.k THEN 'full' END, CASE WHEN rn <= least(many.k, few.k) THEN 'clean' END, CASE WHEN rn > n_stratum - few.k THEN 'raw' END], lambda s: s IS NOT NULL) AS sets FROM ranked r JOIN few USING (bucket, length_bucket) JOIN many USING (bucket, length_bucket)) SELECT ord, bucket, length_bucket, score, array_to_string(sets, ',') AS sets FROM x WHERE len(sets) > 0")
 def allocate_by_stratum(spark, sf_dir):
-    """Full, clean and raw sets with quotas from the allocator: its loop has no SQL form; tests hold it against its rules."""
+    """Full, clean and raw sets with quotas from the allocator."""
     rows = quality.first_wins(annotated(spark, sf_dir).filter(F.size("hard") == 0), "k", "ord")
     return sampling.select_datasets(rows, STRATA, 400, 100).select("ord", *STRATA, "score", F.array_join("sets", ",").alias("sets"))
 

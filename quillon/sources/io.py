@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import fields
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """S7."""
-    rows.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    rows.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_ids(rows: DataFrame, key: str, path: str, mode: str = "errorifexists") -> None:
@@ -88,6 +89,24 @@ def read_splits(spark: SparkSession, path: str, *required: str) -> DataFrame:
     return rows
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """Nested parameters from YAML (where its library is installed) or JSON, read through Spark's file systems."""
+    text = read_text(spark, path)
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def typed(kind, parameters: dict):
+    """A dataclass from parameters; TypeError names those that it does not have, values are turned into their fields' types."""
+    known = {f.name: type(f.default) for f in fields(kind)}
+    if odd := sorted(set(parameters) - set(known)):
+        raise TypeError(f"unknown parameters: {odd}")
+    return kind(**{k: known[k](v) for k, v in parameters.items()})
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of each file's bytes: path, length, sha256. For files that fit a task."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillon.functions.text import order_hash
 from quillon.sources.spread import folder
 
 SLOW, FAST, TOLERANCE = 0.9, 0.5, 0.02
@@ -69,6 +70,24 @@ def appended_once(rows: DataFrame, keys: list[str]) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
+def reservoir(rows: DataFrame, k: int, key: str, seed: int = 42, files_at_once: int = 1) -> DataFrame:
+    """T-1, S9: k rows, uniform and equal on rerun, from one pass over rows as a stream of files. The state is a table of k rows: every micro-batch adds its
+    own best k by hash and writes the table anew under the batch's number, so a batch that runs again gives the same one."""
+    spark, root = rows.sparkSession, f"{folder(rows.sparkSession, 'quillon-stream-')}/reservoir-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{root}/in")
+    spark.createDataFrame([], rows.schema).write.parquet(f"{root}/kept/-1")
+    last = [-1]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        best = spark.read.schema(rows.schema).parquet(f"{root}/kept/{number - 1}").unionByName(batch)
+        best.orderBy(order_hash(seed, F.col(key)), key).limit(k).write.mode("overwrite").parquet(f"{root}/kept/{number}")
+        last[0] = number
+
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_at_once).parquet(f"{root}/in")
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{root}/kept/{last[0]}")
+
+
 class HealthMonitor:
     """T-6: counts batches without a signal; raises after `most` in a row, which stops the query whose foreachBatch calls it."""
 
