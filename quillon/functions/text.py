@@ -69,6 +69,11 @@ def cased_prompt_key(c: Column, normal: bool = False) -> Column:
     return collapse(c if normal else nfkc(c))
 
 
+def digest(key: str) -> list[Column]:
+    """128 bits of a key, as two columns to group or join by: of 10^12 different keys two are alike by chance with odds of about 10^-15."""
+    return [F.xxhash64(F.col(key)).alias("_d1"), F.xxhash64(F.lit("again"), F.col(key)).alias("_d2")]
+
+
 def order_hash(*parts: Column | str | int) -> Column:
     """SHA-256 of the parts joined by colons."""
     return F.sha2(F.concat_ws(":", *(p if isinstance(p, Column) else F.lit(str(p)) for p in parts)), 256)

@@ -143,7 +143,8 @@ def choose(allowed_: Column, n: Column, seed: Column, attempts: int = 4) -> Colu
         start = F.struct(allowed_.alias("left"), F.array().cast("array<string>").alias("got"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(2)), start, step, lambda s: s["got"])
 
-    tries = F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), lambda t: F.struct((F.size(draw(t))).alias("n"), (-t).alias("t"), draw(t).alias("got")))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), draw)
+    tries = F.transform(drawn, lambda got, t: F.struct(F.size(got).alias("n"), (-t).alias("t"), got.alias("got")))
     return F.array_max(tries)["got"]
 
 

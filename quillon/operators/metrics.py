@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.operators.ranks import running
+
 
 def distribution(rows: DataFrame, *fields: str) -> DataFrame:
     """A1, A25."""
@@ -71,14 +73,13 @@ def retry_audit(attempts: Column, accepted: Column, rejected: Column) -> Column:
 def midrank_percentile(rows: DataFrame, value: str) -> DataFrame:
     """Column percentile, (ranks below + ranks up to - 1) / 2 / (n - 1); 0.5 for a single row.
 
-    Ranks come from the counts of distinct values, so only those meet in one place, not the rows.
+    Ranks come from the counts of distinct values, and those are summed range by range: no task sees them all.
     """
     counts = rows.groupBy(value).agg(F.count("*").alias("_eq"))
-    upto = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy()
-    places = counts.withColumn("_le", F.sum("_eq").over(upto)).withColumn("_n", F.sum("_eq").over(whole))
+    places = running(counts, [], [value], F.col("_eq"), "_le")
+    n = rows.agg(F.count(value).alias("_n"))
     p = F.when(F.col("_n") == 1, 0.5).otherwise((2 * F.col("_le") - F.col("_eq") - 1) / 2 / (F.col("_n") - 1))
-    return rows.join(places.select(value, p.alias("percentile")), value)
+    return rows.join(places.crossJoin(n).select(value, p.alias("percentile")), value)  # one row beside each place
 
 
 def percentile_of(scores: DataFrame, reference: DataFrame, value: str) -> DataFrame:
@@ -86,8 +87,7 @@ def percentile_of(scores: DataFrame, reference: DataFrame, value: str) -> DataFr
     counts = reference.groupBy(value).agg(F.count("*").alias("_c")).withColumn("_own", F.lit(0))
     asked = scores.select(value).distinct().withColumn("_c", F.lit(0).cast("long")).withColumn("_own", F.lit(1))
     all_ = counts.unionByName(asked).groupBy(value).agg(F.sum("_c").alias("_eq"), F.max("_own").alias("_own"))
-    upto, whole = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
-    all_ = all_.withColumn("_le", F.sum("_eq").over(upto)).withColumn("_n", F.sum("_eq").over(whole)).filter("_own = 1")
+    all_ = running(all_, [], [value], F.col("_eq"), "_le").filter("_own = 1").crossJoin(reference.agg(F.count("*").alias("_n")))
     p = F.when(F.col("_n") == 1, 0.5).when(F.col("_eq") == 0, F.col("_le") / (F.col("_n") - 1)).otherwise((2 * F.col("_le") - F.col("_eq") - 1) / 2 / (F.col("_n") - 1))
     return scores.join(all_.select(value, F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)).alias("percentile")), value)
 

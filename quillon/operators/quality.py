@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions.text import PLACEHOLDER, SELF_ID_MARKERS, alnum_key, strip
+from quillon.functions.text import PLACEHOLDER, SELF_ID_MARKERS, alnum_key, digest, strip
 
 # What each soft flag takes from the score.
 PENALTIES = {"negative_reward": 12, "low_reward": 4, "very_short_answer": 8, "very_long_sample": 3, "assistant_self_identification": 8, "answer_copied_from_prompt": 10}
@@ -54,9 +53,12 @@ def dialogue_codes(messages: Column, metadata: Column) -> Column:
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by order; rows with an empty or null key are dropped too. Filter before, never after."""
-    nth = F.row_number().over(W.partitionBy(key).orderBy(order))
-    return rows.filter((F.col(key) != "") & F.col(key).isNotNull()).withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    """The first row of each key by order; rows with an empty or null key are dropped too. Filter before, never after.
+
+    Keys meet as 128-bit digests, and repeats within a task go before the shuffle, so neither long keys nor a hot one weigh. Pass the columns that are needed only.
+    """
+    own = rows.filter((F.col(key) != "") & F.col(key).isNotNull())
+    return own.groupBy(*digest(key)).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -64,10 +66,9 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r"), F.min(order).alias("first_place")).select("r.*", "first_place")
 
 
-def failure_counts(annotated: DataFrame, key: str = "k", order: str = "ord") -> DataFrame:
+def failure_counts(annotated: DataFrame, key: str = "k") -> DataFrame:
     """A3: rows for each hard code, and duplicate_question for the usable rows that first_wins drops."""
-    hard = annotated.select(F.explode("hard").alias("reason"))
-    usable = annotated.filter(F.size("hard") == 0)
-    nth = F.row_number().over(W.partitionBy(key).orderBy(order))
-    again = usable.withColumn("_nth", nth).filter((F.col("_nth") > 1) | (F.col(key) == "")).select(F.lit("duplicate_question").alias("reason"))
-    return hard.union(again).groupBy("reason").agg(F.count("*").alias("n"))
+    hard = annotated.select(F.explode("hard").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    usable = annotated.filter(F.size("hard") == 0).groupBy(*digest(key), (F.coalesce(F.col(key), F.lit("")) == "").alias("empty")).agg(F.count("*").alias("m"))
+    again = usable.agg(F.sum(F.when(F.col("empty"), F.col("m")).otherwise(F.col("m") - 1)).alias("n")).filter("n > 0")
+    return hard.union(again.select(F.lit("duplicate_question").alias("reason"), "n"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.text import strip
+from quillon.operators.ranks import running
 
 
 def from_source(rows: DataFrame, language: str = "zh-cn") -> DataFrame:
@@ -112,5 +113,5 @@ def trajectory_risk(attempts: Column, tokens: Column, budget: Column, near: int
 
 
 def numbered(rows: DataFrame, pattern: str, *order: Column | str) -> DataFrame:
-    """Ids in an order, such as 'row-%04d'. For selections that one task can number; a corpus keeps its own keys."""
-    return rows.withColumn("new_id", F.format_string(pattern, F.row_number().over(W.orderBy(*order))))
+    """Ids in an order, such as 'row-%04d'."""
+    return running(rows, [], list(order), name="_rn").withColumn("new_id", F.format_string(pattern, "_rn")).drop("_rn")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.scores import learnability, progress_signal, soft_overlong
 from quillon.functions.text import parse_reasoning, strip
@@ -70,21 +73,26 @@ def structure_weighted_mean(loss: Column, structure: Column, n: Column, k: Colum
 
 
 def emas(rows: DataFrame, category: str = "category", step: str = "step", rate: str = "rate", slow: float = 0.9, fast: float = 0.5, tolerance: float = 0.02) -> DataFrame:
-    """W9, W10 as a fold over each category's steps: slow, fast, last, stagnant after every step.
+    """Slow, fast, stagnant of each category after every step, in one pass over its series.
 
-    A category's series is one value a step, so it stays as long as the run has steps. For an endless one see streaming.state.
+    A series has one value a step, so it is as long as the run has steps. For an endless one see streaming.state.
     """
-    series = rows.groupBy(category).agg(F.array_sort(F.collect_list(F.struct(step, F.col(rate).cast("double").alias("rate")))).alias("s"))
-    kind = f"array<struct<{step}:bigint,rate:double,slow:double,fast:double,stagnant:int>>"
 
-    def fold(state: Column, x: Column) -> Column:
-        was = F.try_element_at(state, F.lit(-1))
-        new = lambda c, b: F.when(was.isNull(), x["rate"]).otherwise(b * was[c] + (1 - b) * x["rate"])
-        still = F.when(was.isNotNull() & (F.abs(x["rate"] - was["rate"]) <= tolerance), was["stagnant"] + 1).otherwise(0)
-        row = F.struct(x[step].cast("bigint").alias(step), x["rate"].alias("rate"), new("slow", slow).alias("slow"), new("fast", fast).alias("fast"), still.cast("int").alias("stagnant"))
-        return F.concat(state, F.array(row))
-
-    return series.select(category, F.explode(F.aggregate("s", F.array().cast(kind), fold)).alias("x")).select(category, "x.*")
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by(step)
+        x = t.column("rate").to_numpy()
+        out = np.empty((3, len(x)))
+        s = f = was = x[0]
+        still = 0
+        for i, v in enumerate(x.tolist()):
+            if i:
+                s, f, still = slow * s + (1 - slow) * v, fast * f + (1 - fast) * v, still + 1 if abs(v - was) <= tolerance else 0
+            out[:, i], was = (s, f, still), v
+        return pa.table([*(t.column(c) for c in (category, step, "rate")), pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32))], names=[category, step, "rate", "slow", "fast", "stagnant"])
+
+    own = rows.select(category, F.col(step).cast("bigint").alias(step), F.col(rate).cast("double").alias("rate"))
+    more = [T.StructField("slow", T.DoubleType()), T.StructField("fast", T.DoubleType()), T.StructField("stagnant", T.IntegerType())]
+    return own.groupBy(category).applyInArrow(fold, T.StructType([*own.schema.fields, *more]))
 
 
 def category_signals(state: DataFrame, patience: int = 3, scale: float = 0.25) -> DataFrame:

@@ -43,10 +43,13 @@ def violations_report(spark, sf_dir):
     return _messages(spark, sf_dir).select(F.explode(v).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, 1 AS turn, sha256(a) AS prompt FROM (SELECT conv_id, max(text) FILTER (turn = 0) AS a FROM conversations GROUP BY conv_id) WHERE a IS NOT NULL UNION ALL SELECT conv_id, 2, sha256(a) FROM (SELECT conv_id, max(text) FILTER (turn = 2) AS a FROM conversations GROUP BY conv_id) WHERE a IS NOT NULL UNION ALL SELECT conv_id, 3, sha256(a) FROM (SELECT conv_id, max(text) FILTER (turn = 4) AS a FROM conversations GROUP BY conv_id) WHERE a IS NOT NULL")
+@query("SELECT conv_id, CAST(turn // 2 + 1 AS INTEGER) AS turn, sha256(max(text)) AS prompt FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id, turn")
 def turn_unpivot(spark, sf_dir):
-    wide = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == 2 * i, F.col("text"))).alias(f"t{i}") for i in range(3)))
-    return restructure.turns_to_rows(wide, ["t0", "t1", "t2"], ["conv_id"]).select("conv_id", "turn", F.sha2("prompt", 256).alias("prompt"))
+    """Every second turn as a column, as many as the longest conversation has, and back to rows."""
+    rows = table(spark, sf_dir, "conversations")
+    n = (rows.agg(F.max("turn")).first()[0] or 0) // 2 + 1
+    wide = rows.groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == 2 * i, F.col("text"))).alias(f"t{i}") for i in range(n)))
+    return restructure.turns_to_rows(wide, [f"t{i}" for i in range(n)], ["conv_id"]).select("conv_id", "turn", F.sha2("prompt", 256).alias("prompt"))
 
 
 @query(f"WITH {_CONV} SELECT conv_id, CAST(i - 1 AS INTEGER) AS place, roles[i] AS role, length(texts[i]) AS n FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM conv)")
@@ -65,7 +68,7 @@ def ordered_lookup(spark, sf_dir):
 
 # token ids that both engines can make: a word's length and first character
 _IDS = "list_transform(string_split({}, ' '), lambda w: length(w) * 1000 + CASE WHEN w = '' THEN 0 ELSE ord(w) END)"
-_TOK = f"tok AS (SELECT conv_id, {_IDS.format('q')} AS p, {_IDS.format("q || ' ' || a")} AS ids FROM (SELECT conv_id, max(text) FILTER (turn = 0) AS q, coalesce(max(text) FILTER (turn = 1), '') AS a FROM conversations GROUP BY conv_id) WHERE q IS NOT NULL)"
+_TOK = f"last AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS t FROM conversations), tok AS (SELECT conv_id, {_IDS.format('q')} AS p, {_IDS.format("q || ' ' || a")} AS ids FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (turn < t) AS q, max(text) FILTER (turn = t) AS a FROM last GROUP BY conv_id) WHERE q IS NOT NULL)"
 
 
 def _ids(c):
@@ -73,8 +76,10 @@ def _ids(c):
 
 
 def _tokens(spark, sf_dir):
-    two = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("q"), F.coalesce(F.max(F.when(F.col("turn") == 1, F.col("text"))), F.lit("")).alias("a"))
-    return two.filter("q is not null").select("conv_id", _ids(F.col("q")).alias("p"), _ids(F.concat_ws(" ", "q", "a")).alias("ids"))
+    """All turns but the last as the prompt, the whole conversation as ids."""
+    said = restructure.messages(table(spark, sf_dir, "conversations")).select("conv_id", F.transform("messages", lambda x: x["content"]).alias("t")).filter(F.size("t") > 1)
+    before = F.array_join(F.slice("t", 1, F.size("t") - 1), " ")
+    return said.select("conv_id", _ids(before).alias("p"), _ids(F.array_join("t", " ")).alias("ids"))
 
 
 @query(f"WITH {_TOK} SELECT conv_id, len(ids) AS n, sha256(array_to_string(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN i <= len(p) THEN -100 ELSE ids[i] END), ',')) AS labels FROM tok")
@@ -83,18 +88,18 @@ def label_mask(spark, sf_dir):
     return rows.select("conv_id", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join(restructure.label_mask(F.col("p"), F.col("ids")).cast("array<string>"), ","), 256).alias("labels"))
 
 
-@query(f"WITH {_TOK} SELECT conv_id, len(ids) AS n, CASE WHEN len(ids) > 128 THEN 'length_out_of_range' ELSE '' END AS codes FROM tok")
+@query(f"WITH {_TOK} SELECT conv_id, len(ids) AS n, CASE WHEN len(ids) > 512 THEN 'length_out_of_range' ELSE '' END AS codes FROM tok")
 def token_length_filter(spark, sf_dir):
     rows = _tokens(spark, sf_dir)
-    code = validate.tokenized_codes(F.col("ids"), F.transform("ids", lambda x: F.lit(1)), restructure.label_mask(F.col("p"), F.col("ids")), 128)
+    code = validate.tokenized_codes(F.col("ids"), F.transform("ids", lambda x: F.lit(1)), restructure.label_mask(F.col("p"), F.col("ids")), 512)
     return rows.select("conv_id", F.size("ids").cast("long").alias("n"), F.array_join(code, ",").alias("codes"))
 
 
-@query(f"WITH {_TOK} SELECT a.conv_id, len(a.ids) AS n, len(b.ids) AS m FROM tok a JOIN tok b ON b.conv_id = a.conv_id + 1 WHERE len(a.ids) <= 128 AND len(b.ids) <= 128")
+@query(f"WITH {_TOK} SELECT a.conv_id, len(a.ids) AS n, len(b.ids) AS m FROM tok a JOIN tok b ON b.conv_id = a.conv_id + 1 WHERE len(a.ids) <= 512 AND len(b.ids) <= 512")
 def paired_filter(spark, sf_dir):
     rows = _tokens(spark, sf_dir).select("conv_id", F.size("ids").cast("long").alias("n"))
     other = rows.select((F.col("conv_id") - 1).alias("conv_id"), F.col("n").alias("m"))
-    return membership.zipped(rows, other, place="conv_id").filter("n <= 128 and m <= 128")
+    return membership.zipped(rows, other, place="conv_id").filter("n <= 512 and m <= 512")
 
 
 @query("WITH t AS (SELECT doc_id, [CASE WHEN doc_id % 5 = 0 THEN 9 ELSE 1 END, CAST(doc_id % 7 AS INTEGER) + 10, CASE WHEN doc_id % 3 = 0 THEN 9 ELSE 2 END, 20, CASE WHEN doc_id % 4 = 0 THEN 9 ELSE 3 END] AS ids FROM documents) SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT list_contains(ids, 1) THEN 'opening_count' END, CASE WHEN NOT list_contains(ids, 2) THEN 'closing_count' END, CASE WHEN NOT list_contains(ids, 3) THEN 'no_end' END, CASE WHEN ids[1] <> 1 THEN 'not_opened_first' END], lambda x: x IS NOT NULL), ',') AS codes FROM t")

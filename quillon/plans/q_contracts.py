@@ -43,7 +43,8 @@ _SETS = f"""{ANNOTATED_SQL}, s AS (SELECT *, greatest(1, n_stratum // 3) AS kk F
 def raw_contract(spark, sf_dir):
     """The three files of a data set against their contract, and against each other."""
     strata = ["bucket", "length_bucket"]
-    rows = sampling.ranked(quality.first_wins(annotated(spark, sf_dir).filter(F.size("hard") == 0), "k", "ord"), strata).filter("n_stratum >= 2")
+    rows = annotated(spark, sf_dir).filter(F.size("hard") == 0).select("ord", "k", *strata, "score", "reward", "question", "answer")
+    rows = sampling.ranked(quality.first_wins(rows, "k", "ord"), strata).filter("n_stratum >= 2")
     said = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
     rows = rows.withColumn("messages", F.array(said("user", "question"), said("assistant", "answer"))).withColumn("kk", F.greatest(F.lit(1), F.floor(F.col("n_stratum") / 3)))
     files = {"full": rows.filter("rn <= n_stratum - kk"), "clean": rows.filter("rn <= kk and rn <= n_stratum - kk"), "raw": rows.filter("rn > n_stratum - kk")}

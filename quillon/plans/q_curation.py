@@ -12,8 +12,8 @@ from quillon.plans.registry import query, table
 
 @query(f"WITH {ANNOTATED_SQL} SELECT ord, sha256(k) AS key_sha256, n, len(hard) AS n_hard FROM usable")
 def norm_key_dedup_first(spark, sf_dir):
-    rows = quality.first_wins(annotated(spark, sf_dir).filter(F.size("hard") == 0), "k", "ord")
-    return rows.select("ord", F.sha2("k", 256).alias("key_sha256"), (F.length("question") + F.length("answer")).cast("long").alias("n"), F.size("hard").cast("long").alias("n_hard"))
+    rows = annotated(spark, sf_dir).filter(F.size("hard") == 0).select("ord", "k", (F.length("question") + F.length("answer")).cast("long").alias("n"), F.size("hard").cast("long").alias("n_hard"))
+    return quality.first_wins(rows, "k", "ord").select("ord", F.sha2("k", 256).alias("key_sha256"), "n", "n_hard")
 
 
 @query(f"WITH {SFT_SQL}, keyed AS (SELECT *, regexp_replace(lower(question || answer), '[^\\pL\\pN]', '', 'g') AS k FROM sft) SELECT sha256(k) AS key_sha256, max(ord) AS ord, min(ord) AS first_place, arg_max(reward, ord) AS reward FROM keyed WHERE reward IS NOT NULL GROUP BY k")
@@ -55,14 +55,14 @@ def length_bucket_counts(spark, sf_dir):
 
 @query(f"WITH {ANNOTATED_SQL} SELECT bucket, count(*) AS n, round(avg(score), 6) AS score_mean, median(score) AS score_median, round(avg(reward), 6) AS reward_mean, median(reward) AS reward_median FROM usable GROUP BY bucket")
 def score_summary_median(spark, sf_dir):
-    rows = quality.first_wins(annotated(spark, sf_dir).filter(F.size("hard") == 0), "k", "ord")
+    rows = quality.first_wins(annotated(spark, sf_dir).filter(F.size("hard") == 0).select("ord", "k", "bucket", "score", "reward"), "k", "ord")
     out = metrics.score_summary(rows, "score", "reward", by=["bucket"])
     return out.withColumn("score_mean", F.round("score_mean", 6)).withColumn("reward_mean", F.round("reward_mean", 6))
 
 
 @query(f"WITH {ANNOTATED_SQL} SELECT bucket, length_bucket, count(*) AS n FROM usable GROUP BY bucket, length_bucket")
 def strata_counts(spark, sf_dir):
-    rows = quality.first_wins(annotated(spark, sf_dir).filter(F.size("hard") == 0), "k", "ord")
+    rows = quality.first_wins(annotated(spark, sf_dir).filter(F.size("hard") == 0).select("ord", "k", "bucket", "length_bucket"), "k", "ord")
     return metrics.distribution(rows, "bucket", "length_bucket")
 
 
@@ -97,7 +97,7 @@ def overlap_semi(spark, sf_dir):
     return membership.among(docs, marks, "k").select("doc_id", F.sha2("k", 256).alias("key_sha256"))
 
 
-@query(f"WITH {_BOUNDARY_SQL}, h AS (SELECT DISTINCT sha256(k) AS h FROM keyed WHERE k IN (SELECT k FROM boundary)) SELECT count(*) AS n_overlap, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM h")
+@query(f"WITH {_BOUNDARY_SQL}, h AS (SELECT DISTINCT sha256(k) AS h FROM keyed WHERE k IN (SELECT k FROM boundary)) SELECT count(*) AS n_overlap, sha256({" || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS HUGEINT)) AS VARCHAR)" for i in range(4))}) AS fingerprint FROM h")
 def overlap_fingerprint(spark, sf_dir):
     docs, marks = _boundary(spark, sf_dir)
     h = lambda x: x.select(F.sha2("k", 256).alias("h"))

@@ -43,8 +43,10 @@ def first_of_each_class(spark, sf_dir):
     return gates.first_of_each(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_orderstatus"), "o_orderpriority", "o_orderkey")
 
 
-@query("SELECT conv_id, len(list_distinct(list_filter([regexp_replace(max(text) FILTER (turn = 0), '\\s+', ' ', 'g'), regexp_replace(max(text) FILTER (turn = 2), '\\s+', ' ', 'g')], lambda x: x IS NOT NULL))) AS n FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, len(list_distinct(list(regexp_replace(text, '\\s+', ' ', 'g')) FILTER (turn % 2 = 0))) AS n FROM conversations GROUP BY conv_id")
 def prompt_sets(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    n = (rows.agg(F.max("turn")).first()[0] or 0) // 2 + 1
     cell = lambda t: F.to_json(F.struct(F.max(F.when(F.col("turn") == t, F.col("text"))).alias("content")))
-    wide = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(cell(0).alias("t1"), cell(2).alias("t2"))
-    return wide.select("conv_id", F.size(gates.prompt_set([F.col("t1"), F.col("t2")], True)).cast("long").alias("n"))
+    wide = rows.groupBy("conv_id").agg(*(cell(2 * i).alias(f"t{i}") for i in range(n)))
+    return wide.select("conv_id", F.size(gates.prompt_set([F.col(f"t{i}") for i in range(n)], True)).cast("long").alias("n"))

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.text import order_hash
 from quillon.operators import quality, sampling
+from quillon.operators.ranks import running
 from quillon.plans.fixtures import ANNOTATED_SQL, annotated, sft
 from quillon.plans.registry import query, table
 
 STRATA = ["bucket", "length_bucket"]
 
 
+def _usable(spark, sf_dir):
+    rows = annotated(spark, sf_dir).filter(F.size("hard") == 0).select("ord", "k", *STRATA, "score")
+    return quality.first_wins(rows, "k", "ord").select("ord", F.sha2("k", 256).alias("k"), *STRATA, "score")
+
+
 def _ranked(spark, sf_dir):
-    rows = quality.first_wins(annotated(spark, sf_dir).filter(F.size("hard") == 0), "k", "ord")
-    return sampling.ranked(rows, STRATA)
+    return sampling.ranked(_usable(spark, sf_dir), STRATA, tie=F.col("k"))  # the key's hash already
 
 
 _K = "greatest(1, n_stratum // 3)"
@@ -95,8 +99,7 @@ _SETS = f"""size AS (SELECT bucket, length_bucket, count(*) AS n FROM ranked WHE
 @query(f"WITH {ANNOTATED_SQL}, {_SETS}, x AS (SELECT r.*, list_filter([CASE WHEN rn <= many.k THEN 'full' END, CASE WHEN rn <= least(many.k, few.k) THEN 'clean' END, CASE WHEN rn > n_stratum - few.k THEN 'raw' END], lambda s: s IS NOT NULL) AS sets FROM ranked r JOIN few USING (bucket, length_bucket) JOIN many USING (bucket, length_bucket)) SELECT ord, bucket, length_bucket, score, array_to_string(sets, ',') AS sets FROM x WHERE len(sets) > 0")
 def allocate_by_stratum(spark, sf_dir):
     """Full, clean and raw sets with quotas from the allocator."""
-    rows = quality.first_wins(annotated(spark, sf_dir).filter(F.size("hard") == 0), "k", "ord")
-    return sampling.select_datasets(rows, STRATA, 400, 100).select("ord", *STRATA, "score", F.array_join("sets", ",").alias("sets"))
+    return sampling.select_datasets(_usable(spark, sf_dir), STRATA, 400, 100, tie=F.col("k")).select("ord", *STRATA, "score", F.array_join("sets", ",").alias("sets"))
 
 
 @query("SELECT * FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents) WHERE rn = 1")
@@ -119,8 +122,8 @@ def expanded_schedule(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 4) AS BIGINT) AS chunk FROM documents")
 def chunk_groups(spark, sf_dir):
-    rn = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.floor((rn - 1) / 4).alias("chunk"))
+    rows = running(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], ["doc_id"])
+    return rows.select("doc_id", F.floor((F.col("rn") - 1) / 4).alias("chunk"))
 
 
 @query("WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('1:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place FROM documents WHERE source = 'src1'), b AS (SELECT doc_id AS other, row_number() OVER (ORDER BY sha256('2:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place FROM documents WHERE source = 'src2') SELECT place, doc_id, other FROM a JOIN b USING (place)")
@@ -128,7 +131,7 @@ def paired_by_place(spark, sf_dir):
     from quillon.operators.membership import zipped
 
     docs = table(spark, sf_dir, "documents")
-    side = lambda s, seed, name: docs.filter(F.col("source") == s).select(F.col("doc_id").alias(name), (F.row_number().over(W.orderBy(order_hash(seed, F.col("doc_id")), "doc_id")) - 1).cast("long").alias("place"))
+    side = lambda s, seed, name: running(docs.filter(F.col("source") == s).select(F.col("doc_id").alias(name)), [], [order_hash(seed, F.col(name)), name], name="rn").select(name, (F.col("rn") - 1).alias("place"))
     return zipped(side("src1", 1, "doc_id"), side("src2", 2, "other")).select("place", "doc_id", "other")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,10 @@ def folder(spark: SparkSession, prefix: str) -> str:
             context.setCheckpointDir(tempfile.mkdtemp(prefix=prefix))
         found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet under the shared folder and read back: its lineage ends there."""
+    path = f"{folder(df.sparkSession, 'quillon-checkpoint-')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

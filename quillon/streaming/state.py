@@ -46,18 +46,28 @@ def drained_emas(series: DataFrame) -> DataFrame:
     return out.groupBy("category").agg(F.max_by(F.struct("slow", "fast", "last", "stagnant"), "step").alias("s")).select("category", "s.*")
 
 
+#: Parts of an append-once table, by a hash of the key: a batch reads the keys of its own parts only.
+PARTS = 256
+
+
 def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """T-2, for foreachBatch: appends the rows whose keys the target does not have; a batch run again appends nothing."""
+    """T-2, T-7, for foreachBatch: appends the rows whose keys the target does not have; a batch run again appends nothing. The target is the seen-set, dealt
+    into folders by a hash of the keys, so a small batch reads few of them, and a restart needs nothing else."""
     spark = batch.sparkSession
-    new = batch.dropDuplicates(keys)
+    new = batch.dropDuplicates(keys).withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")).persist()
     try:
-        known = spark.read.parquet(path).select(*keys)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        new = new.join(known, keys, "left_anti")
-    new.write.mode("append").parquet(path)
+        touched = [r[0] for r in new.select("_part").distinct().collect()]
+        try:
+            known = spark.read.parquet(path).filter(F.col("_part").isin(touched)).select("_part", *keys)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            fresh = new
+        else:
+            fresh = new.join(known, ["_part", *keys], "left_anti")
+        fresh.write.mode("append").partitionBy("_part").parquet(path)
+    finally:
+        new.unpersist()
 
 
 def appended_once(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,7 +77,7 @@ def appended_once(rows: DataFrame, keys: list[str]) -> DataFrame:
     for run in range(2):  # a second consumer that begins anew sees all input again
         stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
         stream.writeStream.foreachBatch(lambda b, _: append_new(b, f"{root}/out", keys)).option("checkpointLocation", f"{root}/checkpoint-{run}").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.parquet(f"{root}/out").drop("_part")
 
 
 def reservoir(rows: DataFrame, k: int, key: str, seed: int = 42, files_at_once: int = 1) -> DataFrame:
@@ -89,13 +99,22 @@ def reservoir(rows: DataFrame, k: int, key: str, seed: int = 42, files_at_once:
 
 
 class HealthMonitor:
-    """T-6: counts batches without a signal; raises after `most` in a row, which stops the query whose foreachBatch calls it."""
+    """T-6: counts batches without a signal; raises after `most` in a row, which stops the query whose foreachBatch calls it.
+
+    With a path the count after each batch is kept there under the batch's number, so a restarted query goes on counting where the last one was, and a
+    batch that runs again counts once.
+    """
 
-    def __init__(self, most: int = 8):
-        self.most, self.run = most, 0
+    def __init__(self, most: int = 8, path: str | None = None):
+        self.most, self.path, self.run = most, path, 0
 
-    def __call__(self, batch: DataFrame, _id: int = 0) -> None:
+    def __call__(self, batch: DataFrame, number: int = 0) -> None:
+        spark = batch.sparkSession
+        if self.path and number > 0:
+            self.run = spark.read.schema("run int").parquet(f"{self.path}/{number - 1}").first()["run"]
         self.run = 0 if batch.filter(F.col("signal")).take(1) else self.run + 1
+        if self.path:
+            spark.createDataFrame([(self.run,)], "run int").write.mode("overwrite").parquet(f"{self.path}/{number}")
         if self.run >= self.most:
             raise RuntimeError(f"{self.run} batches in a row without a learning signal")
 

@@ -38,3 +38,20 @@ def test_snapshot(spark, tmp_path):
     state.snapshot(s.withColumn("slow", F.lit(1.5)), f"{tmp_path}/s", beta=0.9)
     with pytest.raises(ValueError, match="bounds"):
         state.restored(spark, f"{tmp_path}/s", beta=0.9)
+
+
+def test_monitor_counts_on_after_a_restart(spark, tmp_path):
+    flat = spark.createDataFrame([(False,)], "signal boolean")
+    for number in range(2):
+        state.HealthMonitor(3, str(tmp_path / "runs"))(flat, number)
+    state.HealthMonitor(3, str(tmp_path / "runs"))(flat, 1)  # the batch runs again
+    with pytest.raises(RuntimeError):
+        state.HealthMonitor(3, str(tmp_path / "runs"))(flat, 2)
+
+
+def test_reservoir_is_the_sample_of_the_whole(spark):
+    from quillon.operators.sampling import hash_limit
+
+    rows = spark.range(500).select(F.col("id").cast("string").alias("id")).repartition(4)
+    want = {r.id for r in hash_limit(rows, 40).collect()}
+    assert {r.id for r in state.reservoir(rows, 40, "id").collect()} == want and len(want) == 40
