@@ -294,3 +294,17 @@ def test_membership_by_digest(spark):
     keys = spark.createDataFrame([("a",), ("c" * 5000,), (None,), ("a",)], "k string")
     assert sorted(r.i for r in membership.without(rows, keys, "k").collect()) == [2, 3]
     assert sorted(r.i for r in membership.among(rows, keys, "k").collect()) == [1, 4, 5] and membership.among(rows, keys, "k").columns == ["i", "k"]
+
+
+def test_hooks(spark):
+    from quillon.functions import hooks
+
+    df = spark.createDataFrame([("a b!", [1]), (None, None)], "text string, ids array<int>")
+    assert [r[0] for r in df.select(hooks.token_counter()(F.col("text"))).collect()] == [3, 0]
+    assert [r[0] for r in df.select(hooks.token_counter(len)(F.col("text"))).collect()] == [4, 0]
+    with pytest.raises(Exception, match="values for"):
+        hooks.rewarded(df, lambda c: [], ["text"]).collect()
+    assert [r.completion for r in hooks.decoded(df, str).collect()] == ["[1]", None]
+    seen = []
+    hooks.with_weights(lambda n: n * 10, lambda batch, w, n: seen.append((w, n)))(df, 3)
+    assert seen == [(30, 3)]
