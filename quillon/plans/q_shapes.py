@@ -81,7 +81,7 @@ def numbered_rows(spark, sf_dir):
     return restructure.numbered(table(spark, sf_dir, "benchmark").select("item_id"), "row-%04d", text.order_hash(42, F.col("item_id")), "item_id")
 
 
-@query(f"SELECT doc_id, substr({_S.format("regexp_replace(text, '\s+', ' ', 'g')")}, 1, 120) AS preview FROM documents")
+@query(f"SELECT doc_id, substr({_S.format("regexp_replace(text, '\\s+', ' ', 'g')")}, 1, 120) AS preview FROM documents")
 def previews(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
 
