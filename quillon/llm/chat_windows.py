@@ -40,7 +40,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
     n_repeated (turns at its head that are repeats), n_turns (its own), loss_spans (start and length in code points), n_tokens.
 
     Turns are ordered by turn (null first), then role and text; a null role or text is empty. All windows but those of a single long turn keep to
-    the budget: a turn is never cut. Rows without conv_id are one conversation. Repeated rows are turns like others.
+    the budget: a turn is never cut, and neither is the system turn. One that leaves less room than two turns need is repeated all the same, so each
+    window then has a turn and is over the budget by what the system turn is. A conversation is put in order by one task. Rows without conv_id are one conversation. Repeated rows are turns like others.
     The first system turn so far is kept at the head of the windows after its own.
     """
     if history_tokens < 0 or budget <= 2 * history_tokens:

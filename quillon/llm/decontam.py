@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.shared import pieces, slices, written
+from quillon.llm.shared import mapped, pieces, slices, written
 from quillon.llm.words import ALNUM, Words, mix, words
 
 WINDOW = 10
 #: End positions that one lane goes through.
 LANE = 256
-#: Characters of test items that one search holds; a larger benchmark is searched in as many passes.
-PASS_CHARS = 32_000_000
+#: Characters and windows of test items that one search holds; a larger benchmark is searched in as many passes. A window takes about half a
+#: kilobyte in the driver and in each Python worker, whatever the length of its words.
+PASS_CHARS, PASS_WINDOWS = 32_000_000, 500_000
 _BLOCK = np.uint64(0xA0761D6478BD642F)
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -144,17 +145,18 @@ def _merged(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, pass_chars: int = PASS_CHARS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, pass_chars: int = PASS_CHARS, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """docs with n_words, hit_spans (word ranges covered by occurrences of benchmark windows) and item_ids (sorted strings).
 
     A null or wordless text has no words and no hits; a null or wordless item has no windows; an item without an
     id hits words but is not listed. Columns of docs named like the three are replaced. Repeated rows are judged alike. The benchmark's size is
-    checked: beyond pass_chars its items are dealt by hash into as many passes, each over all documents.
+    checked: beyond pass_chars or pass_windows its items are dealt by hash into as many passes, each over all documents.
     """
     docs = docs.drop(*(f.name for f in FIELDS))
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = -(-chars // pass_chars) or 1
+    # no item has more windows than words, nor more words than these
+    size = items.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("words")).first()
+    passes = max(-(-(size["chars"] or 0) // pass_chars), -(-(size["words"] or 0) // pass_windows), 1)
     schema, names = T.StructType([*docs.schema.fields, *FIELDS]), docs.columns
     out = docs
     for k in range(passes):
@@ -171,7 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 more = [[n for n, _, _ in found], [[{"start": x, "end": y} for x, y in s] for _, s, _ in found], [i for *_, i in found]]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(v, t) for v, t in zip(more, arrow)], [*names, *(f.name for f in FIELDS)])
 
-        out = out.mapInArrow(run, schema)
+        out = mapped(out, run, schema)
         if k < passes - 1:
             out = written(out, "decontaminate")
     return out

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.samples import bounded, held_out
-from quillon.llm.shared import pieces, slices
+from quillon.llm.shared import mapped, pieces, slices
 
 BUCKETS_BITS, SIZES, WIDTH = 16, (2, 3, 4), 16
 #: What is fitted on, at most about: rows and characters of each language, characters of a text.
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             more = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + more, [*names, "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
 
 
 def report(docs: DataFrame) -> DataFrame:

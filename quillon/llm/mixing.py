@@ -42,6 +42,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return rows.withColumn("line", line["share"]).select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("line") * F.col("weight"), F.col("most"))).alias("target"))
 
 
+def _ident() -> Column:
+    """What a row is known by: its doc_id, or its text's hash where that is null, so that rows without one are no single group."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
 def _unit(seed: int, *by) -> Column:
     """A number in (0, 1) from a hash: reruns agree."""
     return (F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -80,24 +85,24 @@ def _round(rows: DataFrame, seed: int, level: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 17, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, source, again (its number among rows alike in doc_id, source and size), size, source_size, target, copies.
+    """One row per row of docs: doc_id, ident (doc_id, or the text's hash), source, again (its number among rows alike in ident, source and size),
+    size, source_size, target, copies.
 
     size is the number of words (null: 0). A document of no words gets the whole part of its expectation, as copies of it weigh nothing. A null doc_id is a
     document too; repeated rows are rounded separately. If no source has words all targets are 0. Only doc_id, source and text are read.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words_of(F.col("text")).alias("size"))
-    sized = sized.withColumn("again", F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))).cast("long"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _ident().alias("ident"), "source", words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    sized = sized.withColumn("again", F.row_number().over(W.partitionBy("ident", "source", "size").orderBy("h")).cast("long")).drop("h")
     sized = written(sized, "sized")
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     counts = sized.filter("size > 0").groupBy("source").agg(F.count("*").alias("n"))
     goals = goals.join(counts, goals["source"].eqNullSafe(counts["source"]), "left").drop(counts["source"])
     goals = written(goals.withColumn("each", F.least(F.lit(cap), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))), "goals")
-    own = sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.doc_id", "d.source", "d.again", "d.size", "g.source_size", "g.target", "g.each", "g.n")
+    own = sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.doc_id", "d.ident", "d.source", "d.again", "d.size", "g.source_size", "g.target", "g.each", "g.n")
     part = F.col("each") - F.floor("each")
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
     open_ = own.filter((F.col("size") > 0) & (part > _EDGE) & (part < 1 - _EDGE))
-    # id stands for doc_id and its source here, so that a document without an id can meet others as well
-    left = open_.select(name.alias("source"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "again", F.col("size").cast("double").alias("size"), part.alias("p"), "n")
+    left = open_.select(name.alias("source"), F.col("ident").alias("id"), "again", F.col("size").cast("double").alias("size"), part.alias("p"), "n")
     done, level = [], 0
     while True:
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block))
@@ -114,18 +119,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     for x in done[1:]:
         taken = taken.union(x)
     keys = taken.filter("p = 1").select(F.col("source").alias("name"), F.col("id"), F.col("again").alias("row"), F.col("size").cast("long").alias("words"), F.lit(1).alias("one"))
-    named = own.select("*", name.alias("own_name"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("own_id"))
-    more = named.join(keys, (F.col("own_name") == F.col("name")) & (F.col("own_id") == F.col("id")) & (F.col("again") == F.col("row")) & (F.col("size") == F.col("words")), "left")
+    named = own.select("*", name.alias("own_name"))
+    more = named.join(keys, (F.col("own_name") == F.col("name")) & (F.col("ident") == F.col("id")) & (F.col("again") == F.col("row")) & (F.col("size") == F.col("words")), "left")
     whole = F.floor(F.col("each") + _EDGE)
-    return more.select("doc_id", "source", "again", "size", "source_size", "target", (whole + F.coalesce("one", F.lit(0))).cast("long").alias("copies"))
+    return more.select("doc_id", "ident", "source", "again", "size", "source_size", "target", (whole + F.coalesce("one", F.lit(0))).cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as it is taken; columns unchanged."""
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("d"), F.col("source").alias("s"), words_of(F.col("text")).alias("z"), F.xxhash64("text").alias("h"))
+    """The rows of docs, each as often as it is taken; columns unchanged, whatever their names."""
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _ident().alias("d"), F.col("source").alias("s"), words_of(F.col("text")).alias("z"), F.xxhash64("text").alias("h"))
     own = own.select("row", "d", "s", "z", F.row_number().over(W.partitionBy("d", "s", "z").orderBy("h")).cast("long").alias("a"))
-    times = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("again").alias("a2"), F.col("copies").cast("int").alias("copies"))
-    both = own.join(times, F.col("d").eqNullSafe(F.col("d2")) & F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")) & (F.col("a") == F.col("a2")))
+    times = mix(docs, **options).filter("copies > 0").select(F.col("ident").alias("d2"), F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("again").alias("a2"), F.col("copies").cast("int").alias("copies"))
+    both = own.join(times, (F.col("d") == F.col("d2")) & F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")) & (F.col("a") == F.col("a2")))
     return both.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 

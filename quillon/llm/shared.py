@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.sources.spread import folder, spread
+from quillon.sources.spread import spread, written  # noqa: F401  the operators write by it
 
 #: Characters that one pass of a vectorised kernel takes at once; a longer text goes alone.
 CHUNK_CHARS = 1_000_000
@@ -20,17 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(rows) if name == "documents" else rows
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, one of our own in local mode (as in tests); on a cluster a ValueError."""
-    return folder(spark, "quillon-checkpoint-")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet under the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def mapped(docs: DataFrame, run, schema) -> DataFrame:
+    """docs.mapInArrow(run, schema), whatever the columns' names: Spark itself takes a dot in one for a field of a struct."""
+    names = docs.columns
+    if not any(x in c for c in names for x in ".`"):
+        return docs.mapInArrow(run, schema)
+    return docs.toDF(*(f"_{i}" for i in range(len(names)))).mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:

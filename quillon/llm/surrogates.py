@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.shared import pieces, written
+from quillon.llm.shared import mapped, pieces, written
 
 #: Entities drawn again that may be sent to all tasks; more are joined to the documents instead.
 REDRAWN_TO_ALL = 100_000
@@ -356,11 +356,11 @@ def pseudonymised(docs: DataFrame, key: bytes, to_all: int = REDRAWN_TO_ALL) ->
     again = written(redrawn(docs, key), "redrawn")
     if again.count() <= to_all:
         sent = {(r["kind"], r["entity"]): r["attempt"] for r in again.collect()}
-        return docs.mapInArrow(_applied(key, names, sent), schema)
+        return mapped(docs, _applied(key, names, sent), schema)
     hashed = docs.withColumn("_hash", F.xxhash64("text"))
     told = hashed.select(F.col("_hash").alias("h"), "text").mapInArrow(_mentions, "h long, kind string, entity string").distinct().join(again, ["kind", "entity"])
     told = told.groupBy(F.col("h").alias("_hash")).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_redrawn"))
-    return hashed.join(told, "_hash", "left").drop("_hash").mapInArrow(_applied(key, names, None), schema)
+    return mapped(hashed.join(told, "_hash", "left").drop("_hash"), _applied(key, names, None), schema)
 
 
 def report(docs: DataFrame, key: bytes) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.samples import balanced, bounded, held_out
-from quillon.llm.shared import pieces, written
+from quillon.llm.shared import mapped, pieces, written
 
 #: Rows that are fitted on, at most about (half for the dictionaries, half for calibration), and characters, of each label and of a text.
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS, SAMPLE_LONGEST = 2400, 4800, 16_000_000, 400_000
@@ -193,7 +193,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             score = pa.array(model.score(batch.column("text").to_pylist(), made).tolist(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [score], [*names, "toxic_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ from quillon.llm.shared import pieces, slices, written
 from quillon.llm.words import span_hash
 
 SHARD_IDS = 1 << 20
-PART_CHARS = 8_000_000
+#: Characters of a part, at least and at most: parts grow with the corpus, so that their number does not grow as fast. A part is encoded as a stream of shards.
+PART_CHARS, PARTS = (8_000_000, 256_000_000), 20_000
 END_ID = 1
 _MAGIC = b"QWM1"
 _RANK = 2048
@@ -277,7 +278,7 @@ def _writer(path: str, end_id: int, shard_ids: int):
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, part_chars: int = PART_CHARS) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, part_chars: int | None = None) -> DataFrame:
     """A table of shards in ascending order of doc_id: part and seq (their order), doc_ids, lengths (ids of each document, with
     end_id after it), n_ids and file, the wavelet matrix.
 
@@ -286,6 +287,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_id
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    part_chars = part_chars or min(PART_CHARS[1], max(PART_CHARS[0], chars // PARTS))
     # rows that are alike in everything may go to any of the parts in which they fall
     dealt = own.repartitionByRange(-(-chars // part_chars) or 1, "doc_id", "tie", F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "tie", "text")
     return written(dealt.select("doc_id", "text").mapInArrow(_writer(tokenizer, end_id, shard_ids), SHARDS), "shards")

@@ -108,6 +108,15 @@ def test_chat_windows(spark):
         chat_windows.windows(turns_of(spark), budget=100, history_tokens=60)
 
 
+def test_a_system_turn_over_the_budget(spark):
+    rows = [(1, 0, "system", "s " * 900), (1, 1, "user", "a " * 5), (1, 2, "assistant", "b " * 5), (1, 3, "user", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = sorted(chat_windows.windows(df, budget=600, history_tokens=100).collect(), key=lambda r: r.window)
+    assert [r.n_turns for r in made] == [1] * 4 and all(r.formatted.startswith("<s>[INST]system[/INST]s s ") for r in made) and all(r.n_tokens > 600 for r in made)
+    report = chat_windows.report(df).first()
+    assert (report.n_turns, report.loss_chars) == (4, 10)
+
+
 # fingerprints
 
 
@@ -149,6 +158,60 @@ def test_imatch_by_definition(spark):
             assert sum(x is not None for x in own) <= len(level) and (not level or any(x is not None for x in own))
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_imatch_by_brute_force(spark):
+    """Every hash of every fingerprint, and both likenesses, from texts and document frequencies alone."""
+    import struct
+
+    import xxhash
+
+    rng = random.Random(31)
+    pool = [prose(rng, 1) + str(k) for k in range(900)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    texts[7] = texts[40] = "!!! ..."
+    texts[50] = texts[51] + " " + pool[0]
+    hash_of = lambda b: signed(xxhash.xxh64(b, seed=42).intdigest())
+    words = lambda t: {hash_of(w.encode()) for w in __import__("re").split(r"[^a-z0-9]+", t.lower()) if w}
+    df = collections.Counter(h for t in texts for h in words(t))
+    low = (1 << imatch.SLOT_BITS) - 1
+    band = {h & low for h, n in df.items() if imatch.LEAST * 120 <= n <= max(2.0, imatch.MOST * 120)}
+
+    def fold(hashes):
+        x = 42
+        for h in hashes:
+            x = xxhash.xxh64(struct.pack("<q", h), seed=x).intdigest()
+        return signed(x)
+
+    def fingerprint(t):
+        own = sorted(h for h in words(t) if h & low in band)
+        bits = lambda h, at, n: (h % (1 << 64)) >> at & ((1 << n) - 1)
+        level, out = [h for h in own if bits(h, imatch.SLOT_BITS, 1) == 0], []
+        for k in range(imatch.DENSITIES):
+            level = level if k == 0 else [h for h in level if bits(h, imatch.SLOT_BITS + 1 + 2 * k, 2) == 0]
+            for s in range(imatch.GROUP):
+                group = [h for h in level if signed(xxhash.xxh64(struct.pack("<i", k), seed=xxhash.xxh64(struct.pack("<q", h), seed=42).intdigest()).intdigest()) % imatch.GROUP == s]
+                out.append(fold(group) if group else None)
+        rest = None if any(x is not None for x in out) else fold(sorted(words(t))) if words(t) else signed(xxhash.xxh64(t.encode(), seed=xxhash.xxh64(b"text", seed=42).intdigest()).intdigest())
+        return [*out, rest]
+
+    def like(a, b):
+        return sum(x == y for x, y in zip(a, b) if x is not None) / sum(x is not None or y is not None for x, y in zip(a, b))
+
+    show = lambda p: ".".join("-" if x is None else f"{(x % (1 << 64)) >> 32:X}" for x in p)
+    got = {r.doc_id: r for r in imatch.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seen = []
+    for i, t in enumerate(texts):
+        after, m = texts[(i + 1) % 120], len(t) // 4
+        own, new, their = fingerprint(t), fingerprint(t[: len(t) - m] + after[:m]), fingerprint(after)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (show(own), show(new))
+        assert got[i].near_edited == pytest.approx(like(own, new)) and got[i].near_next == pytest.approx(like(own, their))
+        seen.append(like(own, new))
+    assert got[7].fingerprint == got[40].fingerprint and 0.1 < sum(seen) / 120 < 0.95
+
+
 # joins of near copies
 
 
@@ -647,3 +710,60 @@ def test_mix_is_near_and_fair(spark):
     mean = sum(r.copies for s in range(40) for r in mixing.mix(few, seed=s, block=16).filter("doc_id = 38").collect()) / 40
     each = mixing.mix(few).filter("doc_id = 38").select(F.col("target") / F.col("source_size")).first()[0]
     assert abs(mean - each) < 0.25
+
+
+def test_mix_without_ids(spark):
+    """Rows without an id are told apart by their texts; different texts under one id as well."""
+    df = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
+    rows = mixing.mix(df).collect()
+    assert len(rows) == 900 and {r.again for r in rows} == {1} and len({r.ident for r in rows}) == 900
+    made = mixing.mixed(df)
+    assert made.count() == sum(r.copies for r in rows) and sorted(r.text for r in made.collect()) == sorted(r.text for r in mixing.mixed(df.repartition(9)).collect())
+    one = df.withColumn("doc_id", F.lit(5).cast("long"))
+    assert mixing.mix(one).count() == 900 and mixing.mixed(one).select("text").distinct().count() > 400
+
+
+def test_rounding_by_brute_force(spark):
+    """One block: the meetings one after the other, in plain Python, with the same draws."""
+    import struct
+
+    import xxhash
+
+    rng = random.Random(17)
+    sizes = [rng.randint(1, 200) for _ in range(60)] + [4000]
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "b", "w " * n) for i, n in enumerate(sizes)], "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in mixing.mix(docs, seed=5).collect()}
+
+    def draw(i, n):
+        x = 42
+        for part in (struct.pack("<i", 5), struct.pack("<q", i), struct.pack("<q", 1), struct.pack("<d", float(n))):
+            x = xxhash.xxh64(part, seed=x).intdigest()
+        return (signed(x) % (1 << 52) + 0.5) / (1 << 52)
+
+    for name in "ab":
+        own = sorted(((-n, i) for i, n in enumerate(sizes) if ("a" if i % 3 else "b") == name))
+        each = got[own[0][1]].target / got[own[0][1]].source_size
+        p = {i: each - int(each) for _, i in own}
+        for k, (n, i) in enumerate(own):  # mass goes from the document to all after it or back, until one side is decided
+            n, pool = -n, [(-m, j) for m, j in own[k + 1 :]]
+            mass, room = sum(m * p[j] for m, j in pool), sum(m * (1 - p[j]) for m, j in pool)
+            up, down = min(1 - p[i], mass / n), min(p[i], room / n)
+            if draw(i, n) * (up + down) < down:
+                p[i] += up
+                for m, j in pool:
+                    p[j] *= 1 - up * n / mass if mass > 1e-9 else 1
+            else:
+                p[i] -= down
+                for m, j in pool:
+                    p[j] += (1 - p[j]) * down * n / room if room > 1e-9 else 0
+        left = [i for i in p if 1e-6 < p[i] < 1 - 1e-6]
+        assert len(left) <= 1
+        assert all(got[i].copies == int(each + 1e-9) + round(p[i]) for i in p if i not in left)
+
+
+def test_benchmark_passes_by_windows(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(20)]
+    docs = spark.createDataFrame([(i, f"start {t} end") for i, t in items] + [(99, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for n in (50, 10_000):
+        assert {r.doc_id: r.item_ids for r in decontam.decontaminate(docs, bench, pass_windows=n).collect()} == {**{i: [str(i)] for i, _ in items}, 99: []}

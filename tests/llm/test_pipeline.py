@@ -45,6 +45,38 @@ def test_stages(spark):
         start += len(ids)
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows of documents with null and repeated ids, null and empty texts, repeated rows, a very long text, and columns named like the operators' own."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = docs.columns
+    more = [(None, "a text without an id, of a few words", "en", None, 36), (None, "another text without an id, of a few words", None, "src1", 42), (5, "a second text under one id", "en", "src1", 26), (5, None, None, None, None), (6, "", "en", "src2", 0), (7, "w " * 60_000, "en", "src1", 120_000)]
+    rows = docs.union(spark.createDataFrame(more, docs.schema)).union(docs.limit(4))
+    return rows.select(*names, *(F.lit(7).alias(c) for c in ("toxic_score", "n_words", "hit_spans", "item_ids", "row", "rid", "copies", "row.x"))).cache()
+
+
+def test_stages_over_odd_rows(spark, odd):
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF).cache()
+        rows = docs.collect()
+        assert docs.columns == odd.columns and all(r[c] == 7 for r in rows for c in ("toxic_score", "n_words", "hit_spans", "row.x"))
+        said = {(r.doc_id, r.text) for r in rows}
+        if name != "mixing":
+            assert {(5, "a second text under one id"), (5, None), (6, "")} <= said and any(i is None for i, _ in said), name
+        assert said <= {(r.doc_id, r.text) for r in odd.collect()}
+    out = corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()
+    assert len(out) == docs.count() and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
+
+
+def test_stages_over_nothing(spark, odd):
+    for _, stage in corpus_pipeline.STAGES:
+        made = stage(spark, odd.limit(0), SF)
+        assert made.count() == 0
+
+
 def test_run(spark):
     assert entry.queries()["pipeline"](spark, SF).count() > 0
 
