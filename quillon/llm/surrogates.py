@@ -59,25 +59,41 @@ _CAP = rf"[{_UPPER}](?:['’][{_UPPER}])?[{_UPPER}{_LOWER}]+(?:[-'’][{_UPPER}]
 _FULL = rf"{_CAP}(?:(?: (?:van|von|der|den|de|da|di|del|la|le))* {_CAP}){{0,2}}"
 _VALUE = r"[^\s\"'<>]*[^\s\"'<>.,;:)\]}]"
 _WORDS_OF_SECRETS = r"(?i:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|client[_-]?secret|token|secret|passw(?:or)?d|passphrase|pwd)"
-#: (type, pattern, what any match contains): the entity is the first group that took part, or the whole match.
+#: (type, pattern, what every text with a match has: the name of a cheap test): the entity is the first group that took part, or the whole match.
 _PATTERNS = [
-    ("email", re.compile(r"(?<![\w.+%-])\w[\w.+%-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}"), "@"),
-    ("secret", re.compile(rf"{_WORDS_OF_SECRETS}[\"']?\s?(?:=>|[=:])\s?(?:\"([^\"\n]{{4,}})\"|'([^'\n]{{4,}})')"), None),
-    ("secret", re.compile(rf"{_WORDS_OF_SECRETS}[\"']?[=:]((?=[^\s\"'<>]*[^\W_]){_VALUE}(?<=\S{{4}}))"), None),
-    ("secret", re.compile(rf"{_WORDS_OF_SECRETS}[\"']?\s?(?:=>|[=:])\s((?=[^\s\"'<>]*\d){_VALUE}(?<=\S{{6}}))"), None),
-    ("secret", re.compile(r"\b[Bb]earer ([A-Za-z0-9._~+/-]{16,}=*)"), "earer "),
-    ("secret", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END"), "PRIVATE KEY"),
-    ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*\d)[0-9A-F]{32,64})\b"), None),
-    ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)", re.A), "."),
-    ("card", re.compile(r"(?<![\d.])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?!\d)", re.A), None),
-    ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.A), "-"),
-    ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,5}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w)", re.A), None),
+    ("email", re.compile(r"(?<![\w.+%-])\w[\w.+%-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}"), "at"),
+    ("secret", re.compile(rf"{_WORDS_OF_SECRETS}[\"']?\s?(?:=>|[=:])\s?(?:\"([^\"\n]{{4,}})\"|'([^'\n]{{4,}})')"), "word"),
+    ("secret", re.compile(rf"{_WORDS_OF_SECRETS}[\"']?[=:]((?=[^\s\"'<>]*[^\W_]){_VALUE}(?<=\S{{4}}))"), "word"),
+    ("secret", re.compile(rf"{_WORDS_OF_SECRETS}[\"']?\s?(?:=>|[=:])\s((?=[^\s\"'<>]*\d){_VALUE}(?<=\S{{6}}))"), "word"),
+    ("secret", re.compile(r"\b[Bb]earer ([A-Za-z0-9._~+/-]{16,}=*)"), "bearer"),
+    ("secret", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END"), "pem"),
+    ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)\b"), "mark"),
+    ("secret", re.compile(r"\b(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*\d)[0-9A-F]{32,64})\b", re.A), "hex"),
+    ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)", re.A), "dots"),
+    ("card", re.compile(r"(?<![\d.])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?!\d)", re.A), "long"),
+    ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.A), "dashed"),
+    ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,5}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w)", re.A), "groups"),
 ]
-_NUMBERS = ("ip", "card", "ssn", "phone")
+_RUNS = {
+    "hex": re.compile(r"[0-9a-fA-F]{32}"), "dots": re.compile(r"[0-9]\.[0-9]{1,3}\.[0-9]"), "long": re.compile(r"[0-9]{4}[ -]?[0-9]{4}"),
+    "dashed": re.compile(r"[0-9]-[0-9]{2}-[0-9]"), "groups": re.compile(r"[0-9]{3}[ .-][0-9]{3}|\+[0-9]{8}"),
+}
 _DIGIT = re.compile("[0-9]")
+_FOLDED, _MARKS = ("key", "token", "secret", "pass", "pwd"), ("AKIA", "gh", "sk-", "xox", "eyJ")
+
+
+def _tests(text: str) -> set[str]:
+    """The cheap tests that a text passes: each is necessary for the patterns that it stands for, so none hides an entity."""
+    folded = text.casefold()
+    out = {k for k, hit in (("at", "@" in text), ("bearer", "earer " in text), ("pem", "PRIVATE KEY" in text), ("word", any(x in folded for x in _FOLDED)), ("mark", any(x in text for x in _MARKS))) if hit}
+    return out | {k for k, run in _RUNS.items() if run.search(text)} if _DIGIT.search(text) else out
+
+
 _NAME = re.compile(rf"\b({'|'.join(x for v in TITLES.values() for x in v)})\.? ({_FULL})")
 _PERSON = re.compile(rf"\b({_CAP})(?= ({_CAP}))")
 _KNOWN = {n: g for (_, g), names in NAMES.items() if g != "last" for n in names}
+#: What every text with a name has: a title or a known given name.
+_ANNOUNCED = re.compile("|".join(sorted({*_KNOWN, *(x for v in TITLES.values() for x in v)}, reverse=True)))
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _TOKEN = re.compile(rf"[{_UPPER}{_LOWER}]{{2,}}")
 
@@ -91,6 +107,8 @@ def _tokens(kind: str, said: str) -> list[tuple[int, int, str]]:
 
 def _names(text: str) -> list[tuple[int, int, str]]:
     """(from, to, name_ or given_ and the gender). Names that are announced come first; then mentions of their parts."""
+    if not _ANNOUNCED.search(text):
+        return []
     found = [(*m.span(2), f"name_{_GENDER[m[1]]}") for m in _NAME.finditer(text)]
     for m in _PERSON.finditer(text):
         if g := _KNOWN.get(m[1]):
@@ -126,9 +144,9 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, int, str]] = []
     if not text:
         return []
-    digits = _DIGIT.search(text) is not None
+    passed = _tests(text)
     for rank, (kind, pattern, need) in enumerate(_PATTERNS):
-        if (need is None or need in text) and (digits or kind not in _NUMBERS):
+        if need in passed:
             for m in pattern.finditer(text):
                 group = (m.lastindex or 0) if kind == "secret" else 0
                 found.append((rank, *m.span(group), kind))
