@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text of which only the telling words are left, those that toxic
-documents have far more often (by a likelihood ratio of word pieces); a trainer that sees all of it keeps what ordinary
-text has as well. Windows of a text are compressed with the ordinary dictionary and with both; what the toxic one saves
+Two zstandard dictionaries are made: one trained on ordinary text, and one of the telling words of toxic text, those that toxic documents
+have far more often (by a likelihood ratio of word pieces). The latter is trained on toxic texts of which only these words are left, or it is the words
+themselves, best last: trainers leave out words that a calibration part of the sample shows to be needed, and that part chooses.
+Windows of a text are compressed with the ordinary dictionary and with both; what the toxic one saves
 shows toxic words. The share and number of windows that save at least some bytes are turned
-into a score by a logistic fit on a calibration part of the sample, which also chooses the toxic dictionary's size.
+into a score by a logistic fit on the calibration part, which also chooses the number of telling words.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from quillon.llm.shared import mapped, pieces, written
 
 #: Rows that are fitted on, at most about (half for the dictionaries, half for calibration), and characters, of each label and of a text.
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS, SAMPLE_LONGEST = 2400, 4800, 16_000_000, 400_000
-WINDOW, STEP, LEVEL, BASE_BYTES = 48, 32, 9, 16384
-SAVINGS, TOXIC_BYTES, PIECES = (2, 3, 4, 5, 6), (1024, 2048, 4096), (5, 6, 7, 8)
-#: The toxic dictionary's trainer: lengths of the segments that it keeps and of the strings that it counts, so short that single words stay.
-SEGMENT, COUNTED = 24, 6
+WINDOW, STEP, LEVEL, BASE_BYTES = 96, 72, 9, 16384
+SAVINGS, WORD_LIMITS, PIECES = (2, 3, 4, 5, 6), (30, 60, 120), (5, 6, 7, 8)
+#: The toxic dictionary's trainer: bytes a word, lengths of the segments that it keeps and of the strings that it counts, so short that single words stay.
+WORD_BYTES, SEGMENT, COUNTED = 34, 24, 6
 #: Stretches of 40 words, at most, that the ordinary dictionary is trained on: every k-th of the sample's.
 PARTS = 20_000
 #: A piece is telling if its likelihood ratio statistic and its ratio of frequencies are at least these.
@@ -90,14 +91,15 @@ def _ordinary(texts: list[str]) -> bytes:
         return b"".join(parts)[-BASE_BYTES:] or b" " * 8
 
 
-def _toxic(texts: list[str], telling: set[bytes], size: int) -> bytes:
-    """Trained on the texts' telling words."""
-    left = [[w for w in _words(t) if w in telling] for t in texts]
-    left = [b" " + b" ".join(w) + b" " for w in left if w]
+def _toxic(texts: list[str], telling: list[bytes]) -> list[bytes]:
+    """The telling words themselves, and (where there is enough to train on) a dictionary trained on what these words leave of the texts."""
+    known, out = set(telling), [b" " + b" ".join(reversed(telling)) + b" " if telling else b""]
+    left = [[w for w in _words(t) if w in known] for t in texts]
     try:
-        return zstandard.train_dictionary(size, left * 4, k=SEGMENT, d=COUNTED).as_bytes()
-    except zstandard.ZstdError:  # too few to train on: they are their own dictionary
-        return b"".join(dict.fromkeys(left))[-size:]
+        out.append(zstandard.train_dictionary(max(256, WORD_BYTES * len(telling)), [b" " + b" ".join(w) + b" " for w in left if w] * 2, k=SEGMENT, d=COUNTED).as_bytes())
+    except zstandard.ZstdError:
+        pass
+    return out
 
 
 @dataclass
@@ -154,15 +156,16 @@ def train(rows: list[tuple[str | None, int]], natural: float | None = None) -> M
     toxic, ordinary = [t or "" for t, y in rows if y == 1], [t or "" for t, y in rows if y != 1]
     if len(toxic) < 4 or len(ordinary) < 4:
         return Model(floor=1.0 if toxic and not ordinary else 0.0)
-    telling = set(_telling(toxic[::2], ordinary[::2]))
+    telling = _telling(toxic[::2], ordinary[::2])
     base, best = _ordinary(ordinary[::2]), None
     test, y = toxic[1::2] + ordinary[1::2], np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-    for size in TOXIC_BYTES:
-        model = Model(base, _toxic(toxic[::2], telling, size))
-        loss = _calibrated(model, test, y)
-        if best is None or loss < best[0]:
-            best = (loss, model)
-        if len(model.toxic) < size:
+    for limit in WORD_LIMITS:
+        for content in _toxic(toxic[::2], telling[:limit]):
+            model = Model(base, content)
+            loss = _calibrated(model, test, y)
+            if best is None or loss < best[0]:
+                best = (loss, model)
+        if len(telling) <= limit:
             break
     model = best[1]
     if natural is not None and 0 < natural < 1:
