@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.operators.ranks import running
+from quillon.sources.spread import written
 
 
 def distribution(rows: DataFrame, *fields: str) -> DataFrame:
@@ -75,9 +76,9 @@ def midrank_percentile(rows: DataFrame, value: str) -> DataFrame:
 
     Ranks come from the counts of distinct values, and those are summed range by range: no task sees them all.
     """
-    counts = rows.groupBy(value).agg(F.count("*").alias("_eq"))
+    counts = written(rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_eq")), "counts")
     places = running(counts, [], [value], F.col("_eq"), "_le")
-    n = rows.agg(F.count(value).alias("_n"))
+    n = counts.agg(F.sum("_eq").alias("_n"))
     p = F.when(F.col("_n") == 1, 0.5).otherwise((2 * F.col("_le") - F.col("_eq") - 1) / 2 / (F.col("_n") - 1))
     return rows.join(places.crossJoin(n).select(value, p.alias("percentile")), value)  # one row beside each place
 
