@@ -27,6 +27,8 @@ LENGTH_LIMITS = [256, 512, 1024, 2048]
 PLACEHOLDER = r"__[A-Z][A-Z0-9_]*__|\[(?:姓名|日期|公司|部门|职位|待填写)\]"
 SELF_ID_MARKERS = ["作为一个人工智能", "作为一名人工智能", "作为chatgpt"]
 END_MARKERS = ["<|im_end|>", "<|endoftext|>"]
+#: The characters of Unicode's White_Space property, which (?U)\s matches.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 EXPLICIT_CONSTRAINT = r"(?:(?:最多|不超过|不得超过|少于|至少|不少于|多于|恰好|正好|限制在).{0,10}(?:个)?(?:字|词|句话|句|段落|段)|[\d一二三四五六七八九十]+(?:到|至|-)[\d一二三四五六七八九十]+(?:句话|句|段落|段)|(?:单行|一句话)(?:简介|回答|描述|总结|摘要))"
 
 
@@ -46,8 +48,8 @@ def stable_number(s: pd.Series) -> pd.Series:
 
 
 def strip(c: Column) -> Column:
-    """Without white space at either end, by Unicode's notion of it."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end, by Unicode's notion of it. Trimmed from the ends: a pattern would be tried at every character."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
@@ -56,7 +58,7 @@ def collapse(c: Column) -> Column:
 
 def alnum_key(c: Column, normal: bool = False) -> Column:
     """K1: lower case, letters and numbers only. normal: the text is known to be NFKC already."""
-    return F.regexp_replace(F.lower(c if normal else nfkc(c)), r"[^\p{L}\p{N}]", "")
+    return F.regexp_replace(F.lower(c if normal else nfkc(c)), r"[^\p{L}\p{N}]++", "")
 
 
 def prompt_key(c: Column, normal: bool = False) -> Column:

@@ -19,6 +19,13 @@ def test_keys(spark):
     assert (a, b, c) == ("hello1ivfi", "a b c", "A B")
 
 
+def test_strip_takes_what_the_pattern_takes(spark):
+    chars = spark.createDataFrame([(chr(i),) for i in range(0x3100)], "c string")
+    x = F.concat("c", F.lit("a"), "c", F.lit("b"), "c", "c")
+    assert chars.filter(text.strip(x) != F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).count() == 0
+    assert one(spark, text.strip(L(" \u3000\n")), text.strip(L("")), text.strip(L(None).cast("string"))) == ["", "", None]
+
+
 def test_stable_number(spark):
     import hashlib
 
