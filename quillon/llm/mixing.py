@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import written
+from quillon.operators.ranks import running
 
 WEIGHTS, CAP, BLOCK = (5.0, 2.0, 1.0), 3.0, 128
 _EDGE = 1e-9
@@ -84,6 +85,13 @@ def _round(rows: DataFrame, seed: int, level: int) -> DataFrame:
     return rows.select("source", F.explode(F.aggregate("docs", start, _meet, lambda s: s["done"])).alias("d")).select("source", "d.id", "d.again", "d.size", "d.p")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows: rid, doc_id, source, text, whole. rid, doc_id, ident, source, size of each row, and again: its number among the rows alike in ident, source and size,
+    which go by the hashes of their texts, then by whole. Rows alike in all of these are one as good as the other; rid deals them out over the ranges, so no task numbers all of them."""
+    sized = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id"), _ident().alias("ident"), "source", words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("h"), "whole")
+    return written(running(sized, ["ident", "source", "size"], ["h", "whole", "rid"], name="again").drop("h", "whole"), "sized")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 17, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, ident (doc_id, or the text's hash), source, again (its number among rows alike in ident, source and size),
     size, source_size, target, copies.
@@ -91,14 +99,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     size is the number of words (null: 0). A document of no words gets the whole part of its expectation, as copies of it weigh nothing. A null doc_id is a
     document too; repeated rows are rounded separately. If no source has words all targets are 0. Only doc_id, source and text are read.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _ident().alias("ident"), "source", words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
-    sized = sized.withColumn("again", F.row_number().over(W.partitionBy("ident", "source", "size").orderBy("h")).cast("long")).drop("h")
-    sized = written(sized, "sized")
-    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    counts = sized.filter("size > 0").groupBy("source").agg(F.count("*").alias("n"))
-    goals = goals.join(counts, goals["source"].eqNullSafe(counts["source"]), "left").drop(counts["source"])
+    rows = docs.select("doc_id", "source", "text", F.lit(0).alias("whole"), F.monotonically_increasing_id().alias("rid"))
+    return _copies(_numbered(rows), weights, cap, seed, block).drop("rid")
+
+
+def _copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 17, block: int = BLOCK) -> DataFrame:
+    """sized (of _numbered()) with source_size, target and copies."""
+    totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n")), "totals")
+    goals = targets(totals, weights, cap).select(F.col("source").alias("of"), "target").join(totals, F.col("of").eqNullSafe(F.col("source"))).drop("of")
     goals = written(goals.withColumn("each", F.least(F.lit(cap), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))), "goals")
-    own = sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.doc_id", "d.ident", "d.source", "d.again", "d.size", "g.source_size", "g.target", "g.each", "g.n")
+    own = sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.rid", "d.doc_id", "d.ident", "d.source", "d.again", "d.size", "g.source_size", "g.target", "g.each", "g.n")
     part = F.col("each") - F.floor("each")
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
     open_ = own.filter((F.col("size") > 0) & (part > _EDGE) & (part < 1 - _EDGE))
@@ -122,15 +132,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     named = own.select("*", name.alias("own_name"))
     more = named.join(keys, (F.col("own_name") == F.col("name")) & (F.col("ident") == F.col("id")) & (F.col("again") == F.col("row")) & (F.col("size") == F.col("words")), "left")
     whole = F.floor(F.col("each") + _EDGE)
-    return more.select("doc_id", "ident", "source", "again", "size", "source_size", "target", (whole + F.coalesce("one", F.lit(0))).cast("long").alias("copies"))
+    return more.select("rid", "doc_id", "ident", "source", "again", "size", "source_size", "target", (whole + F.coalesce("one", F.lit(0))).cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as it is taken; columns unchanged, whatever their names."""
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _ident().alias("d"), F.col("source").alias("s"), words_of(F.col("text")).alias("z"), F.xxhash64("text").alias("h"))
-    own = own.select("row", "d", "s", "z", F.row_number().over(W.partitionBy("d", "s", "z").orderBy("h")).cast("long").alias("a"))
-    times = mix(docs, **options).filter("copies > 0").select(F.col("ident").alias("d2"), F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("again").alias("a2"), F.col("copies").cast("int").alias("copies"))
-    both = own.join(times, (F.col("d") == F.col("d2")) & F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")) & (F.col("a") == F.col("a2")))
+    """The rows of docs, each as often as it is taken; columns unchanged, whatever their names. Of rows alike in doc_id, source and text the hash of all
+    other columns says which are taken (maps and variants cannot be hashed and do not count), so reruns agree."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.xxhash64(F.lit(0), *(c for c, (_, kind) in zip(columns, docs.dtypes) if "map<" not in kind and "variant" not in kind))
+    own = written(docs.select(F.struct(*columns).alias("row"), whole.alias("whole"), F.monotonically_increasing_id().alias("rid")), "rows")
+    times = _copies(_numbered(own.select("rid", "whole", "row.doc_id", "row.source", "row.text")), **options)
+    both = own.join(times.filter("copies > 0").select("rid", F.col("copies").cast("int").alias("copies")), "rid")
     return both.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 

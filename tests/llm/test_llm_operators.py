@@ -714,7 +714,40 @@ def test_mix(spark, docs, none, clash):
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
     made = mixing.mixed(clash)
     assert made.columns == clash.columns and made.count() == sum(r[-1] for r in a)
-    assert mixing.report(docs.withColumn("text", F.lit(None).cast("string"))).filter("taken > 0 or target > 0").count() == 0
+    blank = mixing.report(docs.withColumn("text", F.lit(None).cast("string")))
+    assert blank.count() == docs.count() and blank.filter("taken > 0 or target > 0").count() == 0
+
+
+@pytest.mark.parametrize(
+    "rows, want",
+    [
+        ([(1, "x y", "a"), (2, "", "b"), (3, "", "b")], [(1, 2, 2, 2.0, 2), (2, 0, 0, 0.0, 0), (3, 0, 0, 0.0, 0)]),
+        ([(1, "", "a"), (2, None, "b")], [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]),
+        ([(1, "x y", None), (2, "", "b"), (3, "", "c"), (4, "z", "a")], [(1, 2, 2, None, None), (2, 0, 0, 0.0, 0), (3, 0, 0, 0.0, 0), (4, 1, 1, None, None)]),
+    ],
+)
+def test_mix_keeps_sources_without_words(spark, rows, want):
+    """A source whose documents have no words, the null source among them, loses and repeats no row."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, mixing.report(df).collect()))
+    assert len(got) == len(want) and all(w is None or g == w for a, b in zip(got, want) for g, w in zip(a, b))
+    if want[0][3] is None:  # a (5) and the null source (1, fourth of four: 5 again): 1 and 2 words share 3 by equal weights
+        assert [r[3] for r in got if r[1]] == [1.5, 1.5] and all(r[4] in (r[1], 2 * r[1], 0) for r in got)
+    taken = {r[0]: r[4] for r in got}
+    made = collections.Counter(r.doc_id for r in mixing.mixed(df).collect())
+    assert all(made[i] == taken[i] // max(1, len((t or "").split())) for i, t, _ in rows if t)
+
+
+def test_mix_numbers_rows_alike(spark):
+    """Rows alike in id, source and text, without id and text too: each is rounded for itself, other columns choose, and reruns agree."""
+    df = spark.createDataFrame([(7, "a", "w w", k % 5) for k in range(300)] + [(None, "a", None, k) for k in range(50)] + [(None, "b", "u", k) for k in range(200)], "doc_id long, source string, text string, rid int")
+    rows = mixing.mix(df).collect()
+    assert len(rows) == 550 and len({(r.ident, r.source, r.size, r.again) for r in rows}) == 550
+    for name in "ab":
+        own = [r for r in rows if r.source == name]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= 2
+    made = [sorted(map(repr, mixing.mixed(x).collect())) for x in (df, df.repartition(5), df.orderBy(F.desc("rid")))]
+    assert made[0] == made[1] == made[2] and len(made[0]) == sum(r.copies for r in rows)
 
 
 def test_mix_is_near_and_fair(spark):
@@ -739,42 +772,66 @@ def test_mix_without_ids(spark):
     assert mixing.mix(one).count() == 900 and mixing.mixed(one).select("text").distinct().count() > 400
 
 
-def test_rounding_by_brute_force(spark):
-    """One block: the meetings one after the other, in plain Python, with the same draws."""
+@pytest.mark.parametrize("block", [128, 8])
+def test_rounding_by_brute_force(spark, block):
+    """The meetings one after the other, in plain Python, with the same draws: one block, and the tree of rounds that small blocks make."""
     import struct
 
     import xxhash
 
     rng = random.Random(17)
-    sizes = [rng.randint(1, 200) for _ in range(60)] + [4000]
+    sizes = [rng.randint(1, 200) for _ in range(60)] + [4000, 0, 0]
     docs = spark.createDataFrame([(i, "a" if i % 3 else "b", "w " * n) for i, n in enumerate(sizes)], "doc_id long, source string, text string")
-    got = {r.doc_id: r for r in mixing.mix(docs, seed=5).collect()}
+    got = {r.doc_id: r for r in mixing.mix(docs, seed=5, block=block).collect()}
+    assert len(got) == len(sizes)
 
-    def draw(i, n):
+    def hashed(seed, i, n):
         x = 42
-        for part in (struct.pack("<i", 5), struct.pack("<q", i), struct.pack("<q", 1), struct.pack("<d", float(n))):
+        for part in (struct.pack("<i", seed), struct.pack("<q", i), struct.pack("<q", 1), struct.pack("<d", float(n))):
             x = xxhash.xxh64(part, seed=x).intdigest()
-        return (signed(x) % (1 << 52) + 0.5) / (1 << 52)
+        return signed(x)
 
-    for name in "ab":
-        own = sorted(((-n, i) for i, n in enumerate(sizes) if ("a" if i % 3 else "b") == name))
-        each = got[own[0][1]].target / got[own[0][1]].source_size
-        p = {i: each - int(each) for _, i in own}
+    def unit(seed, i, n):
+        return (hashed(seed, i, n) % (1 << 52) + 0.5) / (1 << 52)
+
+    snap = lambda v: 0.0 if v < 1e-9 else 1.0 if v > 1 - 1e-9 else v
+
+    def fold(own, p, level):
+        own = sorted((-sizes[i], i) for i in own)
         for k, (n, i) in enumerate(own):  # mass goes from the document to all after it or back, until one side is decided
             n, pool = -n, [(-m, j) for m, j in own[k + 1 :]]
             mass, room = sum(m * p[j] for m, j in pool), sum(m * (1 - p[j]) for m, j in pool)
             up, down = min(1 - p[i], mass / n), min(p[i], room / n)
-            if draw(i, n) * (up + down) < down:
-                p[i] += up
+            if unit(5 + level, i, n) * (up + down) < down:
+                p[i] = snap(p[i] + up)
                 for m, j in pool:
-                    p[j] *= 1 - up * n / mass if mass > 1e-9 else 1
+                    p[j] = snap(p[j] * (1 - up * n / mass if mass > 1e-9 else 1))
             else:
-                p[i] -= down
+                p[i] = snap(p[i] - down)
                 for m, j in pool:
-                    p[j] += (1 - p[j]) * down * n / room if room > 1e-9 else 0
-        left = [i for i in p if 1e-6 < p[i] < 1 - 1e-6]
-        assert len(left) <= 1
-        assert all(got[i].copies == int(each + 1e-9) + round(p[i]) for i in p if i not in left)
+                    p[j] = snap(p[j] + ((1 - p[j]) * down * n / room if room > 1e-9 else 0))
+
+    for name in "ab":
+        own = [i for i in range(len(sizes)) if ("a" if i % 3 else "b") == name]
+        each = got[own[0]].target / got[own[0]].source_size
+        assert all(got[i].copies == int(each + 1e-9) for i in own if not sizes[i])
+        own = [i for i in own if sizes[i]]
+        p, left, level = {i: each - int(each) for i in own}, own, 0
+        while True:
+            blocks = max(1, -(-len(left) // block))
+            dealt = collections.defaultdict(list)
+            for i in left:
+                dealt[hashed(5 + 1000 + level, i, sizes[i]) % blocks].append(i)
+            for one in dealt.values():
+                fold(one, p, level)
+            left = [i for i in left if 0 < p[i] < 1]
+            assert len(left) <= len(dealt)
+            if len(left) < 2:
+                break
+            level += 1
+        for i in left:
+            p[i] = 1.0 if unit(4, i, sizes[i]) < p[i] else 0.0
+        assert [got[i].copies for i in own] == [int(each + 1e-9) + round(p[i]) for i in own]
 
 
 def test_benchmark_passes_by_windows(spark):
