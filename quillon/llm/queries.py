@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_windows, decontam, imatch, langid, mixing, ngram_join, substring_dedup, surrogates, toxicity, wavelet
+from quillon.llm import chat_windows, decontam, imatch, langid, mixing, ngram_join, substring_dedup, surrogates, toxicity, wavelet, whitening
 from quillon.llm.shared import table
 
 
@@ -59,7 +59,11 @@ def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_imatch, op3_ngram_join, op4_language_id, op5_toxicity, op6_surrogates, op7_decontaminate, op8_substring_dedup, op9_wavelet_tokens, op10_pivotal_mix)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_imatch, op3_ngram_join, op4_language_id, op5_toxicity, op6_surrogates, op7_decontaminate, op8_substring_dedup, op9_wavelet_tokens, op10_pivotal_mix, op13_whitening)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
