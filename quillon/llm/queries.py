@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_windows, decontam, imatch, langid, mixing, ngram_join, substring_dedup, surrogates, toxicity, wavelet, whitening
+from quillon.llm import audit, chat_windows, decontam, imatch, langid, mixing, ngram_join, substring_dedup, surrogates, toxicity, wavelet, whitening
 from quillon.llm.shared import table
 
 
@@ -59,11 +59,15 @@ def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_imatch, op3_ngram_join, op4_language_id, op5_toxicity, op6_surrogates, op7_decontaminate, op8_substring_dedup, op9_wavelet_tokens, op10_pivotal_mix, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_imatch, op3_ngram_join, op4_language_id, op5_toxicity, op6_surrogates, op7_decontaminate, op8_substring_dedup, op9_wavelet_tokens, op10_pivotal_mix, op11_filter_audit, op13_whitening)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -164,5 +168,36 @@ WITH doc AS (
 )
 SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
 FROM doc LEFT JOIN kept ON kept.doc_id = doc.doc_id
+""",
+    "op11_filter_audit": r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least_id FROM documents
+), said AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), fail AS (
+  SELECT part, good, toxic, (len(w) < 200)::INT + 2 * (100 * list_unique(w) < 50 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc.doc_id > least_id, least_id IS NOT NULL)::INT AS mask
+  FROM doc LEFT JOIN said ON said.doc_id = doc.doc_id
+), m AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM fail GROUP BY part, mask
+), letter(c, bit) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS s FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), step AS (
+  SELECT s, k, own.c, own.bit AS own, coalesce((SELECT sum(bit)::INT FROM letter WHERE strpos(left(s, k - 1), letter.c) > 0), 0) AS before
+  FROM (SELECT s, unnest(range(1, 6)) AS k FROM o) JOIN letter own ON own.c = s[k]
+), r AS (
+  SELECT part, s, k, c, sum(n) FILTER (mask & (before | own) = 0) AS kept, sum(n) FILTER (mask & before = 0 AND mask & own > 0) AS removed,
+    sum(n) FILTER (mask & before > 0 AND mask & own > 0) AS redundant, sum(n) FILTER (mask = own) AS unique_fails,
+    sum(good) FILTER (mask & before = 0 AND mask & own > 0) AS good_lost, sum(toxic) FILTER (mask & before = 0 AND mask & own > 0) AS toxic_lost
+  FROM m, step GROUP BY part, s, k, c
+)
+SELECT part, s AS filter_order, CAST(k AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, c), 0) AS BIGINT) AS shapley
+FROM r
 """,
 }
