@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import audit, chat_windows, decontam, imatch, langid, mixing, ngram_join, substring_dedup, surrogates, toxicity, wavelet, whitening
+from quillon.llm import audit, chat_windows, decontam, imatch, langid, mixing, ngram_join, substring_dedup, suffix_dedup, surrogates, toxicity, wavelet, whitening
 from quillon.llm.shared import table
 
 
@@ -63,11 +63,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_imatch, op3_ngram_join, op4_language_id, op5_toxicity, op6_surrogates, op7_decontaminate, op8_substring_dedup, op9_wavelet_tokens, op10_pivotal_mix, op11_filter_audit, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_imatch, op3_ngram_join, op4_language_id, op5_toxicity, op6_surrogates, op7_decontaminate, op8_substring_dedup, op9_wavelet_tokens, op10_pivotal_mix, op11_filter_audit, op12_suffix_dedup, op13_whitening)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
