@@ -203,5 +203,27 @@ SELECT part, s AS filter_order, CAST(k AS INTEGER) AS step, CAST(coalesce(kept,
   CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
   CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, c), 0) AS BIGINT) AS shapley
 FROM r
+""",
+    "op12_suffix_dedup": """
+WITH doc AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), place AS (
+  SELECT doc_id, i, b[i : i + 49] AS g FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM doc WHERE octet_length(b) >= 50)
+), least_of AS (
+  SELECT g, min(doc_id) AS first_id FROM place GROUP BY g HAVING min(doc_id) < max(doc_id)
+), hit AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before_i FROM place JOIN least_of USING (g) WHERE first_id < doc_id
+), run AS (
+  SELECT doc_id, i, sum(CASE WHEN i <= before_i + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit
+), span AS (
+  SELECT doc_id, k, min(i) AS a, max(i) + 50 AS z FROM run GROUP BY doc_id, k
+), gap AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS free_from FROM span
+), kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS rest, string_agg(hex(b[free_from : a - 1]), '' ORDER BY a) AS s FROM gap JOIN doc USING (doc_id) GROUP BY doc_id
+)
+SELECT doc.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN kept.doc_id IS NULL THEN b ELSE unhex(s || hex(b[rest : octet_length(b)])) END) AS kept_sha256
+FROM doc LEFT JOIN kept ON kept.doc_id = doc.doc_id
 """,
 }
