@@ -26,14 +26,14 @@ def balanced(rows: DataFrame, label: str, each: dict | int, key: str = "doc_id")
 
 def bounded(rows: DataFrame, label: str, each: dict | int, chars: int, longest: int) -> list[tuple[str | None, object]]:
     """(text, label) of about `each` rows and `chars` characters of every label at most, in the order of a hash of the text, by which they are
-    picked too: null and repeated ids make no difference, and equal texts of one label count once. Texts of more than
+    picked too: null and repeated ids make no difference, and equal texts of one label count once, before shares are computed. Texts of more than
     `longest` characters are left out, so that no one text fills the sample. Null labels are none."""
-    fit = rows.select("text", label).filter(F.col(label).isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= longest))
-    sizes = fit.groupBy(label).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars")).collect()
+    length = F.coalesce(F.length("text"), F.lit(0))
+    fit = rows.select("text", label, F.xxhash64(F.lit(777), "text").alias("_h")).filter(F.col(label).isNotNull() & (length <= longest))
+    sizes = fit.select(label, "_h", length.alias("chars")).dropDuplicates([label, "_h"]).groupBy(label).agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()
     share = F.lit(0.0)
     for r in sorted(sizes, key=str):
         most = each if isinstance(each, int) else each.get(r[0], 0)
         share = F.when(F.col(label) == r[0], min(1.0, most / r["n"], chars / max(1, r["chars"]))).otherwise(share)
-    h = F.xxhash64(F.lit(777), "text")
-    picked = fit.withColumn("_h", h).filter(F.pmod(F.xxhash64(F.lit(4242), "_h"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates([label, "_h"])
+    picked = fit.filter(F.pmod(F.xxhash64(F.lit(4242), "_h"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates([label, "_h"])
     return [(r["text"], r[label]) for r in picked.sort("_h", label).collect()]

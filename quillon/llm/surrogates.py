@@ -1,11 +1,13 @@
 """Personal data replaced by keyed surrogates.
 
-Entities are mail addresses, telephone numbers, IPv4 addresses, card-like and social security numbers, secrets and names of persons. A
-surrogate depends on the key and the entity alone, so mentions of one stay mentions of one, in every document. It keeps
+Entities are mail addresses, telephone numbers, IP addresses, account, card-like and social security numbers, secrets and names of persons. A
+surrogate depends on the key and the entity alone, so mentions of one stay mentions of one, in every document, however they are written: mail addresses
+are known by their letters whatever their case, telephone numbers by their digits without country and trunk codes, the others without separators. It keeps
 the type and the format: letters stay letters of their script and case, digits digits, separators where they are, Luhn numbers
 Luhn numbers. A name is found after a title or by a known given name; from there on every mention of its family name or of one of its given names in the
 document counts. It is replaced part by part, given names by given names of the same gender, family names by family names, in their script,
-so that "Mr Adam Weber", "Mr Weber" and "Adam Weber" stay one person. For one format the replacement is a
+so that "Mr Adam Weber", "Mr Weber" and "Adam Weber" stay one person. A given name has one gender in all the corpus: that of its
+mentions with a title or of the list; where these differ, or say nothing, the surrogate is of either. For one format the replacement is a
 permutation (a Feistel network), so different entities cannot meet; a surrogate that is another entity of the corpus, or that of
 another, is found by a join and drawn again until none is left.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from bisect import bisect
@@ -52,7 +55,7 @@ GIVEN_ENDINGS = {("latin", "m"): "o us an or ert".split(), ("latin", "f"): "a ia
 #: Attempts at the lists before names are built.
 LISTED = 3
 #: Titles by the gender that they tell (u: none).
-TITLES = {"m": "Mr Herr Señor Monsieur Sir Господин Г-н".split(), "f": "Mrs Ms Miss Frau Señora Señorita Madame Mme Госпожа Г-жа".split(), "u": "Dr Prof Professor Professorin Docteur Доктор Профессор".split()}
+TITLES = {"m": "Mr Herr Señor Monsieur Sir Господин Г-н".split(), "f": "Mrs Ms Miss Frau Señora Señorita Madame Mme Госпожа Г-жа".split(), "u": "Dr Prof Doktor Professor Professorin Docteur Доктор Профессор".split()}
 
 _UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ɏа-яё"
 _CAP = rf"[{_UPPER}](?:['’][{_UPPER}])?[{_UPPER}{_LOWER}]+(?:[-'’][{_UPPER}][{_UPPER}{_LOWER}]+)*"
@@ -66,17 +69,21 @@ _PATTERNS = [
     ("secret", re.compile(rf"{_WORDS_OF_SECRETS}[\"']?[=:]((?=[^\s\"'<>]*[^\W_]){_VALUE}(?<=\S{{4}}))"), "word"),
     ("secret", re.compile(rf"{_WORDS_OF_SECRETS}[\"']?\s?(?:=>|[=:])\s((?=[^\s\"'<>]*\d){_VALUE}(?<=\S{{6}}))"), "word"),
     ("secret", re.compile(r"\b[Bb]earer ([A-Za-z0-9._~+/-]{16,}=*)"), "bearer"),
-    ("secret", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END"), "pem"),
-    ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)\b"), "mark"),
+    ("secret", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([A-Za-z0-9+/=\s]*+)-----END"), "pem"),
+    ("secret", re.compile(rf"{_WORDS_OF_SECRETS} (?:is|was|ist|lautet|est|es):? [\"'“]?((?=[^\s\"'<>“”]*\d){_VALUE}(?<=\S{{6}}))"), "word"),
+    ("secret", re.compile(r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)\b"), "mark"),
     ("secret", re.compile(r"\b(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*\d)[0-9A-F]{32,64})\b", re.A), "hex"),
+    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A), "account"),
+    ("ip6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])", re.A), "colons"),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)", re.A), "dots"),
     ("card", re.compile(r"(?<![\d.])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?!\d)", re.A), "long"),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.A), "dashed"),
-    ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,5}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w)", re.A), "groups"),
+    ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(0\) ?)?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,5}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w)", re.A), "groups"),
+    ("phone", re.compile(r"(?<![\w.+/-])(?:\+\d{1,3} ?\(0\) ?\d{2,4}|\+\d{1,3}[ /-]\d{2,4}|\(?0\d{2,4}\)?) ?[ /-] ?\d{6,8}(?![\w/-])", re.A), "groups"),
 ]
 _RUNS = {
     "hex": re.compile(r"[0-9a-fA-F]{32}"), "dots": re.compile(r"[0-9]\.[0-9]{1,3}\.[0-9]"), "long": re.compile(r"[0-9]{4}[ -]?[0-9]{4}"),
-    "dashed": re.compile(r"[0-9]-[0-9]{2}-[0-9]"), "groups": re.compile(r"[0-9]{3}[ .-][0-9]{3}|\+[0-9]{8}"),
+    "dashed": re.compile(r"[0-9]-[0-9]{2}-[0-9]"), "groups": re.compile(r"[0-9]{2}\)? ?[ ./-] ?[0-9]{3}|\+[0-9]{8}|\(0\)"), "account": re.compile(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), "colons": re.compile(r":[0-9A-Fa-f]{0,4}:"),
 }
 _DIGIT = re.compile("[0-9]")
 _FOLDED, _MARKS = ("key", "token", "secret", "pass", "pwd"), ("AKIA", "gh", "sk-", "xox", "eyJ")
@@ -89,8 +96,10 @@ def _tests(text: str) -> set[str]:
     return out | {k for k, run in _RUNS.items() if run.search(text)} if _DIGIT.search(text) else out
 
 
-_NAME = re.compile(rf"\b({'|'.join(x for v in TITLES.values() for x in v)})\.? ({_FULL})")
-_PERSON = re.compile(rf"\b({_CAP})(?= ({_CAP}))")
+_TITLE = "|".join(sorted((x for v in TITLES.values() for x in v), key=len, reverse=True))
+_NAME = re.compile(rf"\b((?:{_TITLE})(?:\.? (?:{_TITLE})\b){{0,3}})\.? ({_FULL})")
+#: Not within a word joined by hyphens, so that each part of it is read once.
+_PERSON = re.compile(rf"(?<!\w)(?<!\w[-'’])({_CAP})(?= ({_CAP}))")
 _KNOWN = {n: g for (_, g), names in NAMES.items() if g != "last" for n in names}
 #: What every text with a name has: a title or a known given name.
 _ANNOUNCED = re.compile("|".join(sorted({*_KNOWN, *(x for v in TITLES.values() for x in v)}, reverse=True)))
@@ -102,14 +111,14 @@ def _tokens(kind: str, said: str) -> list[tuple[int, int, str]]:
     """(from, to, type) of the parts of a name: those before its last word are given names; particles and single letters are no parts."""
     found = [m.span() for m in _TOKEN.finditer(said) if said[m.start()].isupper()]
     last = said.rfind(" ") + 1
-    return [(a, b, "family" if a >= last and kind.startswith("name_") else f"given_{kind[-1]}") for a, b in found]
+    return [(a, b, "family" if a >= last and kind.startswith("name_") else f"given_{_KNOWN.get(said[a:b].capitalize(), kind[-1])}") for a, b in found]
 
 
 def _names(text: str) -> list[tuple[int, int, str]]:
     """(from, to, name_ or given_ and the gender). Names that are announced come first; then mentions of their parts."""
     if not _ANNOUNCED.search(text):
         return []
-    found = [(*m.span(2), f"name_{_GENDER[m[1]]}") for m in _NAME.finditer(text)]
+    found = [(*m.span(2), f"name_{next((g for t in re.split(r'[. ]+', m[1]) if (g := _GENDER[t]) != 'u'), 'u')}") for m in _NAME.finditer(text)]
     for m in _PERSON.finditer(text):
         if g := _KNOWN.get(m[1]):
             found.append((m.start(), m.end(2), f"name_{g}"))
@@ -148,8 +157,12 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     for rank, (kind, pattern, need) in enumerate(_PATTERNS):
         if need in passed:
             for m in pattern.finditer(text):
-                group = (m.lastindex or 0) if kind == "secret" else 0
-                found.append((rank, *m.span(group), kind))
+                a, b = m.span((m.lastindex or 0) if kind == "secret" else 0)
+                if need == "pem":  # without the line breaks around it
+                    b -= len(m[1]) - len(m[1].rstrip())
+                    a += len(m[1]) - len(m[1].lstrip()) if b > a else 0
+                if b > a and (kind not in _CHECKS or _CHECKS[kind](text[a:b])):
+                    found.append((rank, a, b, kind))
     found += [(len(_PATTERNS) + n, *x) for n, x in enumerate(_names(text))]
     taken: list[tuple[int, int, str]] = []
     for _, a, b, k in sorted(found):
@@ -159,10 +172,58 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     return taken
 
 
+def _iban(said: str) -> bool:
+    """Whether the check digits fit: letters count as 10 to 35."""
+    own = said.replace(" ", "")
+    return 15 <= len(own) <= 34 and int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1
+
+
+def _ip6(said: str) -> bool:
+    try:
+        return ipaddress.IPv6Address(said) is not None and len([x for x in said.split(":") if x]) > 1
+    except ValueError:
+        return False
+
+
+#: What a match must pass besides.
+_CHECKS = {"iban": _iban, "ip6": _ip6}
+#: A country code (known by what follows it), and the zero that stands for it or beside it.
+_LEAD = re.compile(r"\+1(?=\d{10}$)|\+\d{1,3}(?=[ ./(-])")
+_TRUNK = re.compile(r"[ ./-]?\(0\)|\(?0(?=[1-9])")
+
+
+def _national(said: str) -> int:
+    """Where a telephone number's own digits begin: after a country code and a trunk zero."""
+    at = m.end() if (m := _LEAD.match(said)) else 0
+    return m.end() if (m := _TRUNK.match(said, at)) else at
+
+
+def _plain(kind: str, said: str) -> str:
+    """What all ways of writing an entity have in common."""
+    if kind == "email":
+        return said.lower() if len(said.lower()) == len(said) else said
+    if kind == "phone":
+        return re.sub(r"\D", "", said[_national(said) :])
+    if kind in ("card", "iban"):
+        return re.sub(r"[ -]", "", said)
+    return ipaddress.IPv6Address(said).exploded if kind == "ip6" else said
+
+
+def _dressed(kind: str, said: str, new: str) -> str:
+    """A surrogate of a plain entity, written as the mention is: in its case, with its separators; what is longer than the mention follows it."""
+    if kind == "email":
+        cased = [c.upper() if m.isupper() and len(c.upper()) == 1 else c for c, m in zip(new, said)]
+        return "".join(cased) + new[len(cased) :]
+    if kind in ("phone", "card", "iban"):
+        at, it = _national(said) if kind == "phone" else 0, iter(new)
+        return said[:at] + "".join(next(it) if c.isalnum() else c for c in said[at:]) + "".join(it)
+    return new
+
+
 def parts(kind: str, said: str) -> list[tuple[int, int, str, str]]:
-    """(from, to, type, entity) of what an entity is replaced by: itself, or the parts of a name, in lower case."""
+    """(from, to, type, entity) of what an entity is replaced by: itself in its plain form, or the parts of a name, in lower case."""
     if kind[:5] not in ("name_", "given"):
-        return [(0, len(said), kind, said)]
+        return [(0, len(said), kind, _plain(kind, said))]
     return [(a, b, part, said[a:b].lower()) for a, b, part in _tokens(kind, said)]
 
 
@@ -250,14 +311,14 @@ def _part_of_name(key: bytes, tweak: str, text: str, kind: str, attempt: int) ->
 
 
 @lru_cache(200_000)
-def surrogate(key: bytes, kind: str, text: str, attempt: int = 0) -> str:
-    """Of one entity (of one part of a name, in lower case)."""
+def surrogate(key: bytes, kind: str, attempt: int, text: str) -> str:
+    """Of one entity in its plain form (of one part of a name, in lower case)."""
     tweak = f"{kind}|{attempt}"
     if kind == "family" or kind.startswith("given_"):
         return _part_of_name(key, tweak, text, kind, attempt)
     if attempt >= FORMAT_DRAWS:  # too many entities for the format: a longer text, which no number of them uses up
         more = attempt - FORMAT_DRAWS + 1
-        return surrogate(key, kind, text, 0) + "".join(str(_prf(key, tweak, "more", i, text) % 10) for i in range(4 * more))
+        return surrogate(key, kind, 0, text) + "".join(str(_prf(key, tweak, "more", i, text) % 10) for i in range(4 * more))
     if kind == "email":
         local, _, host = text.partition("@")
         name, _, end = host.rpartition(".")
@@ -265,27 +326,25 @@ def surrogate(key: bytes, kind: str, text: str, attempt: int = 0) -> str:
         return f"{new}.{end}"
     if kind == "ip":
         return ".".join(map(str, permuted(key, tweak, [int(x) for x in text.split(".")], [256] * 4)))
+    if kind == "ip6":
+        return ":".join(re.findall("....", _respelled(key, tweak, text.replace(":", ""), hexadecimal=True)))
+    if kind == "iban":  # its own part respelled, with check digits that fit
+        own = text[:2] + _respelled(key, f"{tweak}|{text[:2]}", text[4:])
+        return f"{own[:2]}{98 - int(''.join(str(int(c, 36)) for c in own[2:] + own[:2] + '00')) % 97:02d}{own[2:]}"
     if kind == "card":
-        digits = re.sub(r"\D", "", text)
-        valid, new = _luhn(digits), digits
+        valid, new = _luhn(text), text
         while True:  # walks the permutation's cycle to the next number that is as valid as this one
             new = _respelled(key, tweak, new)
             if _luhn(new) == valid:
-                break
-        it = iter(new)
-        return "".join(next(it) if c.isdigit() else c for c in text)
-    if kind == "phone":
-        lead = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-        keep = lead[0] if lead else ""
-        return keep + _respelled(key, f"{tweak}|{keep}", text[len(keep) :])
+                return new
     return _respelled(key, tweak, text, kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", text) is not None)
 
 
 def replaced(key: bytes, kind: str, said: str, again: dict) -> str:
-    """What stands for a mention; again: attempts by (type, entity) where the first draw would not do."""
+    """What stands for a mention; again: (type, attempt) by (type, entity) where the mention's own type and first draw would not do."""
     out, at = [], 0
     for a, b, part, entity in parts(kind, said):
-        new = surrogate(key, part, entity, again.get((part, entity), 0))
+        new = _dressed(kind, said, surrogate(key, *again.get((part, entity), (part, 0)), entity))
         if part == "family" or part.startswith("given_"):  # in the mention's case
             new = new.upper() if said[a:b].isupper() else new.capitalize()
         out += [said[at:a], new]
@@ -303,17 +362,24 @@ def _drawn(key: bytes):
     def run(batches):
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "entity", "attempt")))
-            new = [surrogate(key, k, e, n) for k, e, n in rows]
+            new = [surrogate(key, k, n, e) for k, e, n in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "entity", "attempt", "surrogate"])
 
     return run
 
 
 def redrawn(docs: DataFrame, key: bytes) -> DataFrame:
-    """kind, entity, attempt of the entities whose first surrogate will not do: it is an entity of the corpus itself, or some other entity's.
+    """kind, entity, own_kind, attempt of the entities whose first surrogate will not do: it is an entity of the corpus itself, or some other entity's; and of given names
+    whose mentions differ in gender: own_kind is the one for all.
 
     Later draws have more values than earlier ones, without an end, so the rounds come to one even where a format has too few."""
-    known = written(docs.select("text").mapInArrow(_found, "kind string, entity string").distinct(), "entities")
+    said = written(docs.select("text").mapInArrow(_found, "kind string, entity string").distinct(), "entities")
+    told = lambda g: F.coalesce(F.max(F.col("kind") == f"given_{g}"), F.lit(False))
+    given = said.filter(F.col("kind").startswith("given_")).groupBy("entity").agg(told("m").alias("m"), told("f").alias("f"))
+    given = given.select("entity", F.when(F.col("m") & ~F.col("f"), "given_m").when(F.col("f") & ~F.col("m"), "given_f").otherwise("given_u").alias("own_kind"))
+    mentions = said.filter(F.col("kind").startswith("given_")).join(given, "entity").select("kind", "entity", "own_kind")
+    mentions = written(mentions.union(said.filter(~F.col("kind").startswith("given_")).select("kind", "entity", F.col("kind").alias("own_kind"))), "mentions")
+    known = mentions.select(F.col("own_kind").alias("kind"), "entity").distinct()
     real = known.select(F.col("entity").alias("surrogate")).distinct().withColumn("real", F.lit(True))
     order = W.partitionBy("surrogate").orderBy("attempt", "kind", "entity")
     now = known.withColumn("attempt", F.lit(0))
@@ -323,7 +389,8 @@ def redrawn(docs: DataFrame, key: bytes) -> DataFrame:
         checked = written(checked.select("kind", "entity", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad"), "checked")
         now = checked.select("kind", "entity", "attempt")
         if not checked.filter("bad").take(1):
-            return now.filter("attempt > 0")
+            settled = now.select(F.col("kind").alias("own_kind"), "entity", "attempt")
+            return mentions.join(settled, ["own_kind", "entity"]).filter("attempt > 0 or own_kind <> kind").select("kind", "entity", "own_kind", "attempt")
 
 
 FIELDS = [T.StructField("n_entities", T.LongType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
@@ -337,7 +404,7 @@ def _applied(key: bytes, names: list[str], to_all: dict | None):
             own = batch.column("_redrawn").to_pylist() if to_all is None else None
             texts, kinds, spans = [], [], []
             for i, t in enumerate(batch.column("text").to_pylist()):
-                again = to_all if own is None else {(x["kind"], x["entity"]): x["attempt"] for x in own[i] or ()}
+                again = to_all if own is None else {(x["kind"], x["entity"]): (x["own_kind"], x["attempt"]) for x in own[i] or ()}
                 out, at, size, ks, sp = [], 0, 0, [], []
                 for a, b, k in entities(t):
                     new = replaced(key, k, t[a:b], again)
@@ -373,11 +440,11 @@ def pseudonymised(docs: DataFrame, key: bytes, to_all: int = REDRAWN_TO_ALL) ->
     names, schema = docs.columns, T.StructType([*docs.schema.fields, *FIELDS])
     again = written(redrawn(docs, key), "redrawn")
     if again.count() <= to_all:
-        sent = {(r["kind"], r["entity"]): r["attempt"] for r in again.collect()}
+        sent = {(r["kind"], r["entity"]): (r["own_kind"], r["attempt"]) for r in again.collect()}
         return mapped(docs, _applied(key, names, sent), schema)
     hashed = docs.withColumn("_hash", F.xxhash64("text"))
     told = hashed.select(F.col("_hash").alias("h"), "text").mapInArrow(_mentions, "h long, kind string, entity string").distinct().join(again, ["kind", "entity"])
-    told = told.groupBy(F.col("h").alias("_hash")).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_redrawn"))
+    told = told.groupBy(F.col("h").alias("_hash")).agg(F.collect_list(F.struct("kind", "entity", "own_kind", "attempt")).alias("_redrawn"))
     return mapped(hashed.join(told, "_hash", "left").drop("_hash"), _applied(key, names, None), schema)
 
 

@@ -403,6 +403,61 @@ def test_samples_stay_bounded(spark):
     assert 100 < len(got) < 900 and len({t for t, _ in got}) > 100
 
 
+def test_copies_do_not_empty_a_sample(spark):
+    """Most rows of a label are copies of one text: the others are all there is to learn from, and all of them come."""
+    from quillon.llm.samples import bounded
+
+    own = spark.range(40_060).select(F.when(F.col("id") < 40_000, "spam spam").otherwise(F.concat(F.lit("ka "), F.col("id"))).alias("text"), F.lit("xx").alias("lang"))
+    assert len(bounded(own, "lang", 100, 1 << 40, 1000)) == 61
+    rows = [(5000 + i, "karuri ko mi " * 3, "xx") for i in range(3000)] + tongues(random.Random(4), 300)
+    got = langid.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("doc_id < 300").collect()
+    assert sum(r.lang_pred == rows[3000 + r.doc_id][2] for r in got) / len(got) > 0.95
+    rng = random.Random(9)
+    texts = [(i, f"{prose(rng, 30)} {'scoundrel nincompoop' if i % 3 == 0 else ''} {prose(rng, 5)}", int(i % 3 == 0)) for i in range(600)] + [(1000 + i, "scoundrel spam", 1) for i in range(4000)] + [(9000 + i, "calm", 0) for i in range(4000)]
+    df, lab = spark.createDataFrame([x[:2] for x in texts], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    said = {r.doc_id: r.predicted for r in toxicity.report(df, lab).filter("held_out and doc_id < 600").collect()}
+    assert len(said) > 80 and sum(said[i] == y for i, _, y in texts if i in said) / len(said) > 0.95
+
+
+def test_language_model_by_brute_force():
+    """Averages of subwords' rows one by one, as predict() takes them all at once."""
+    model = langid.train([t for _, t, _ in tongues(random.Random(2), 80)], [x for *_, x in tongues(random.Random(2), 80)])
+    for text in ("karuri ko", "ÉINber zu!", "a", "x" * 300):
+        b = b"  " + text.lower().encode() + b"  "
+        b = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in b]
+        rows = []
+        for n in langid.SIZES:
+            for i in range(len(b) - 3):  # runs begin in all places but a text's last three
+                h = 0
+                for c in b[i : i + n]:
+                    h = (h * 257 + c) % (1 << 32)
+                h = ((h ^ ((n - 1) * 0x9E3779B1 & 0xFFFFFFFF)) * 2654435761) % (1 << 32)
+                rows.append(model.table[h >> (32 - langid.BUCKETS_BITS)].astype(float))
+        z = np.mean(rows, axis=0) + model.bias
+        e = np.exp((z - z.max()) / model.heat)
+        lang, score, _ = model.predict([text])[0]
+        assert lang == model.langs[int(z.argmax())] and score == pytest.approx(float(e.max() / e.sum()), rel=1e-3)
+
+
+def test_window_savings_by_brute_force():
+    """Each window compressed for itself with dictionaries made anew."""
+    import zstandard
+
+    model = toxicity.Model(b" calm waters run deep and wide ", b" scoundrel nincompoop ")
+    text = " ".join(["calm waters", "you scoundrel", "run deep", "nincompoop and wide"] * 9)
+
+    def size(x, content):
+        made = zstandard.ZstdCompressionDict(content + bytes(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+
+    b = f" {text} ".encode()
+    cut = [b[i : i + toxicity.WINDOW] for i in range(0, len(b) - (toxicity.WINDOW - toxicity.STEP), toxicity.STEP)]
+    saved = sorted(size(x, model.base) - size(x, model.base + model.toxic) for x in cut)
+    assert sum(map(len, cut)) - (toxicity.WINDOW - toxicity.STEP) * (len(cut) - 1) == len(b)
+    want = [saved[-1], sum(saved[-3:]) / len(saved[-3:]), sum(saved) / len(saved), *(20 * sum(x >= k for x in saved) / len(saved) for k in toxicity.SAVINGS)]
+    assert model.features([text])[0][: len(want)].tolist() == pytest.approx(want)
+
+
 def test_language_learns_nothing_held_out(spark):
     rows = tongues(random.Random(4), 200)
     flip = [(i, t, "bad" if zlib.crc32(str(i).encode()) % 5 == 0 else x) for i, t, x in rows]
