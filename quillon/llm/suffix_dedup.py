@@ -36,7 +36,7 @@ SPAN, RUN = 50, 32
 #: Bytes of a unit, at least and at most; it grows with the corpus, so that what units send to parts does not shrink to a few hashes.
 UNIT_BYTES = (4_000_000, 8_000_000)
 #: Stretches that a part compares, and suffixes of a bucket, about.
-PART_STRETCHES, BUCKET = 3_000_000, 250_000
+PART_STRETCHES, BUCKET = 1_000_000, 250_000
 #: A key with more different stretches than this in one unit is not asked about stretch by stretch: all its strings go to the suffix array.
 MANY = 16
 LAST = (1 << 63) - 1
