@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(rows) if name in LONG else rows
 
 
-from quillon.plans import q_adaptive, q_chat, q_checks, q_contracts, q_curation, q_gates, q_hooks, q_metrics, q_sampling, q_shapes, q_sources, q_terms  # noqa: E402, F401
+from quillon.plans import q_adaptive, q_attempts, q_chat, q_checks, q_contracts, q_curation, q_gates, q_hooks, q_metrics, q_sampling, q_shapes, q_sources, q_terms  # noqa: E402, F401
