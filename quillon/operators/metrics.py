@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,9 +23,30 @@ def manifest_counts(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select(pairs.alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
 
 
+def medians(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by and `median`, the exact one of each group (null values are none; a group without others has null). Distinct values are counted first and their
+    counts summed range by range, so no task holds a group's values."""
+    counts = written(rows.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")), "counts")
+    places = running(counts.filter("_v is not null"), by, ["_v"], F.col("_c"), "_le")
+    n = counts.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))), F.lit(0)).alias("_n"))
+    n = n.select(*(F.col(c).alias(f"_{c}_") for c in by), "_n")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in by), F.lit(True))
+    # the values at the two middle places, the same one where their number is odd
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    within = lambda k: F.max(F.when((F.col("_le") - F.col("_c") < k) & (k <= F.col("_le")), F.col("_v")))
+    found = n.join(places, same, "left").groupBy(*(f"_{c}_" for c in by)).agg(((within(low) + within(high)) / 2).alias("median"))
+    return found.select(*(F.col(f"_{c}_").alias(c) for c in by), "median")
+
+
 def score_summary(rows: DataFrame, *values: str, by: list[str] | None = None) -> DataFrame:
     """A4: mean and exact median."""
-    return rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), *(x for v in values for x in (F.avg(v).alias(f"{v}_mean"), F.median(v).alias(f"{v}_median"))))
+    by = by or []
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(v).alias(f"{v}_mean") for v in values))
+    for v in values:
+        m = medians(rows, v, by).select(*(F.col(c).alias(f"_{c}_of") for c in by), F.col("median").alias(f"{v}_median"))
+        same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}_of")) for c in by), F.lit(True))
+        out = out.join(m, same, "left").drop(*(f"_{c}_of" for c in by))
+    return out.select(*by, "n", *(x for v in values for x in (f"{v}_mean", f"{v}_median")))
 
 
 def uniqueness(rows: DataFrame, key: str) -> DataFrame:

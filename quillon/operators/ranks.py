@@ -1,12 +1,16 @@
-"""Running sums and ranks without a task that sees all rows of a group: rows are dealt by range, each range adds what lies before it."""
+"""Running sums, ranks and scans without a task that sees all rows of a group: rows are dealt by range, each range adds what lies before it."""
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.sources.spread import written
 
@@ -52,3 +56,107 @@ def up_to(cut: tuple[str, object] | None, h: Column, key: str) -> Column:
     if cut is None:
         return F.lit(False)
     return (h < cut[0]) | ((h == cut[0]) & (F.col(key) <= F.lit(cut[1])))
+
+
+class Series:
+    """Rows dealt out by range in the order of by and order, for scans along each series (group of by): no task holds a whole one.
+
+    Rows are written once under the shared folder, so several scans go over the same ranges. The order must be total within a series; a null in `by` is a series of its own.
+    """
+
+    def __init__(self, rows: DataFrame, by: list[str], order: list[str]):
+        self.columns, self.by = rows.columns, by
+        dealt = written(rows.repartitionByRange(*by, *order).withColumn("_pid", F.spark_partition_id()), "series")
+        within = W.partitionBy("_pid").orderBy(*by, *order)
+        segment = F.dense_rank().over(W.partitionBy("_pid").orderBy(*by)) if by else F.lit(1)
+        self.rows = written(dealt.withColumns({"_at": F.row_number().over(within), "_seg": segment}), "places")
+
+    def affine(self, **terms: tuple[Column, Column, Column]) -> Series:
+        """One more column for each term (a, b, first): y = a * y of the row before + b, and first in a series' first row. Moving averages are such, and so are
+        counters with resets (a = b = 1 while they count, else 0). A term's columns may use the columns of earlier calls.
+
+        Maps y -> a * y + b chain to such maps: a range comes to one for each of its series, those are chained range after range (a row a range), and each range
+        then starts from what came before it.
+        """
+        names, series = list(terms), self.by
+        parts = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_{n}_{k}") for n, cs in terms.items() for k, c in zip("abf", cs)]
+        rows = self.rows.select("*", *parts)
+        got = lambda t, n: [t.column(f"_{n}_{k}").to_numpy() for k in "abf"]
+        by = T.StructType([rows.schema[c] for c in self.by])
+
+        def totals(t: pa.Table) -> pa.Table:
+            t = t.sort_by("_at")
+            seg = t.column("_seg").to_numpy()
+            first = np.flatnonzero(np.diff(seg, prepend=seg[0] - 1))
+            out = {c: t.column(c).take(first) for c in ("_pid", "_seg", *series)}
+            for n in names:
+                a, b, f = got(t, n)
+                chained = [_chain(a[i:j], b[i:j], f[i]) for i, j in zip(first, [*first[1:], len(seg)])]
+                for k, name in enumerate("abv"):
+                    out[f"{n}_{name}"] = pa.array([x[k] for x in chained], pa.float64())
+            return pa.table(out)
+
+        numbers = lambda ks: [T.StructField(f"{n}_{k}", T.DoubleType()) for n in names for k in ks]
+        places = [T.StructField("_pid", T.IntegerType()), T.StructField("_seg", T.IntegerType())]
+        maps = written(rows.groupBy("_pid").applyInArrow(totals, T.StructType([*places, *by, *numbers("abv")])), "maps")
+
+        def starts(t: pa.Table) -> pa.Table:
+            t = t.sort_by("_pid")
+            out = {c: t.column(c) for c in ("_pid", "_seg")}
+            for n in names:
+                a, b, v = (t.column(f"{n}_{k}").to_pylist() for k in "abv")
+                y = list(accumulate(range(1, len(a)), lambda y, i: a[i] * y + b[i], initial=v[0]))
+                out[f"{n}_y"] = pa.array([None, *y[:-1]], pa.float64())
+            return pa.table(out)
+
+        begun = maps.groupBy(*(self.by or [F.lit(0)])).applyInArrow(starts, T.StructType([*places, *numbers("y")]))
+        keep = [c for c in rows.columns if not any(c == f"_{n}_{k}" for n in names for k in "abf")]
+        added = T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(n, T.DoubleType()) for n in names)])
+
+        def walk(t: pa.Table, before: pa.Table) -> pa.Table:
+            t = t.sort_by("_at")
+            seg = t.column("_seg").to_numpy()
+            first = np.flatnonzero(np.diff(seg, prepend=seg[0] - 1))
+            known = {x["_seg"]: x for x in before.to_pylist()}
+            out = {c: t.column(c) for c in keep}
+            for n in names:
+                a, b, f = got(t, n)
+                made: list[float] = []
+                for i, j in zip(first.tolist(), [*first[1:].tolist(), len(seg)]):
+                    y = known[seg[i]][f"{n}_y"]
+                    own = zip(a[i:j].tolist(), b[i:j].tolist())
+                    if y is None:
+                        next(own)
+                        made += accumulate(own, lambda y, m: m[0] * y + m[1], initial=float(f[i]))
+                    else:
+                        made += list(accumulate(own, lambda y, m: m[0] * y + m[1], initial=y))[1:]
+                out[n] = pa.array(made, pa.float64())
+            return pa.table(out)
+
+        self.rows = written(rows.groupBy("_pid").cogroup(begun.groupBy("_pid")).applyInArrow(walk, added), "scanned")
+        self.columns = [*self.columns, *names]
+        return self
+
+    def before(self, name: str, value: str) -> Series:
+        """One more column: value in the row before of the same series, null in the first. Only the last row of each range and series meets the next range."""
+        within = W.partitionBy("_pid", "_seg").orderBy("_at")
+        last = self.rows.groupBy("_pid", "_seg", *self.by).agg(F.max_by(value, "_at").alias("_last"))
+        last = last.withColumn("_last", F.lag("_last").over(W.partitionBy(*self.by).orderBy("_pid"))).select("_pid", "_seg", "_last")
+        rows = self.rows.withColumn(name, F.lag(value).over(within)).withColumn("_new", F.row_number().over(within) == 1)
+        rows = rows.join(last, ["_pid", "_seg"]).withColumn(name, F.when(F.col("_new"), F.col("_last")).otherwise(F.col(name)))
+        self.rows = rows.drop("_new", "_last")
+        self.columns = [*self.columns, name]
+        return self
+
+    def frame(self) -> DataFrame:
+        return self.rows.select(*self.columns)
+
+
+def _chain(a: np.ndarray, b: np.ndarray, first: float) -> tuple[float, float, float]:
+    """Of the maps y -> a * y + b, one after the other: the whole map's a and b, and what comes out where the first map gives `first`."""
+    whole, off, y = 1.0, 0.0, float(first)
+    for i, (x, c) in enumerate(zip(a.tolist(), b.tolist())):
+        whole, off = x * whole, x * off + c
+        if i:
+            y = x * y + c
+    return whole, off, y

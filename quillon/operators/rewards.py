@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillon.functions.scores import learnability, progress_signal, soft_overlong
 from quillon.functions.text import parse_reasoning, strip
+from quillon.operators.ranks import Series
 
 # The parts of the core reward.
 INSTRUCTION_SHARE, PROMPT_SHARE = 0.7, 0.3
@@ -73,26 +71,15 @@ def structure_weighted_mean(loss: Column, structure: Column, n: Column, k: Colum
 
 
 def emas(rows: DataFrame, category: str = "category", step: str = "step", rate: str = "rate", slow: float = 0.9, fast: float = 0.5, tolerance: float = 0.02) -> DataFrame:
-    """Slow, fast, stagnant of each category after every step, in one pass over its series.
-
-    A series has one value a step, so it is as long as the run has steps. For an endless one see streaming.state.
-    """
-
-    def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by(step)
-        x = t.column("rate").to_numpy()
-        out = np.empty((3, len(x)))
-        s = f = was = x[0]
-        still = 0
-        for i, v in enumerate(x.tolist()):
-            if i:
-                s, f, still = slow * s + (1 - slow) * v, fast * f + (1 - fast) * v, still + 1 if abs(v - was) <= tolerance else 0
-            out[:, i], was = (s, f, still), v
-        return pa.table([*(t.column(c) for c in (category, step, "rate")), pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32))], names=[category, step, "rate", "slow", "fast", "stagnant"])
+    """Category, step, rate, and slow, fast, stagnant of each category after every step, by scans over ranges of its series: a series may be of any length.
 
+    Steps must be unique in a category. For an endless series see streaming.state."""
     own = rows.select(category, F.col(step).cast("bigint").alias(step), F.col(rate).cast("double").alias("rate"))
-    more = [T.StructField("slow", T.DoubleType()), T.StructField("fast", T.DoubleType()), T.StructField("stagnant", T.IntegerType())]
-    return own.groupBy(category).applyInArrow(fold, T.StructType([*own.schema.fields, *more]))
+    x = F.col("rate")
+    series = Series(own, [category], [step]).before("was", "rate")
+    still = F.when(F.abs(x - F.col("was")) <= tolerance, 1).otherwise(0)
+    averages = {n: (F.lit(k), (1 - k) * x, x) for n, k in (("slow", slow), ("fast", fast))}
+    return series.affine(**averages, stagnant=(still, still, F.lit(0))).frame().withColumn("stagnant", F.col("stagnant").cast("int")).drop("was")
 
 
 def category_signals(state: DataFrame, patience: int = 3, scale: float = 0.25) -> DataFrame:
@@ -118,10 +105,9 @@ def refresh_step(step: Column, every: int = 20) -> Column:
 
 
 def runs(rows: DataFrame, flag: Column, order: str, by: list[str] | None = None) -> DataFrame:
-    """Run, the number of rows in a row up to this one for which flag holds."""
-    w = W.partitionBy(*(by or [])).orderBy(order)
-    own = rows.withColumn("_f", flag).withColumn("_g", F.sum(F.when(flag, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return own.withColumn("run", F.sum(F.col("_f").cast("int")).over(W.partitionBy(*(by or []), "_g").orderBy(order).rowsBetween(W.unboundedPreceding, 0))).drop("_f", "_g")
+    """Run, the number of rows in a row up to this one for which flag holds (a null does not). The order must be total; ranges of rows are counted side by side."""
+    one = F.when(flag, 1).otherwise(0)
+    return Series(rows.withColumn("_flag", one), by or [], [order]).affine(run=(F.col("_flag"), F.col("_flag"), F.col("_flag"))).frame().withColumn("run", F.col("run").cast("long")).drop("_flag")
 
 
 def smoke_health(rows: DataFrame) -> DataFrame:
