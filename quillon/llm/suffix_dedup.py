@@ -10,16 +10,18 @@ and a first exchange proves which:
   strings repeat. A key that comes with one stretch only, however often, has no other strings. What is left are first stretches
   whose key another stretch has too: the edges of repeats, some hundredths of the text.
 
-The suffixes of what is left, cut to 50 bytes, are the suffix array's. Spark samples their leading bytes for splitters and deals them
-out by range, equal ones together; each bucket sorts its own by multikey quicksort, eight bytes a level, and compares
-neighbours. Suffixes on the two sides of a splitter differ within their 50 bytes, as splitters are whole suffixes.
-A unit sends a suffix once however many of its documents have it, so no common string makes a hot bucket.
+The suffixes of what is left, cut to 50 bytes, are the suffix array's. Splitters are sampled from all suffixes and deal them out by
+range: every unit sorts its own by multikey quicksort, eight bytes a level, cuts them at the splitters and sends each bucket its stretch of
+them (sorted neighbours compress well); a bucket sorts what all units sent and compares neighbours. Suffixes on the two sides of
+a splitter differ within their 50 bytes, as splitters are whole suffixes, so nothing is left to compare across a boundary. A unit sends
+a suffix once however many of its documents have it, so no common string makes a hot bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,14 @@ from quillon.llm.words import _UNIT, _power, mix
 SPAN, RUN = 50, 32
 #: Bytes of a unit, at least and at most; it grows with the corpus, so that what units send to parts does not shrink to a few hashes.
 UNIT_BYTES = (4_000_000, 8_000_000)
-#: Stretches that a part compares, and suffixes of a bucket, about.
-PART_STRETCHES, BUCKET = 1_000_000, 250_000
+#: Stretches that a part compares, about; bytes of text for one bucket, and suffixes sampled for one splitter.
+PART_STRETCHES, BUCKET_BYTES, SAMPLED = 1_000_000, 12_500_000, 64
+#: Splitters at most, which all tasks get: beyond, buckets grow.
+SPLITTERS = 1 << 16
 #: A key with more different stretches than this in one unit is not asked about stretch by stretch: all its strings go to the suffix array.
 MANY = 16
 LAST = (1 << 63) - 1
-_BODY = 40  # bits of a stretch's hash that are sent beside its key
+_BODY = 32  # bits of a stretch's hash that are sent beside its key
 
 
 # units
@@ -55,7 +59,7 @@ def _pack_units(docs: DataFrame, unit_bytes: int) -> DataFrame:
 
         def unit():
             known = [LAST if i is None else i for i in ids]
-            blob = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+            blob = zstandard.ZstdCompressor(level=6).compress(b"".join(texts))
             row = {"unit": [(task << 32) + made], "ids": [np.array(known, np.int64).tobytes()], "null_ids": [np.packbits([i is None for i in ids]).tobytes()], "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()], "texts": [blob]}
             return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "unit" else pa.binary()) for k, v in row.items()})
 
@@ -214,45 +218,41 @@ def _answer(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
 # what is left: the suffix array
 
 
-def _suffixes(buf: np.ndarray, place: np.ndarray) -> pa.Array:
-    """The SPAN bytes from each place."""
-    data = np.empty((len(place), SPAN), np.uint8)
-    for k in range(SPAN):
-        data[:, k] = buf[place + k]
-    return pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(np.arange(0, (len(place) + 1) * SPAN, SPAN, dtype=np.int32)), pa.py_buffer(data)])
+def multikey_order(n: int, column) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n rows of 8-byte keys, and for each place in it whether the row equals the one before. column(k, rows): the k-th keys of some rows.
 
-
-def _strings(unit: Unit, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of strings at ascending places: the place and smallest document of each different one, in the order of their first bytes, and which of them each is."""
-    h = np.empty(len(place), np.uint64)
-    for lo, hi in unit.chunks():
-        a, b = np.searchsorted(place, (lo, hi - SPAN + 1))
-        if b > a:
-            h[a:b] = _Hashes(unit.buf[lo:hi]).spans(place[a:b] - lo, place[a:b] - lo + SPAN)
-    order = np.lexsort((doc, h))
-    new = _groups(h[order])
-    kinds, least = place[order][new], doc[order][new]
-    head = np.zeros(len(kinds), np.uint64)
-    for k in range(8):  # neighbours alike: the files and the shuffle compress better
-        head = head << np.uint64(8) | unit.buf[kinds + k]
-    turn = np.argsort(head)
-    number = np.empty(len(kinds), np.int64)
-    number[turn] = np.arange(len(kinds))
-    which = np.empty(len(place), np.int64)
-    which[order] = np.repeat(number, np.diff(new, append=len(h)))
-    return kinds[turn], least[turn], which
+    Multikey quicksort by levels: rows are sorted by one key, and only those that tie go on to the next one, within their ties.
+    """
+    order, tied = np.arange(n), np.zeros(n, bool)
+    group, live = np.zeros(n, np.int64), np.arange(n)  # live: places whose rows still tie with a neighbour
+    for k in range(-(-SPAN // 8)):
+        if not len(live):
+            break
+        own = order[live]
+        key = column(k, own)
+        turn = np.lexsort((key, group[live]))
+        order[live], v = own[turn], key[turn]
+        g = group[live]  # places of a group lie together and stay its own
+        same = np.concatenate(([False], (v[1:] == v[:-1]) & (g[1:] == g[:-1])))
+        tied[live] = same
+        group[live] = live[np.maximum.accumulate(np.where(same, 0, np.arange(len(live))))]
+        live = live[same | np.concatenate((same[1:], [False]))]
+    return order, tied
 
 
-LEFT = pa.schema([("unit", pa.int64()), ("known", pa.binary()), ("places", pa.binary()), ("which", pa.binary()), ("suffix", pa.binary()), ("doc", pa.int64()), ("at", pa.int64())])
+def _keys(buf: np.ndarray, place: np.ndarray):
+    """column() of multikey_order() for the SPAN bytes from each place."""
+    padded = np.concatenate((buf, np.zeros(SPAN + 8, np.uint8)))
+    eight = np.ndarray(len(buf) + SPAN, ">u8", padded.data, strides=(1,))
+    rest = np.uint64((1 << 64) - (1 << 8 * (-SPAN % 8)))  # what of the last key is within the SPAN bytes
+    return lambda k, rows: eight[place[rows] + 8 * k].astype(np.uint64) & (rest if 8 * k + 8 > SPAN else ~np.uint64(0))
 
 
-def _left(bits: int, parts: int):
-    """A unit's strings that are known to repeat (runs of places), and the suffixes of what is left, each different one once with the smallest document that has it."""
+class Left:
+    """What the answers leave of a unit: the runs of places whose strings repeat, the other strings' places, and the different ones among these in their order."""
 
-    def fn(key: tuple[pa.Scalar, ...], units: pa.Table, answers: pa.Table) -> pa.Table:
-        said = dict(zip(answers.column("part").to_pylist(), answers.column("blob").to_pylist()))
-        row = units.to_pylist()[0]
-        unit = Unit(row)
+    def __init__(self, row: dict, said: dict[int, bytes], bits: int, parts: int):
+        unit = self.unit = Unit(row)
         x = Asked(unit, bits)
         begin = _groups(x.key)
         size = np.diff(begin, append=len(x.key))
@@ -263,88 +263,102 @@ def _left(bits: int, parts: int):
                 whole[own] = np.unpackbits(two[0], count=b - a).astype(bool)
                 other[own] |= np.unpackbits(two[1], count=b - a).astype(bool)
         done = (whole & ~x.many)[x.of] | (x.doc > x.least[x.of])
-        first, last = x.s["first"], x.s["last"]
+        self.first, self.last = x.s["first"][done], x.s["last"][done]
         todo = np.flatnonzero(~done & other[x.of])
-        todo = todo[np.argsort(first[todo])]
-        n = last[todo] - first[todo] + 1
-        place = np.repeat(first[todo] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        kinds, least, which = _strings(unit, place, np.repeat(x.doc[todo], n))
-        state = {"unit": [row["unit"]], "known": [packed.plain(np.concatenate((first[done], last[done])))], "places": [packed.plain(place)], "which": [packed.plain(which)], "suffix": [None], "doc": [None], "at": [None]}
-        none = pa.nulls(len(kinds), pa.binary())
-        rows = [pa.array(np.full(len(kinds), row["unit"])), none, none, none, _suffixes(unit.buf, kinds), pa.array(least), pa.array(np.arange(len(kinds)))]
-        return pa.concat_tables([pa.table(state, LEFT), pa.table(rows, schema=LEFT)])
+        first, last, doc = x.s["first"][todo], x.s["last"][todo], x.doc[todo]
+        turn = np.argsort(first)
+        n = (last - first + 1)[turn]
+        self.place = np.repeat(first[turn] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        self.doc = np.repeat(doc[turn], n)
+        h = np.empty(len(self.place), np.uint64)
+        for lo, hi in unit.chunks():
+            a, b = np.searchsorted(self.place, (lo, hi - SPAN + 1))
+            if b > a:
+                h[a:b] = _Hashes(unit.buf[lo:hi]).spans(self.place[a:b] - lo, self.place[a:b] - lo + SPAN)
+        order = np.lexsort((self.doc, h))
+        new = _groups(h[order])
+        kinds = self.place[order][new]
+        turn, _ = multikey_order(len(kinds), _keys(unit.buf, kinds))
+        self.kinds, self.least = kinds[turn], self.doc[order][new][turn]
+        number = np.empty(len(kinds), np.int64)
+        number[turn] = np.arange(len(kinds))
+        self.which = np.empty(len(self.place), np.int64)
+        self.which[order] = np.repeat(number, np.diff(new, append=len(h)))
+
+    def suffix(self, i: int) -> bytes:
+        return self.unit.buf[self.kinds[i] : self.kinds[i] + SPAN].tobytes()
+
+    def cut(self, splitters: list[bytes]) -> list[tuple[int, int, int]]:
+        """(bucket, from, to) of the buckets that get some of the different strings: bucket k has those from the k-th splitter on."""
+        ends = [bisect_left(range(len(self.kinds)), x, key=self.suffix) for x in splitters]
+        return [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], [*ends, len(self.kinds)])) if b > a]
+
+
+def splitters(units: DataFrame, n_units: int, buckets: int) -> list[bytes]:
+    """buckets - 1 suffixes at even distances in the order of a sample of all: some of each unit's, at places drawn by the unit's number."""
+    each = -(-SAMPLED * buckets // max(1, n_units))
 
-    return fn
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                buf = Unit(row).buf
+                at = np.random.default_rng(row["unit"]).integers(0, len(buf) - SPAN, each) if len(buf) > SPAN else ()
+                yield pa.RecordBatch.from_pydict({"suffix": pa.array([buf[p : p + SPAN].tobytes() for p in at], pa.binary())})
 
+    if buckets < 2:
+        return []
+    found = sorted(bytes(r[0]) for r in units.mapInArrow(run, "suffix binary").collect())
+    return sorted({found[k * len(found) // buckets] for k in range(1, buckets)}) if found else []
 
-def multikey_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows of 8-byte keys (a column a level, most telling first), and for each place in it whether the row equals the one before.
 
-    Multikey quicksort by levels: rows are sorted by one column, and only those that tie go on to the next one, within their ties.
-    """
-    n, levels = rows.shape
-    order, tied = np.arange(n), np.zeros(n, bool)
-    group, live = np.zeros(n, np.int64), np.arange(n)  # live: places whose rows still tie with a neighbour
-    for k in range(levels):
-        if not len(live):
-            break
-        own = order[live]
-        turn = np.lexsort((rows[own, k], group[live]))
-        order[live], v = own[turn], rows[own[turn], k]
-        g = group[live]  # places of a group lie together and stay its own
-        same = np.concatenate(([False], (v[1:] == v[:-1]) & (g[1:] == g[:-1])))
-        tied[live] = same
-        group[live] = live[np.maximum.accumulate(np.where(same, 0, np.arange(len(live))))]
-        go = same | np.concatenate((same[1:], [False]))
-        live = live[go]
-    return order, tied
+def _left(bits: int, parts: int, sent):
+    def fn(key: tuple[pa.Scalar, ...], units: pa.Table, answers: pa.Table) -> pa.Table:
+        out: dict[str, list] = {k: [] for k in ("bucket", "unit", "start", "suffixes", "doc")}
+        for row in units.to_pylist():
+            x = Left(row, dict(zip(answers.column("part").to_pylist(), answers.column("blob").to_pylist())), bits, parts)
+            for bucket, a, b in x.cut(sent.value):
+                text = x.unit.buf[x.kinds[a:b, None] + np.arange(SPAN)]
+                for k, v in zip(out, (bucket, row["unit"], a, zstandard.ZstdCompressor(level=3).compress(text.tobytes()), packed.plain(x.least[a:b]))):
+                    out[k].append(v)
+        return pa.table({k: pa.array(v, pa.binary() if k in ("suffixes", "doc") else pa.int64()) for k, v in out.items()})
+
+    return fn
 
 
-def _bucket(batches):
-    """One bucket of suffixes: sorted, neighbours compared; those that an earlier document has go back to their units."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    keys = np.zeros((len(t), -(-SPAN // 8) * 8), np.uint8)
-    keys[:, :SPAN] = np.frombuffer(b"".join(t.column("suffix").to_pylist()), np.uint8).reshape(-1, SPAN)
-    order, tied = multikey_order(keys.view(">u8").astype(np.uint64))
-    doc = t.column("doc").to_numpy()[order]
+def _bucket(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """One bucket of suffixes: sorted, neighbours compared; the numbers of those that an earlier document has go back to their units."""
+    docs = [packed.unplain(x) for x in t.column("doc").to_pylist()]
+    text = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x, max_output_size=SPAN * len(d)), np.uint8) for x, d in zip(t.column("suffixes").to_pylist(), docs)]
+    doc, buf = np.concatenate(docs), np.concatenate(text)
+    order, tied = multikey_order(len(doc), _keys(buf, np.arange(len(doc)) * SPAN))
     at = np.flatnonzero(~tied)
-    late = np.repeat(np.minimum.reduceat(doc, at), np.diff(at, append=len(doc))) < doc
-    unit, number = t.column("unit").to_numpy()[order][late], t.column("at").to_numpy()[order][late]
-    turn = np.lexsort((number, unit))
-    unit, number = unit[turn], number[turn]
-    begin = _groups(unit)
-    cut = list(zip(begin.tolist(), [*begin[1:].tolist(), len(unit)]))
-    yield pa.RecordBatch.from_pydict({"unit": pa.array(unit[begin], pa.int64()), "late": pa.array([packed.pack(number[a:b].astype(np.uint64)) for a, b in cut], pa.binary())})
+    late = np.empty(len(doc), bool)
+    late[order] = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(at, append=len(doc))) < doc[order]
+    ends = np.cumsum([len(d) for d in docs])
+    found = [(u, packed.pack((np.flatnonzero(late[e - len(d) : e]) + a).astype(np.uint64))) for u, a, d, e in zip(t.column("unit").to_pylist(), t.column("start").to_pylist(), docs, ends)]
+    found = [x for x in found if x[1]]
+    return pa.table({"unit": pa.array([u for u, _ in found], pa.int64()), "part": pa.array([-1] * len(found), pa.int64()), "blob": pa.array([x for _, x in found], pa.binary())})
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _kept(with_bytes: bool):
-    def fn(key: tuple[pa.Scalar, ...], units: pa.Table, found: pa.Table) -> pa.Table:
-        late = [packed.unpack(x).astype(np.int64) for x in found.column("late").to_pylist() if x is not None]
-        state = [r for r in found.select(["known", "places", "which"]).to_pylist() if r["known"] is not None]
+def _kept(bits: int, parts: int, with_bytes: bool):
+    def fn(key: tuple[pa.Scalar, ...], units: pa.Table, said: pa.Table) -> pa.Table:
+        both = list(zip(said.column("part").to_pylist(), said.column("blob").to_pylist()))
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for row in units.to_pylist():
-            unit = Unit(row)
+            x = Left(row, {p: v for p, v in both if p >= 0}, bits, parts)
+            unit, late = x.unit, np.zeros(len(x.kinds), bool)
+            for p, v in both:
+                if p < 0:
+                    late[packed.unpack(v).astype(np.int64)] = True
+            place = x.place[late[x.which] | (x.doc > x.least[x.which])]
             change = np.zeros(len(unit.buf) + 1, np.int32)
-            for s in state:
-                first, last = packed.unplain(s["known"]).reshape(2, -1)
+            for first, last in ((x.first, x.last), (place, place)):
                 np.add.at(change, first, 1)
                 np.add.at(change, last + SPAN, -1)
-                place, which = packed.unplain(s["places"]), packed.unplain(s["which"])
-                if len(place):
-                    again, owner = np.zeros(int(which.max()) + 1, bool), unit.ids[np.searchsorted(unit.at, place, "right") - 1]
-                    for x in late:
-                        again[x] = True
-                    least = np.full(len(again), LAST)
-                    np.minimum.at(least, which, owner)
-                    place = place[again[which] | (owner > least[which])]
-                    np.add.at(change, place, 1)
-                    np.add.at(change, place + SPAN, -1)
             gone = np.cumsum(change[:-1]) > 0
             for i, null, a, b in zip(unit.ids.tolist(), unit.null.tolist(), unit.at[:-1].tolist(), unit.at[1:].tolist()):
                 own = gone[a:b]
@@ -368,21 +382,18 @@ def drop_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     A null text is empty; a text of under 50 bytes loses none; rows of equal doc_id do not remove each other's bytes, so repeated rows fare alike; a null doc_id
     comes after all others. No rows give none. What is left may be cut within a character, so it is binary. Of docs' columns only doc_id and text are used.
     """
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units = _pack_units(docs, max(UNIT_BYTES[0], min(UNIT_BYTES[1], total // 4000)))
     likely = total // 10 + 1  # stretches
     bits, parts = min(62, max(24, math.ceil(math.log2(likely + 2)) + 10)), -(-likely // PART_STRETCHES)
     asked = units.mapInArrow(_asking(bits, parts), "part long, unit long, key binary, body binary, doc binary")
-    answers = asked.groupBy("part").applyInArrow(_answer, "unit long, part long, blob binary")
-    left = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_left(bits, parts), "unit long, known binary, places binary, which binary, suffix binary, doc long, at long")
-    left = written(left, "suffixes")
-    suffixes = left.filter("at is not null").select("suffix", "doc", "unit", "at")
-    buckets = max(1, -(-suffixes.count() // BUCKET))
-    late = suffixes.repartitionByRange(buckets, "suffix").mapInArrow(_bucket, "unit long, late binary")
-    none = F.lit(None).cast("binary")
-    found = left.filter("at is null").select("unit", "known", "places", "which", none.alias("late"))
-    found = found.union(late.select("unit", none.alias("known"), none.alias("places"), none.alias("which"), "late"))
-    out = units.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(_kept(with_bytes), KEPT)
+    answers = written(asked.groupBy("part").applyInArrow(_answer, "unit long, part long, blob binary"), "answers")
+    sent = spark.sparkContext.broadcast(splitters(units, units.count(), min(SPLITTERS, total // BUCKET_BYTES + 1)))
+    by_unit = units.groupBy("unit")  # its exchange serves both rounds
+    left = by_unit.cogroup(answers.groupBy("unit")).applyInArrow(_left(bits, parts, sent), "bucket long, unit long, start long, suffixes binary, doc binary")
+    late = left.groupBy("bucket").applyInArrow(_bucket, "unit long, part long, blob binary")
+    out = by_unit.cogroup(answers.union(late).groupBy("unit")).applyInArrow(_kept(bits, parts, with_bytes), KEPT)
     return out if with_bytes else out.drop("kept")
 
 

@@ -39,11 +39,11 @@ def check(spark, rows, parts=3):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in got)
 
 
-@pytest.mark.parametrize("unit, part, bucket, many, chunk", [(4_000_000, 3_000_000, 250_000, 16, 1_000_000), (300, 40, 30, 1, 64), (2_000, 500, 100, 2, 333)])
+@pytest.mark.parametrize("unit, part, bucket, many, chunk", [(4_000_000, 1_000_000, 12_500_000, 16, 1_000_000), (300, 40, 500, 1, 64), (2_000, 500, 3_000, 2, 333)])
 def test_by_definition(spark, monkeypatch, unit, part, bucket, many, chunk):
     monkeypatch.setattr(suffix_dedup, "UNIT_BYTES", (unit, unit))
     monkeypatch.setattr(suffix_dedup, "PART_STRETCHES", part)
-    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket)
     monkeypatch.setattr(suffix_dedup, "MANY", many)
     cut = suffix_dedup.Unit.chunks
     monkeypatch.setattr(suffix_dedup.Unit, "chunks", lambda self, limit=chunk: cut(self, limit))
@@ -60,11 +60,16 @@ def test_no_rows_and_few(spark):
 def test_multikey_order():
     rng = np.random.default_rng(1)
     for n, top in ((0, 2), (1, 2), (500, 2), (500, 3), (300, 1 << 40)):
-        rows = rng.integers(0, top, (n, 4)).astype(np.uint64)
-        order, tied = suffix_dedup.multikey_order(rows)
+        rows = rng.integers(0, top, (n, 7)).astype(np.uint64)
+        order, tied = suffix_dedup.multikey_order(n, lambda k, own: rows[own, k])
         want = sorted(map(tuple, rows.tolist()))
         assert [tuple(r) for r in rows[order].tolist()] == want
         assert tied.tolist() == [i > 0 and want[i] == want[i - 1] for i in range(n)]
+    text = bytes(rng.integers(0, 3, 400, dtype=np.uint8))
+    place = np.arange(400 - SPAN + 1)
+    order, _ = suffix_dedup.multikey_order(len(place), suffix_dedup._keys(np.frombuffer(text, np.uint8), place))
+    cut = [text[p : p + SPAN] for p in order]
+    assert cut == sorted(cut) and sorted(order) == list(place)
 
 
 def test_equal_strings_have_equal_keys():
