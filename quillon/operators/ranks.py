@@ -109,7 +109,7 @@ class Series:
                 out[f"{n}_y"] = pa.array([None, *y[:-1]], pa.float64())
             return pa.table(out)
 
-        begun = maps.groupBy(*(self.by or [F.lit(0)])).applyInArrow(starts, T.StructType([*places, *numbers("y")]))
+        begun = maps.withColumn("_all", F.lit(0)).groupBy("_all", *self.by).applyInArrow(starts, T.StructType([*places, *numbers("y")]))
         keep = [c for c in rows.columns if not any(c == f"_{n}_{k}" for n in names for k in "abf")]
         added = T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(n, T.DoubleType()) for n in names)])
 
