@@ -31,18 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import packed
-from quillon.llm.shared import CHUNK_CHARS, written
+from quillon.llm.shared import written
 from quillon.llm.words import _UNIT, _power, mix
 
 SPAN, RUN = 50, 32
 #: Bytes of a unit, at least and at most; it grows with the corpus, so that what units send to parts does not shrink to a few hashes.
 UNIT_BYTES = (4_000_000, 8_000_000)
 #: Stretches that a part compares, about; bytes of text for one bucket, and suffixes sampled for one splitter.
-PART_STRETCHES, BUCKET_BYTES, SAMPLED = 1_000_000, 12_500_000, 64
+PART_STRETCHES, BUCKET_BYTES, SAMPLED = 500_000, 12_500_000, 64
 #: Splitters at most, which all tasks get: beyond, buckets grow.
 SPLITTERS = 1 << 16
 #: A key with more different stretches than this in one unit is not asked about stretch by stretch: all its strings go to the suffix array.
 MANY = 16
+#: Bytes hashed at once.
+CHUNK = 1 << 18
 LAST = (1 << 63) - 1
 _BODY = 32  # bits of a stretch's hash that are sent beside its key
 
@@ -87,7 +89,7 @@ class Unit:
         self.buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=total) if total else b"", np.uint8)
         self.at = np.concatenate(([0], np.cumsum(self.sizes)))
 
-    def chunks(self, limit: int = CHUNK_CHARS):
+    def chunks(self, limit: int = CHUNK):
         """Ranges of about limit bytes whose strings together are all strings: neighbours overlap by what a string is longer than one byte."""
         for a in range(0, len(self.buf), limit):
             yield a, min(len(self.buf), a + limit + SPAN - 1)
