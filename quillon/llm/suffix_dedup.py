@@ -38,7 +38,7 @@ SPAN, RUN = 50, 32
 #: Bytes of a unit, at least and at most; it grows with the corpus, so that what units send to parts does not shrink to a few hashes.
 UNIT_BYTES = (4_000_000, 8_000_000)
 #: Stretches that a part compares, about; bytes of text for one bucket, and suffixes sampled for one splitter.
-PART_STRETCHES, BUCKET_BYTES, SAMPLED = 500_000, 12_500_000, 64
+PART_STRETCHES, BUCKET_BYTES, SAMPLED = 1_000_000, 12_500_000, 64
 #: Splitters at most, which all tasks get: beyond, buckets grow.
 SPLITTERS = 1 << 16
 #: A key with more different stretches than this in one unit is not asked about stretch by stretch: all its strings go to the suffix array.
@@ -137,7 +137,7 @@ def stretches(unit: Unit) -> dict[str, np.ndarray]:
         first, last = np.flatnonzero(starts), np.flatnonzero(ends & inside)
         out["first"].append(first + lo)
         out["last"].append(last + lo)
-        out["key"].append(low[first])
+        out["key"].append(mix(low[first]))  # smallest hashes are small: mixed, they deal out evenly
         out["body"].append(hashes.spans(first, last + SPAN))
     found = {k: np.concatenate(v) if v else np.empty(0, np.uint64 if k in ("key", "body") else np.int64) for k, v in out.items()}
     found["doc"] = np.searchsorted(unit.at, found["first"], "right") - 1  # empty texts begin where the next one does: the last is meant
