@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillon.functions.text import order_hash
-from quillon.sources.spread import folder
+from quillon.sources.io import exists
+from quillon.sources.spread import folder, written
+from quillon.streaming import stateful
 
 SLOW, FAST, TOLERANCE = 0.9, 0.5, 0.02
 STATE = "slow double, fast double, last double, stagnant int"
@@ -50,22 +55,90 @@ def drained_emas(series: DataFrame) -> DataFrame:
 PARTS = 256
 
 
-def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """T-2, T-7, for foreachBatch: appends the rows whose keys the target does not have; a batch run again appends nothing. The target is the seen-set, dealt
-    into folders by a hash of the keys, so a small batch reads few of them, and a restart needs nothing else."""
-    spark = batch.sparkSession
-    new = batch.dropDuplicates(keys).withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")).persist()
+#: Of the filter beside each part: bits and hashes a key, keys that the first one has room for.
+FILTER_BITS, FILTER_HASHES, FILTER_ROOM = 16, 6, 1024
+FILTER = "_part int, room long, n long, bits binary"
+
+
+def _slots(h: np.ndarray, room: int) -> np.ndarray:
+    """The bits of each hash, from its two halves."""
+    one, two = h.astype(np.uint64) & np.uint64(0xFFFFFFFF), h.astype(np.uint64) >> np.uint64(32) | np.uint64(1)
+    return (one[:, None] + np.arange(FILTER_HASHES, dtype=np.uint64) * two[:, None]) % np.uint64(room * FILTER_BITS)
+
+
+def _with(bits: bytes | None, room: int, h: np.ndarray) -> bytes:
+    out = np.unpackbits(np.frombuffer(bits, np.uint8)) if bits else np.zeros(room * FILTER_BITS, np.uint8)
+    out[_slots(h, room).ravel()] = 1
+    return np.packbits(out).tobytes()
+
+
+def _maybe_known(key: tuple, new: pa.Table, known: pa.Table) -> pa.Table:
+    """The hashes that a part may hold: all of them where it has no filter."""
+    h, f = new.column("_h").to_numpy(), known.to_pylist()
+    hit = np.ones(len(h), bool)
+    if f and f[0]["bits"] is not None:
+        hit = np.unpackbits(np.frombuffer(f[0]["bits"], np.uint8))[_slots(h, f[0]["room"])].all(axis=1)
+    return pa.table({"_part": pa.array([key[0].as_py()] * int(hit.sum()), pa.int32()), "_h": pa.array(h[hit])})
+
+
+def _grown(key: tuple, new: pa.Table, known: pa.Table) -> pa.Table:
+    """The part's filter with new hashes; without bits where it would be too full: it is then made anew from the part's keys."""
+    h, f = new.column("_h").to_numpy(), known.to_pylist()
+    old = f[0] if f else {"room": 0, "n": 0, "bits": None}
+    n, room = old["n"] + len(h), old["room"]
+    bits = None
+    if not f:
+        room = max(FILTER_ROOM, 2 * len(h))
+        bits = _with(None, room, h)
+    elif old["bits"] is not None and n <= room:
+        bits = _with(old["bits"], room, h)
+    return pa.table({"_part": pa.array([key[0].as_py()], pa.int32()), "room": pa.array([room]), "n": pa.array([n]), "bits": pa.array([bits], pa.binary())})
+
+
+def _made(key: tuple, t: pa.Table) -> pa.Table:
+    h = t.column("_h").to_numpy()
+    room = max(FILTER_ROOM, 2 * len(h))
+    return pa.table({"_part": pa.array([key[0].as_py()], pa.int32()), "room": pa.array([room]), "n": pa.array([len(h)]), "bits": pa.array([_with(None, room, h)], pa.binary())})
+
+
+def _read(spark: SparkSession, path: str, kind: str | T.StructType) -> DataFrame:
+    return spark.read.schema(kind).parquet(path) if exists(spark, path) else spark.createDataFrame([], kind)
+
+
+def append_new(batch: DataFrame, path: str, keys: list[str]) -> list[int]:
+    """T-2, T-7, for foreachBatch: appends the rows whose keys the target does not have; a batch run again appends nothing. Returns the parts whose keys were read.
+
+    The target is the seen-set, dealt into parts by a hash of the keys, and a restart needs nothing else. Beside each part stands a Bloom filter of its keys
+    (two bytes a key): what it does not hold is new without a look at the part, so only parts with a repeat, or one key in some thousands, are read. Filters are written
+    before rows, so they never lack a key; one that is missing or too full says "maybe" to all, and is made anew from its part. Nulls are keys like others.
+    """
+    spark, filters = batch.sparkSession, f"{path}-filters"
+    new = batch.dropDuplicates(keys).withColumn("_h", F.xxhash64(*keys)).withColumn("_part", F.pmod("_h", F.lit(PARTS)).cast("int")).persist()
+    put = lambda rows: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(filters)
     try:
         touched = [r[0] for r in new.select("_part").distinct().collect()]
+        held = _read(spark, filters, FILTER).filter(F.col("_part").isin(touched))
+        read: list[int] = []
+        fresh = new
+        if exists(spark, path):
+            maybe = new.select("_part", "_h").groupBy("_part").cogroup(held.groupBy("_part")).applyInArrow(_maybe_known, "_part int, _h long")
+            stored = [x.name for x in spark.read.parquet(path).schema]
+            read = sorted(r[0] for r in maybe.select("_part").distinct().collect())
+            known = spark.read.parquet(path).filter(F.col("_part").isin(read)).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"))
+            same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.col("_part") == F.col("_p"))
+            fresh = new.join(known, same, "left_anti").select(*[c for c in [*batch.columns, "_h", "_part"] if c in [*stored, "_h", "_part"]])
+        fresh = fresh.persist()
         try:
-            known = spark.read.parquet(path).filter(F.col("_part").isin(touched)).select("_part", *keys)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            fresh = new
-        else:
-            fresh = new.join(known, ["_part", *keys], "left_anti")
-        fresh.write.mode("append").partitionBy("_part").parquet(path)
+            if fresh.take(1):
+                grown = written(fresh.select("_part", "_h").groupBy("_part").cogroup(held.groupBy("_part")).applyInArrow(_grown, FILTER).filter("n > room or bits is not null"), "filters")
+                put(grown)
+                fresh.drop("_h").write.mode("append").partitionBy("_part").parquet(path)
+                if full := [r[0] for r in grown.filter("bits is null").select("_part").collect()]:
+                    rows = spark.read.parquet(path).filter(F.col("_part").isin(full)).select("_part", F.xxhash64(*keys).alias("_h"))
+                    put(written(rows.groupBy("_part").applyInArrow(_made, FILTER), "filters"))
+        finally:
+            fresh.unpersist()
+        return read
     finally:
         new.unpersist()
 
@@ -81,21 +154,29 @@ def appended_once(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def reservoir(rows: DataFrame, k: int, key: str, seed: int = 42, files_at_once: int = 1) -> DataFrame:
-    """T-1, S9: k rows, uniform and equal on rerun, from one pass over rows as a stream of files. The state is a table of k rows: every micro-batch adds its
-    own best k by hash and writes the table anew under the batch's number, so a batch that runs again gives the same one."""
-    spark, root = rows.sparkSession, f"{folder(rows.sparkSession, 'quillon-stream-')}/reservoir-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{root}/in")
-    spark.createDataFrame([], rows.schema).write.parquet(f"{root}/kept/-1")
-    last = [-1]
+    """T-1, S9: the k rows whose keys stateful.reservoir() keeps in its bounded state, uniform and equal on rerun. Keys must be unique and not null."""
+    kept = stateful.reservoir(rows, k, key, seed, files_at_once=files_at_once).select(F.col("key").alias("_kept"))
+    return rows.join(kept, F.col(key).cast("string") == F.col("_kept"), "left_semi")
+
+
+def weighted_batches(rows: DataFrame, first: DataFrame, use: Callable[[DataFrame, DataFrame], DataFrame], update: Callable[[DataFrame, DataFrame], DataFrame], path: str, every: int = 1) -> Callable[[DataFrame, int], None]:
+    """D4, T-4, for foreachBatch of a stream like rows: every micro-batch meets the weights as they then are.
+
+    Weights are a table of versions: version 0 is `first`, version n + 1 is update(batch n, version n), written once. Batch n is given to use() with the version of the
+    last refresh (every so many batches), which its number alone fixes: a batch that runs again meets the same weights, writes the same rows to path/out/batch=n and
+    leaves later versions as they are.
+    """
+    spark = rows.sparkSession
+    version = lambda n: f"{path}/versions/{n}"
+    if not exists(spark, f"{version(0)}/_SUCCESS"):
+        first.write.mode("overwrite").parquet(version(0))
 
-    def keep(batch: DataFrame, number: int) -> None:
-        best = spark.read.schema(rows.schema).parquet(f"{root}/kept/{number - 1}").unionByName(batch)
-        best.orderBy(order_hash(seed, F.col(key)), key).limit(k).write.mode("overwrite").parquet(f"{root}/kept/{number}")
-        last[0] = number
+    def run(batch: DataFrame, number: int) -> None:
+        use(batch, spark.read.parquet(version(number - number % every))).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        if not exists(spark, f"{version(number + 1)}/_SUCCESS"):
+            update(batch, spark.read.parquet(version(number))).write.mode("overwrite").parquet(version(number + 1))
 
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_at_once).parquet(f"{root}/in")
-    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{root}/kept/{last[0]}")
+    return run
 
 
 class HealthMonitor:

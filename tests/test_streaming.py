@@ -55,3 +55,42 @@ def test_reservoir_is_the_sample_of_the_whole(spark):
     rows = spark.range(500).select(F.col("id").cast("string").alias("id")).repartition(4)
     want = {r.id for r in hash_limit(rows, 40).collect()}
     assert {r.id for r in state.reservoir(rows, 40, "id").collect()} == want and len(want) == 40
+
+
+def test_filters_spare_parts(spark, tmp_path):
+    """New keys read (next to) no part, repeats their own only, and nothing is dropped or doubled; filters that outgrow their room are made anew."""
+    def put(a, b):
+        rows = spark.range(a, b).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") % 7).alias("v"))
+        return state.append_new(rows, f"{tmp_path}/t", ["k"])
+
+    def held():
+        r = spark.read.parquet(f"{tmp_path}/t").agg(F.count("*").alias("n"), F.count_distinct("k").alias("d")).first()
+        return (r.n, r.d)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(state, "PARTS", 16)
+        m.setattr(state, "FILTER_ROOM", 32)
+        assert put(0, 400) == [] and held() == (400, 400)
+        assert len(put(400, 900)) <= 3 and held() == (900, 900)  # new keys only: a few by chance
+        assert put(900, 1500) is not None and held() == (1500, 1500)  # by now some filters were made anew
+        assert len(put(10, 12)) in (1, 2) and held() == (1500, 1500)
+        assert len(put(1400, 1600)) == 16 and held() == (1600, 1600)
+        full = spark.read.parquet(f"{tmp_path}/t-filters")
+        assert full.filter("n > room or bits is null").count() == 0 and full.agg(F.sum("n")).first()[0] == 1600
+        (tmp_path / "t-filters").rename(tmp_path / "lost")  # without filters every part is read, and nothing is doubled
+        assert len(put(0, 200)) == 16 and held() == (1600, 1600)
+    odd = spark.createDataFrame([(None, 1), (None, 1), ("a", None)], "k string, v int")
+    for _ in range(2):
+        state.append_new(odd, f"{tmp_path}/odd", ["k", "v"])
+    assert spark.read.parquet(f"{tmp_path}/odd").count() == 2
+
+
+def test_weights_of_a_batch_stay(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.0)], "k string, x double")
+    use = lambda batch, w: batch.join(w, "k")
+    update = lambda batch, w: w.join(batch, "k").select("k", (F.col("w") + F.col("x")).alias("w"))
+    run = state.weighted_batches(rows, spark.createDataFrame([("a", 0.0)], "k string, w double"), use, update, f"{tmp_path}/p", every=2)
+    for n in (0, 1, 2, 1, 2, 3, 4):  # some run again
+        run(rows, n)
+    got = {r.batch: r.w for r in spark.read.parquet(f"{tmp_path}/p/out").collect()}
+    assert got == {0: 0.0, 1: 0.0, 2: 2.0, 3: 2.0, 4: 4.0}
