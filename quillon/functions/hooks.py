@@ -81,6 +81,15 @@ def single_ids(strings: list[str], encode: Callable[[str], list[int]]) -> dict[s
     return {s: ids[0] for s, ids in found.items()}
 
 
+def single_pieces(marks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """F35 against a vocabulary as a table (piece, id): mark, id of each structure string in marks; the query fails where one has no id or several, or two share one."""
+    ids = marks.select("mark").distinct().join(vocabulary.select(F.col("piece").alias("mark"), "id").distinct(), "mark", "left")
+    n = ids.groupBy("mark").agg(F.count("id").alias("n"), F.min("id").alias("id"))
+    shared = n.groupBy(F.col("id").alias("own")).agg(F.count("*").alias("n_marks"))
+    fine = F.assert_true((F.col("n") == 1) & (F.col("n_marks") == 1), "structure strings must have one id each, of their own")
+    return n.join(shared, F.col("id").eqNullSafe(F.col("own"))).filter(fine.isNull()).select("mark", F.col("id").cast("int").alias("id"))
+
+
 def with_weights(weights: Callable[[int], DataFrame], use: Callable[[DataFrame, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """D4, for foreachBatch: the weights are asked for again before every micro-batch, by its number."""
     return lambda batch, number: use(batch, weights(number), number)

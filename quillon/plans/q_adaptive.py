@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scores
 from quillon.operators import rewards
 from quillon.plans.registry import query, table
+from quillon.sources.spread import written
 
 # an event is a check: its type the category, its value over 50 a pass; 100 events make a step
 _SERIES = "series AS (SELECT event_type AS category, event_id // 500 AS step, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) AS rate FROM events GROUP BY ALL), placed AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY step) AS i FROM series)"
@@ -71,10 +72,65 @@ def stream_ema_state(spark, sf_dir):
 @query("SELECT count(*) AS n, count(DISTINCT user_id) AS n_users FROM (SELECT DISTINCT user_id, event_type FROM events)")
 def stream_append_dedup(spark, sf_dir):
     """Appends keys that were not written before, exactly once, over a stream that repeats them."""
+    return stream_appended_keys(spark, sf_dir).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_appended_keys(spark, sf_dir):
+    """The table itself that the same stream appends to: every key once."""
     from quillon.streaming import state
 
     keys = table(spark, sf_dir, "events").select("user_id", "event_type")
-    return state.appended_once(keys, ["user_id", "event_type"]).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))
+    return state.appended_once(keys, ["user_id", "event_type"])
+
+
+@query(f"WITH {_STATE}, last AS (SELECT f.* FROM fold f JOIN (SELECT category, max(i) AS i FROM placed GROUP BY category) m ON m.category = f.category AND m.i = f.i) SELECT category, round(slow, 6) AS slow, round(fast, 6) AS fast, stagnant FROM last")
+def stream_state_handed_over(spark, sf_dir):
+    """The series in three streams, each started from a snapshot of the state store that the one before left behind: equal to the unbroken run."""
+    from quillon.streaming import stateful
+
+    rows = written(_series(spark, sf_dir), "series")
+    n = (rows.agg(F.max("step")).first()[0] or 0) + 1
+    parts = [rows.filter(F.floor(F.col("step") * 3 / n) == k) for k in range(3)]
+    return stateful.handed_over(parts).select("category", F.round("slow", 6).alias("slow"), F.round("fast", 6).alias("fast"), "stagnant")
+
+
+@query("WITH s AS (SELECT event_type AS run_id, event_id // 20 AS step, bool_or(value > 95) AS signal FROM events GROUP BY ALL), g AS (SELECT *, count(*) FILTER (signal) OVER (PARTITION BY run_id ORDER BY step) AS grp FROM s), r AS (SELECT run_id, step, row_number() OVER (PARTITION BY run_id, grp ORDER BY step) - CASE WHEN grp > 0 THEN 1 ELSE 0 END AS run FROM g) SELECT run_id, min(step) AS stopped_at, 6 AS run FROM r WHERE run = 6 GROUP BY run_id")
+def stream_health(spark, sf_dir):
+    """Where a run (a type of event) has gone six steps without a signal: counted in the state store, over two queries of which the second goes on from the first one's checkpoint."""
+    from quillon.streaming import stateful
+
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run_id"), F.floor(F.col("event_id") / 20).alias("step")).agg(F.bool_or(F.col("value") > 95).alias("signal"))
+    rows = written(rows, "steps")
+    half = (rows.agg(F.max("step")).first()[0] or 0) // 2
+    return stateful.drained_health([rows.filter(F.col("step") <= half), rows.filter(F.col("step") > half)], 6)
+
+
+@query(f"WITH {_STATE}, dealt AS (SELECT category, step, step * 4 // (SELECT max(step) + 1 FROM series) AS batch FROM series), seen AS (SELECT d.category, d.step, d.batch, max(f.step) AS at FROM dealt d LEFT JOIN dealt e ON e.category = d.category AND e.batch < d.batch LEFT JOIN fold f ON f.category = e.category AND f.step = e.step GROUP BY ALL) SELECT s.batch, s.category, s.step, round(coalesce(4 * f.slow * (1 - f.slow), 1), 6) AS weight FROM seen s LEFT JOIN fold f ON f.category = s.category AND f.step = s.at")
+def stream_batch_weights(spark, sf_dir):
+    """Weights asked for anew before each of four micro-batches: those of the state that the batches before have left, by version."""
+    import uuid
+
+    from quillon.sources.spread import folder
+    from quillon.streaming import state
+
+    rows = written(_series(spark, sf_dir), "series")
+    n, root = (rows.agg(F.max("step")).first()[0] or 0) + 1, f"{folder(spark, 'quillon-stream-')}/weights-{uuid.uuid4().hex}"
+    for k in range(4):  # a file a batch, in the order of their making
+        rows.filter(F.floor(F.col("step") * 4 / n) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    def use(batch, weights):
+        v = F.col("slow")
+        return batch.join(weights, "category", "left").select("category", "step", F.coalesce(4 * v * (1 - v), F.lit(1.0)).alias("weight"))
+
+    def update(batch, weights):
+        known = weights.select("category", F.lit(-1).cast("long").alias("step"), F.col("slow").alias("rate"))  # the average so far, as a first step
+        return rewards.emas(known.unionByName(batch.select("category", "step", "rate"))).groupBy("category").agg(F.max_by("slow", "step").alias("slow"))
+
+    run = state.weighted_batches(rows, spark.createDataFrame([], "category string, slow double"), use, update, root)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("category string, step long, weight double, batch long").parquet(f"{root}/out").select("batch", "category", "step", F.round("weight", 6).alias("weight"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

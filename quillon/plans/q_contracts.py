@@ -116,14 +116,24 @@ def prompt_length_gate(spark, sf_dir):
     return gates.too_long(rows, "ids", 1000).select("doc_id", F.size("ids").cast("long").alias("n"), F.lit(r["max"]).cast("long").alias("longest"), F.round(F.lit(r["mean"]), 6).alias("mean"))
 
 
-@query("SELECT 'subset' AS what, true AS holds UNION ALL SELECT 'no subset', false UNION ALL SELECT 'disjoint', true UNION ALL SELECT 'partition', true UNION ALL SELECT 'no partition', false UNION ALL SELECT 'same order', true UNION ALL SELECT 'other order', false")
+@query(
+    """WITH ids AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders), a AS (SELECT * FROM ids WHERE k % 4 = 0), b AS (SELECT * FROM ids WHERE k % 4 <> 0), other AS (SELECT k, lead(k, 1, 0) OVER (ORDER BY k) AS p FROM ids)
+SELECT 'subset' AS what, NOT EXISTS (SELECT k FROM a EXCEPT SELECT k FROM ids) AS holds
+UNION ALL SELECT 'no subset', NOT EXISTS (SELECT k FROM ids EXCEPT SELECT k FROM a)
+UNION ALL SELECT 'disjoint', NOT EXISTS (SELECT k FROM a INTERSECT SELECT k FROM b)
+UNION ALL SELECT 'not disjoint', NOT EXISTS (SELECT k FROM a INTERSECT SELECT k FROM ids)
+UNION ALL SELECT 'partition', NOT EXISTS (SELECT k FROM a INTERSECT SELECT k FROM b) AND (SELECT count(*) FROM a) + (SELECT count(*) FROM b) = (SELECT count(*) FROM ids)
+UNION ALL SELECT 'no partition', NOT EXISTS (SELECT k FROM a INTERSECT SELECT k FROM ids) AND (SELECT count(*) FROM a) + (SELECT count(*) FROM ids) = (SELECT count(*) FROM ids)
+UNION ALL SELECT 'same order', (SELECT list(k ORDER BY p) FROM ids) = (SELECT list(k ORDER BY k) FROM ids)
+UNION ALL SELECT 'other order', (SELECT list(k ORDER BY p) FROM ids) = (SELECT list(k ORDER BY p) FROM other)"""
+)
 def set_contracts(spark, sf_dir):
-    """Subset, partition and order of ids, each where it holds and (but disjointness) where it does not."""
+    """Subset, disjointness, partition and order of ids, each where it holds and where it does not."""
     ids = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("place"))
     a, b = ids.filter("o_orderkey % 4 = 0"), ids.filter("o_orderkey % 4 <> 0")
     key = "o_orderkey"
     found = [
-        ("subset", membership.is_subset(a, ids, key)), ("no subset", membership.is_subset(ids, a, key)), ("disjoint", membership.is_disjoint(a, b, key)),
+        ("subset", membership.is_subset(a, ids, key)), ("no subset", membership.is_subset(ids, a, key)), ("disjoint", membership.is_disjoint(a, b, key)), ("not disjoint", membership.is_disjoint(a, ids, key)),
         ("partition", membership.is_partition(ids, [a, b], key)), ("no partition", membership.is_partition(ids, [a, ids], key)),
         ("same order", validate.same_order(ids, ids.repartition(3), key, "place")), ("other order", validate.same_order(ids, ids.withColumn("place", F.col("place") + 1), key, "place")),
     ]

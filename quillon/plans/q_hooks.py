@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import hooks
@@ -39,15 +40,10 @@ def largest_tensors(spark, sf_dir):
     return hooks.largest_values(rows)
 
 
-@query("SELECT r_name AS mark, r_regionkey + 1000 AS id FROM region")
+@query("SELECT source AS mark, CAST(rank() OVER (ORDER BY source) + 1000 AS INTEGER) AS id FROM (SELECT DISTINCT source FROM documents)")
 def structure_tokens(spark, sf_dir):
-    """Strings that must be one token each; a string of two or a shared one is refused."""
-    ids = {r.r_name: r.r_regionkey + 1000 for r in table(spark, sf_dir, "region").collect()}
-    found = hooks.single_ids(list(ids), lambda s: [ids[s]])
-    for bad in (lambda s: [1, 2], lambda s: [7]):
-        try:
-            hooks.single_ids(list(ids), bad)
-        except ValueError:
-            continue
-        raise AssertionError("not refused")
-    return spark.createDataFrame(list(found.items()), "mark string, id int")
+    """Every source's mark must be one id of a vocabulary over all words of the documents' languages and sources; the query fails where one has two ids, none or a shared one."""
+    docs = table(spark, sf_dir, "documents")
+    marks = docs.select(F.col("source").alias("mark")).distinct()
+    vocabulary = marks.select(F.col("mark").alias("piece"), (F.rank().over(W.orderBy("mark")) + 1000).alias("id")).union(docs.select("lang", F.lit(7)).distinct())
+    return hooks.single_pieces(marks, vocabulary)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from quillon.functions.text import order_hash
@@ -109,15 +111,28 @@ def review_sample(spark, sf_dir):
     return sampling.review_sample(rows, "lang", n, key="doc_id").select("doc_id", "lang", F.lit(1).cast("long").alias("rn"))
 
 
-@query()
+# the exponential key of a hash: -ln(u) / weight, u from its first 52 bits
+_KEY = "-ln((CAST('0x' || substr(sha256({} || id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) / weight"
+
+
+@query(f"WITH p AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_acctbal AS weight FROM customer WHERE c_acctbal > 0), d AS (SELECT id, weight FROM p ORDER BY {_KEY.format("'42:0:'")}, id LIMIT 32), r AS (SELECT *, row_number() OVER (ORDER BY id) AS rank FROM d) SELECT id, weight, pass, CAST(rank AS INTEGER) AS rank, copy FROM r, (SELECT unnest(range(1, 3))::INTEGER AS pass), (SELECT unnest(range(1, 5))::INTEGER AS copy)")
 def weighted_sample_wor(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.greatest(F.lit(0.0), F.col("c_acctbal")).alias("weight"))
     return sampling.repeat_sampler(rows, 32, 4, 2).select("id", "weight", "pass", "rank", "copy")
 
 
-@query("WITH s AS (SELECT * FROM (VALUES (1, 70), (2, 20), (3, 10)) AS t(key, n)), e AS (SELECT key, unnest(range(1, n + 1)) AS copy FROM s) SELECT row_number() OVER (ORDER BY sha256('42:' || CAST(key AS VARCHAR) || ':' || CAST(copy AS VARCHAR)), key, copy) - 1 AS place, key FROM e")
+@query(f"WITH p AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_acctbal AS weight FROM customer WHERE c_acctbal > 0), t AS (SELECT id, pass, {_KEY.format("'42:1:' || pass || ':'")} AS u FROM p, (SELECT unnest(range(0, CAST(ceil(320 / (SELECT count(*) FROM p)) AS BIGINT))) AS pass)), r AS (SELECT id, row_number() OVER (ORDER BY pass, u, id) - 1 AS nth FROM t) SELECT nth // 16 AS step, nth % 16 + 1 AS rank, id FROM r WHERE nth < 320")
+def weighted_draws(spark, sf_dir):
+    """Twenty steps of sixteen draws each under one refresh of the weights: one order, and a cursor over it."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_acctbal").alias("weight"))
+    return sampling.draws(rows, 16, 20, refresh=1).select("step", "rank", "id")
+
+
+@query("WITH e AS (SELECT source AS key, unnest(range(1, count(*) // 5 + 1)) AS copy FROM documents GROUP BY source) SELECT row_number() OVER (ORDER BY sha256('42:' || key || ':' || copy), key, copy) - 1 AS place, key FROM e")
 def expanded_schedule(spark, sf_dir):
-    return sampling.expanded_schedule(spark, {1: 70, 2: 20, 3: 10}).select(F.col("place").cast("long").alias("place"), "key")
+    """Every source as often as a fifth of its documents."""
+    counts = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("key")).agg(F.floor(F.count("*") / 5).alias("n"))
+    return sampling.expanded_schedule(counts)
 
 
 @query("SELECT doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 4) AS BIGINT) AS chunk FROM documents")
@@ -135,9 +150,22 @@ def paired_by_place(spark, sf_dir):
     return zipped(side("src1", 1, "doc_id"), side("src2", 2, "other")).select("place", "doc_id", "other")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT item_id) AS n_ids, min(item_id) AS low, max(item_id) AS high FROM benchmark")
+def _swaps(most: int, seed: int = 42) -> str:
+    """The exchanges that a seeded shuffle makes in lists of up to `most`: (length, place, other place)."""
+    out = []
+    for n in range(2, most + 1):
+        draw = random.Random(seed)
+        out += [f"({n}, {i}, {draw._randbelow(i + 1)})" for i in reversed(range(1, n))]
+    return ", ".join(out)
+
+
+@query(
+    f"""WITH RECURSIVE swap(n, i, j) AS (VALUES {_swaps(64)}), ids AS (SELECT list(item_id ORDER BY item_id) AS l, count(*) AS n FROM benchmark), s(i, n, l) AS (
+  SELECT n - 1, n, l FROM ids
+  UNION ALL SELECT s.i - 1, s.n, list_transform(range(1, s.n + 1), lambda k: CASE WHEN k = s.i + 1 THEN l[j + 1] WHEN k = j + 1 THEN l[s.i + 1] ELSE l[k] END) FROM s JOIN swap ON swap.n = s.n AND swap.i = s.i
+) SELECT k - 1 AS place, l[k] AS item_id FROM (SELECT l, unnest(range(1, n + 1)) AS k FROM s WHERE i = 0)"""
+)
 def mt_shuffled_ids(spark, sf_dir):
     """The parity mode of the split, for an evaluation set's ids: the order of a seeded Mersenne Twister, by place."""
     ids = [r[0] for r in table(spark, sf_dir, "benchmark").select("item_id").collect()]
-    placed = spark.createDataFrame(list(enumerate(sampling.shuffled_ids(ids))), "place long, item_id long")
-    return placed.agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("n_ids"), F.min("item_id").alias("low"), F.max("item_id").alias("high"))
+    return spark.createDataFrame(list(enumerate(sampling.shuffled_ids(ids))), "place long, item_id long")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import gates, metrics, sampling
 from quillon.plans.registry import query, table
-from quillon.sources import io
+from quillon.sources import io, tail
 from quillon.sources.spread import folder
 from quillon.streaming import state
 
@@ -128,16 +128,25 @@ def decided_samples(spark, sf_dir):
     return io.decided(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")), decisions, "user_id").select("user_id", "decision")
 
 
-@query("SELECT n_nationkey % 3 + 2 AS generations, (n_nationkey % 3 + 2) * 4 AS batch, 'uniform' AS sampler, true AS fine FROM nation WHERE n_nationkey < 3")
+@query(
+    """WITH c AS (SELECT c_nationkey AS g, count(*) AS n, CAST(floor(avg(c_acctbal)) AS BIGINT) AS mean FROM customer GROUP BY 1)
+SELECT g AS nation, 4 + g % 3 * 2 AS generations, CAST(n AS INTEGER) AS batch, concat_ws(';', CASE WHEN n % (4 + g % 3 * 2) <> 0 THEN 'the batch must be a multiple of the generations' END, CASE WHEN mean >= 5000 THEN 'the buffer must be under the token limit' END) AS problems,
+  (SELECT count(*) FROM customer WHERE c_nationkey = g AND c_acctbal BETWEEN mean AND 5000) AS n_within FROM c"""
+)
 def config_round_trip(spark, sf_dir):
-    """Parameters written as text, read, typed and checked; an unknown one is refused."""
-    out = []
-    for g in (2, 3, 4):
-        path = _path(spark, "config")
-        io.write_text(spark, path, json.dumps({"run": {"sampler": "uniform", "batch": g * 4, "generations": g}}))
-        made = io.typed(gates.RunConfig, io.read_config(spark, path)["run"])
-        out.append((made.generations, made.batch, made.sampler, not made.problems() and made.differs_only_in_sampler(gates.RunConfig("weighted", g * 4, g))))
-    return spark.createDataFrame(out, "generations int, batch int, sampler string, fine boolean")
+    """A configuration for each nation, made from its customers, written as a file of its own, read again and typed; its problems, and the customers within its bounds."""
+    customers = table(spark, sf_dir, "customer")
+    facts = customers.groupBy("c_nationkey").agg(F.count("*").cast("int").alias("n"), F.floor(F.avg("c_acctbal")).alias("mean")).collect()  # a row a nation
+    path, out = _path(spark, "configs"), []
+    for r in facts:
+        run = {"sampler": "uniform", "batch": r["n"], "generations": 4 + r["c_nationkey"] % 3 * 2, "buffer": r["mean"], "max_tokens": 5000}
+        io.write_text(spark, f"{path}/{r['c_nationkey']}.json", json.dumps({"run": run}))
+    for r in facts:
+        made = io.typed(gates.RunConfig, io.read_config(spark, f"{path}/{r['c_nationkey']}.json")["run"])
+        out.append((r["c_nationkey"], made.generations, made.batch, ";".join(made.problems()), made.buffer, made.max_tokens))
+    bounds = spark.createDataFrame(out, "nation int, generations int, batch int, problems string, low long, high long")
+    within = customers.join(bounds, customers["c_nationkey"] == bounds["nation"]).groupBy("nation", "generations", "batch", "problems")
+    return within.agg(F.count_if(F.col("c_acctbal").between(F.col("low"), F.col("high"))).alias("n_within"))
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY sha256('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 50")
@@ -145,3 +154,22 @@ def stream_reservoir(spark, sf_dir):
     """One pass over a stream of files; the state never has more than 50 rows."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang").repartition(3)
     return state.reservoir(rows, 50, "doc_id")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders")
+def ordered_sink(spark, sf_dir):
+    """Orders written in the order of their price, in parts by range, and read back with their places."""
+    path, order = _path(spark, "ordered"), ["falling", "o_orderkey"]
+    io.write_ordered(table(spark, sf_dir, "orders").select("o_orderkey", (-F.col("o_totalprice")).alias("falling")), order, path)
+    return io.read_ordered(spark, path, order).select("o_orderkey", "place")
+
+
+@query("SELECT event_id, event_type, round(value, 6) AS value FROM events")
+def stream_tail(spark, sf_dir):
+    """The events as a log of JSON lines that grows between two runs of a stream over it: what the stream has written in the end."""
+    path, rows = _path(spark, "tail"), table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    for k in range(2):
+        io.write_jsonl(rows.filter(F.col("event_id") % 2 == k), f"{path}/log", "append")
+        lines, _ = tail.tail_jsonl(spark, f"{path}/log", rows.schema)
+        lines.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").withColumn("value", F.round("value", 6))

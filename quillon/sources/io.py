@@ -90,13 +90,8 @@ def read_splits(spark: SparkSession, path: str, *required: str) -> DataFrame:
 
 
 def read_config(spark: SparkSession, path: str) -> dict:
-    """Nested parameters from YAML (where its library is installed) or JSON, read through Spark's file systems."""
-    text = read_text(spark, path)
-    try:
-        import yaml
-    except ImportError:
-        return json.loads(text)
-    return yaml.safe_load(text)
+    """Nested parameters from a JSON file, which is YAML too, read through Spark's file systems."""
+    return json.loads(read_text(spark, path))
 
 
 def typed(kind, parameters: dict):
@@ -164,3 +159,23 @@ def decided(samples: DataFrame, decisions: DataFrame, key: str, order: str = "at
     last = W.partitionBy(key).orderBy(F.desc(order))
     latest = decisions.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select(key, "decision")
     return samples.join(latest, key, "left")
+
+
+def write_ordered(rows: DataFrame, order: list[str], path: str, mode: str = "errorifexists") -> None:
+    """Rows in a total order, as parts by range: path/rows has a folder `_range=k` for each range, sorted within, and path/manifest says of each its rows and how many come before.
+
+    No task sees all rows: Spark samples the order for the ranges. Read in the order of the manifest the parts are the whole order; read_ordered() gives each row its place.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).sortWithinPartitions(*order)
+    dealt.write.mode(mode).partitionBy("_range").parquet(f"{path}/rows")
+    spark = rows.sparkSession
+    counts = spark.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("n"))  # a row a range
+    before = F.coalesce(F.sum("n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts.withColumn("before", before).write.mode(mode).parquet(f"{path}/manifest")
+
+
+def read_ordered(spark: SparkSession, path: str, order: list[str], name: str = "place") -> DataFrame:
+    """The rows of write_ordered() with their places (from 0) in the whole order, each range numbered for itself. The order must be total for places to be the same each time."""
+    rows, manifest = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/manifest")
+    own = rows.withColumn(name, F.row_number().over(W.partitionBy("_range").orderBy(*order)))
+    return own.join(manifest.select("_range", "before"), "_range").withColumn(name, F.col(name) - 1 + F.col("before")).drop("_range", "before")

@@ -52,7 +52,7 @@ def drained_emas(series: DataFrame) -> DataFrame:
 
 
 #: Parts of an append-once table, by a hash of the key: a batch reads the keys of its own parts only.
-PARTS = 256
+PARTS = 64
 
 
 #: Of the filter beside each part: bits and hashes a key, keys that the first one has room for.

@@ -308,3 +308,46 @@ def test_hooks(spark):
     seen = []
     hooks.with_weights(lambda n: n * 10, lambda batch, w, n: seen.append((w, n)))(df, 3)
     assert seen == [(30, 3)]
+
+
+def test_draws_share_one_order(spark):
+    from collections import Counter
+
+    rows = spark.createDataFrame([(f"k{i}", float(i % 4)) for i in range(400)], "id string, weight double")
+    got = sampling.draws(rows, 20, 10).collect()
+    assert len(got) == 200 == len({r.id for r in got}) and Counter(r.step for r in got) == {k: 20 for k in range(10)} and {r.rank for r in got} == set(range(1, 21))
+    first = Counter(int(r.id[1:]) % 4 for s in range(12) for r in sampling.draws(rows, 50, 1, seed=s).collect())
+    assert first[0] == 0 and first[3] > first[2] > first[1] and abs(first[3] / 600 - 0.5) < 0.08  # shares like the weights
+    few = sampling.draws(rows.limit(8), 5, 4).collect()  # 6 rows have a weight: they come again once all have come
+    assert len(few) == 20 and len({r.id for r in few if (r.step * 5 + r["rank"]) <= 6}) == 6
+    assert sampling.draws(rows.filter("weight = 0"), 5, 2).count() == 0
+
+
+def test_ordered_sink(spark, tmp_path):
+    from quillon.sources import io
+
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"), F.lit("x").alias("t")).repartition(6)
+    io.write_ordered(rows, ["v"], f"{tmp_path}/o")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert {r.v: r.place for r in io.read_ordered(spark, f"{tmp_path}/o", ["v"]).collect()} == {v: v for v in range(500)}
+    assert spark.read.parquet(f"{tmp_path}/o/manifest").count() > 1
+    with pytest.raises(Exception, match="exists"):
+        io.write_ordered(rows, ["v"], f"{tmp_path}/o")
+
+
+def test_schedule_of_counts(spark):
+    got = sampling.expanded_schedule(spark.createDataFrame([("a", 70), ("b", 20), ("c", 0)], "key string, n long")).collect()
+    assert sorted(r.place for r in got) == list(range(90)) and sum(r.key == "a" for r in got) == 70
+
+
+def test_pieces_of_a_vocabulary(spark):
+    from quillon.functions import hooks
+
+    marks = spark.createDataFrame([("<a>",), ("<b>",), ("<a>",)], "mark string")
+    made = lambda *rows: hooks.single_pieces(marks, spark.createDataFrame(rows, "piece string, id int"))
+    assert sorted(map(tuple, made(("<a>", 1), ("<b>", 2), ("c", 1)).collect())) == [("<a>", 1), ("<b>", 2)]
+    for bad in ([("<a>", 1)], [("<a>", 1), ("<b>", 1)], [("<a>", 1), ("<a>", 3), ("<b>", 2)]):
+        with pytest.raises(Exception, match="one id each"):
+            made(*bad).collect()
