@@ -34,6 +34,8 @@ SAVINGS, WORD_LIMITS, PIECES = (2, 3, 4, 5, 6), (30, 60, 120), (5, 6, 7, 8)
 WORD_BYTES, SEGMENT, COUNTED = 34, 24, 6
 #: Stretches of 40 words, at most, that the ordinary dictionary is trained on: every k-th of the sample's.
 PARTS = 20_000
+#: Every so many texts of the calibration part choose among the candidates for the toxic dictionary.
+STRIDE = 4
 #: A piece is telling if its likelihood ratio statistic and its ratio of frequencies are at least these.
 TELLING, TIMES = 15.0, 25.0
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -102,6 +104,17 @@ def _toxic(texts: list[str], telling: list[bytes]) -> list[bytes]:
     return out
 
 
+def _windows(text: str | None) -> list[bytes]:
+    b = b" " + b" ".join(_words(text)) + b" "
+    return [b[i : i + WINDOW] for i in range(0, max(1, len(b) - (WINDOW - STEP)), STEP)]
+
+
+def _savings(d: np.ndarray) -> list[float]:
+    """What a text is scored by, from the bytes that each of its windows saves."""
+    over = [(d >= k).sum() for k in SAVINGS]
+    return [d.max(), np.sort(d)[-3:].mean(), d.mean(), *(20 * x / len(d) for x in over), *(math.log1p(x) for x in over[1:]), math.log1p(len(d))]
+
+
 @dataclass
 class Model:
     base: bytes = b" " * 8
@@ -122,13 +135,7 @@ class Model:
 
     def features(self, texts: list[str | None], made=None) -> np.ndarray:
         plain, toxic = made or self.compressors()
-        out = []
-        for t in texts:
-            b = b" " + b" ".join(_words(t)) + b" "
-            d = np.array([len(plain(x)) - len(toxic(x)) for x in (b[i : i + WINDOW] for i in range(0, max(1, len(b) - (WINDOW - STEP)), STEP))], float)
-            over = [(d >= k).sum() for k in SAVINGS]
-            out.append([d.max(), np.sort(d)[-3:].mean(), d.mean(), *(20 * x / len(d) for x in over), *(math.log1p(x) for x in over[1:]), math.log1p(len(d))])
-        return np.array(out).reshape(len(texts), -1)
+        return np.array([_savings(np.array([len(plain(x)) - len(toxic(x)) for x in _windows(t)], float)) for t in texts]).reshape(len(texts), -1)
 
     def score(self, texts: list[str | None], made=None) -> np.ndarray:
         if not self.weights:
@@ -138,9 +145,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((x * self.weights[:-1]).sum(1) + self.weights[-1], -30, 30)))
 
 
-def _calibrated(model: Model, texts: list[str], y: np.ndarray) -> float:
-    """Sets the logistic fit; returns its mean log loss."""
-    x = model.features(texts)
+def _calibrated(model: Model, x: np.ndarray, y: np.ndarray) -> float:
+    """Sets the logistic fit to features x; returns its mean log loss."""
     model.mean, model.scale = x.mean(0).tolist(), (x.std(0) + 1e-9).tolist()
     a, w = np.c_[(x - model.mean) / model.scale, np.ones(len(x))], np.zeros(x.shape[1] + 1)
     for _ in range(30):
@@ -159,15 +165,25 @@ def train(rows: list[tuple[str | None, int]], natural: float | None = None) -> M
     telling = _telling(toxic[::2], ordinary[::2])
     base, best = _ordinary(ordinary[::2]), None
     test, y = toxic[1::2] + ordinary[1::2], np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-    for limit in WORD_LIMITS:
+    cut = [_windows(t) for t in test]
+    plain = Model(base).compressors()[0]
+    before = [np.array([len(plain(x)) for x in w], float) for w in cut]  # what the ordinary dictionary makes of them is the same for all candidates
+
+    def features(model: Model, some) -> np.ndarray:
+        toxic = model.compressors()[1]
+        return np.array([_savings(before[i] - [len(toxic(x)) for x in cut[i]]) for i in some])
+
+    few = range(0, len(test), STRIDE if len(test) >= 40 * STRIDE else 1)
+    for limit in WORD_LIMITS:  # candidates are compared on a stride of the calibration part; the best one is fitted to all of it
         for content in _toxic(toxic[::2], telling[:limit]):
             model = Model(base, content)
-            loss = _calibrated(model, test, y)
+            loss = _calibrated(model, features(model, few), y[few])
             if best is None or loss < best[0]:
                 best = (loss, model)
         if len(telling) <= limit:
             break
     model = best[1]
+    _calibrated(model, features(model, range(len(test))), y)
     if natural is not None and 0 < natural < 1:
         share = y.mean()
         model.weights[-1] += math.log(natural / (1 - natural)) - math.log(share / (1 - share))
