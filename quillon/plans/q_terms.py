@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillon.functions import scores, text
 from quillon.functions.terms import prompt_terms
 from quillon.operators import constraints, restructure
-from quillon.plans.fixtures import RULES, sft
+from quillon.operators.sampling import uniform
+from quillon.plans.fixtures import ANNOTATED_SQL, RULES, sft
 from quillon.plans.registry import query, table
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda w: w <> ''))"
@@ -53,7 +54,7 @@ def end_phrase(spark, sf_dir):
 def _constrained(spark, sf_dir):
     rows = sft(spark, sf_dir).withColumn("bucket", text.task_bucket(F.col("question"), RULES)).filter(F.col("bucket").isin(*constraints.BARRED))
     rows = rows.withColumn("terms", prompt_terms("question"))
-    n = (F.pmod(F.xxhash64(F.lit("n"), "id"), F.lit(3)) + 1).cast("int")
+    n = (F.floor(uniform("n", F.col("id")) * 3) + 1).cast("int")
     seed = F.concat_ws(":", F.lit("42"), "id")
     kinds = constraints.choose(constraints.allowed(F.col("bucket"), F.size("terms"), F.col("question")), n, seed)
     return rows.withColumn("n", n).withColumn("kinds", kinds).withColumn("seed", seed)
@@ -61,17 +62,44 @@ def _constrained(spark, sf_dir):
 
 def _ranked(rows, most=12):
     """Rows with terms cut to the best by document frequency over all rows' questions. The tables have no abilities or categories to raise a term."""
-    flat = rows.groupBy("question").agg(F.count("*").alias("n"), F.first("terms").alias("terms")).select("question", "n", F.explode("terms").alias("term"))
+    key = text.digest("question")
+    flat = rows.groupBy(*key).agg(F.count("*").alias("n"), F.first("terms").alias("terms")).select("_d1", "_d2", "n", F.explode("terms").alias("term"))
     df = flat.groupBy("term").agg(F.sum("n").alias("df"))
     score = scores.idf_score(F.lit(rows.count()), F.col("df"), F.col("term"), F.lit(False))
-    ranked = flat.join(df, "term").groupBy("question").agg(F.sort_array(F.collect_list(F.struct(score.alias("score"), F.length("term").alias("length"), "term")), asc=False).alias("ranked"))
-    best = ranked.select("question", F.transform(F.slice("ranked", 1, most), lambda x: x["term"]).alias("best"))
-    return rows.join(best, "question", "left").withColumn("terms", F.coalesce("best", F.array().cast("array<string>"))).drop("best")
+    ranked = flat.join(df, "term").groupBy("_d1", "_d2").agg(F.sort_array(F.collect_list(F.struct(score.alias("score"), F.length("term").alias("length"), "term")), asc=False).alias("ranked"))
+    best = ranked.select("_d1", "_d2", F.transform(F.slice("ranked", 1, most), lambda x: x["term"]).alias("best"))
+    return rows.select("*", *key).join(best, ["_d1", "_d2"], "left").withColumn("terms", F.coalesce("best", F.array().cast("array<string>"))).drop("best", "_d1", "_d2")
 
 
-@query()
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
+
+
+def _map(pairs: dict) -> str:
+    return "MAP {" + ", ".join(f"'{k}': {v}" for k, v in pairs.items()) + "}"
+
+
+_KINDS = "CASE bucket " + " ".join(f"WHEN '{b}' THEN {_list(k for k in constraints.KINDS if k not in barred)}" for b, barred in constraints.BARRED.items()) + " END"
+_U = "(CAST('0x' || substr(sha256({}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496"
+
+
+@query(
+    f"""WITH RECURSIVE {ANNOTATED_SQL}, known AS (
+  SELECT ord, id, bucket, CAST(floor({_U.format("'n:' || id")} * 3) AS INTEGER) + 1 AS n, list_filter({_KINDS}, lambda k: (regexp_matches(question, '[A-Za-z][A-Za-z]') OR NOT list_contains({_list(constraints.KEYWORD_KINDS)}, k)) AND (length(question) <= {constraints.REPEAT_LIMIT} OR k <> 'combination:repeat_prompt')) AS kinds
+  FROM annotated WHERE bucket IN ({", ".join(f"'{b}'" for b in constraints.BARRED)})
+), fixed AS (
+  SELECT {_map(constraints.WEIGHTS)} AS weight, {_map({k: _list(constraints.clashes(k)) for k in constraints.KINDS})} AS clash
+), draw(ord, id, bucket, n, t, k, todo, got) AS (
+  SELECT ord, id, bucket, n, t, 0, kinds, []::VARCHAR[] FROM known, (SELECT unnest(range(0, 4)) AS t)
+  UNION ALL
+  SELECT ord, id, bucket, n, t, k + 1, CASE WHEN one IS NULL THEN todo ELSE list_filter(todo, lambda x: NOT list_contains(clash[one], x)) END, CASE WHEN one IS NULL THEN got ELSE list_append(got, one) END
+  FROM (SELECT *, CASE WHEN len(got) < n AND len(todo) > 0 THEN todo[coalesce(list_position(list_transform(range(1, len(todo) + 1), lambda i: list_sum(list_transform(todo[1:i], lambda x: weight[x])) >= u * list_sum(list_transform(todo, lambda x: weight[x]))), true), len(todo))] END AS one
+    FROM (SELECT draw.*, weight, clash, {_U.format("'42:' || id || ':' || t || ':' || k")} AS u FROM draw, fixed WHERE k < 3))
+)
+SELECT ord, bucket, n, array_to_string(arg_max(got, len(got) * 10 - t), ',') AS kinds FROM draw WHERE k = 3 GROUP BY ord, bucket, n"""
+)
 def constraint_sampling(spark, sf_dir):
-    """Random draws from hashes; tests hold the compatibility rules and the weights."""
+    """Random draws from hashes. The SQL knows a question with terms by two Latin letters in a row, as these tables' texts have."""
     return _constrained(spark, sf_dir).select("ord", "bucket", "n", F.array_join("kinds", ",").alias("kinds"))
 
 
@@ -81,7 +109,8 @@ def constraint_prompt_build(spark, sf_dir):
     rows = _ranked(_constrained(spark, sf_dir)).filter(F.size("kinds") > 0)
     made = F.transform("kinds", lambda k: constraints.arguments(k, F.col("seed"), F.col("terms"), F.col("question"), F.col("answer")))
     rows = rows.withColumn("args", made).withColumn("texts", F.zip_with("kinds", "args", constraints.constraint_text))
-    turns = F.when(F.pmod(F.xxhash64(F.lit("t"), "id"), F.lit(10)) < 7, 1).when(F.pmod(F.xxhash64(F.lit("t"), "id"), F.lit(10)) < 9, 2).otherwise(3)
+    draw = uniform("t", F.col("id"))
+    turns = F.when(draw < 0.7, 1).when(draw < 0.9, 2).otherwise(3)
     bridge = ("请保留上面回答的主题，并准备根据下一条要求重新作答。", "好的，我会保留原主题，并按照你的下一条要求重新作答。")
     m = restructure.constrained_messages(turns, F.col("question"), F.col("answer"), F.col("texts"), "请同时满足以下要求：", bridge, "请根据以下要求重新作答。")
     return rows.select("ord", turns.alias("context_turns"), F.to_json(m).alias("messages"), F.array_join("kinds", ",").alias("kinds"), F.to_json("args").alias("args"))
