@@ -66,10 +66,10 @@ class Series:
 
     def __init__(self, rows: DataFrame, by: list[str], order: list[str]):
         self.columns, self.by = rows.columns, by
-        dealt = written(rows.repartitionByRange(*by, *order).withColumn("_pid", F.spark_partition_id()), "series")
+        dealt = rows.repartitionByRange(*by, *order).withColumn("_pid", F.spark_partition_id())
         within = W.partitionBy("_pid").orderBy(*by, *order)
         segment = F.dense_rank().over(W.partitionBy("_pid").orderBy(*by)) if by else F.lit(1)
-        self.rows = written(dealt.withColumns({"_at": F.row_number().over(within), "_seg": segment}), "places")
+        self.rows = written(dealt.withColumns({"_at": F.row_number().over(within), "_seg": segment}), "series")
 
     def affine(self, **terms: tuple[Column, Column, Column]) -> Series:
         """One more column for each term (a, b, first): y = a * y of the row before + b, and first in a series' first row. Moving averages are such, and so are
@@ -98,7 +98,7 @@ class Series:
 
         numbers = lambda ks: [T.StructField(f"{n}_{k}", T.DoubleType()) for n in names for k in ks]
         places = [T.StructField("_pid", T.IntegerType()), T.StructField("_seg", T.IntegerType())]
-        maps = written(rows.groupBy("_pid").applyInArrow(totals, T.StructType([*places, *by, *numbers("abv")])), "maps")
+        maps = rows.groupBy("_pid").applyInArrow(totals, T.StructType([*places, *by, *numbers("abv")]))
 
         def starts(t: pa.Table) -> pa.Table:
             t = t.sort_by("_pid")
@@ -133,7 +133,7 @@ class Series:
                 out[n] = pa.array(made, pa.float64())
             return pa.table(out)
 
-        self.rows = written(rows.groupBy("_pid").cogroup(begun.groupBy("_pid")).applyInArrow(walk, added), "scanned")
+        self.rows = rows.groupBy("_pid").cogroup(begun.groupBy("_pid")).applyInArrow(walk, added)
         self.columns = [*self.columns, *names]
         return self
 
