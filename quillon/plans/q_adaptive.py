@@ -38,7 +38,7 @@ _LAST = f"{_STATE}, last AS (SELECT f.* FROM fold f JOIN (SELECT category, max(i
 def _signals(spark, sf_dir):
     state = rewards.emas(_series(spark, sf_dir))
     last = state.groupBy("category").agg(F.max_by(F.struct("slow", "fast", "stagnant"), "step").alias("s")).select("category", "s.*")
-    return rewards.category_signals(last)
+    return written(rewards.category_signals(last), "signals")  # a row a category, read more than once
 
 
 @query(f"WITH {_LAST} SELECT category, round(learn, 6) AS learnability, round(progress, 6) AS progress, round(CASE WHEN max(learn) OVER () - min(learn) OVER () < 1e-12 THEN 0.5 ELSE (learn - min(learn) OVER ()) / (max(learn) OVER () - min(learn) OVER ()) END, 6) AS scaled FROM sig")
@@ -56,7 +56,7 @@ def sample_weights(spark, sf_dir):
 @query(f"WITH {_STATE} SELECT s.step, s.category, round(f.slow, 6) AS slow FROM placed s JOIN fold f ON f.category = s.category AND f.step = (s.step // 5) * 5 WHERE s.step >= 5")
 def weights_at_refresh_step(spark, sf_dir):
     """The state that weights at a step are of: that of the last refresh, here every 5 steps."""
-    state = rewards.emas(_series(spark, sf_dir))
+    state = written(rewards.emas(_series(spark, sf_dir)), "state")  # joined with itself
     asked = state.select("category", "step", rewards.refresh_step(F.col("step"), 5).alias("at")).filter("at is not null")
     return asked.join(state.select("category", F.col("step").alias("at"), "slow"), ["category", "at"]).select("step", "category", F.round("slow", 6).alias("slow"))
 
