@@ -89,6 +89,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     """rows: rid, doc_id, source, text, whole. rid, doc_id, ident, source, size of each row, and again: its number among the rows alike in ident, source and size,
     which go by the hashes of their texts, then by whole. Rows alike in all of these are one as good as the other; rid deals them out over the ranges, so no task numbers all of them."""
     sized = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id"), _ident().alias("ident"), "source", words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("h"), "whole")
+    sized = written(sized, "words")  # dealing out by range reads its rows twice: not the texts
     return written(running(sized, ["ident", "source", "size"], ["h", "whole", "rid"], name="again").drop("h", "whole"), "sized")
 
 
