@@ -70,7 +70,7 @@ _PATTERNS = [
     ("secret", re.compile(rf"{_WORDS_OF_SECRETS}[\"']?\s?(?:=>|[=:])\s((?=[^\s\"'<>]*\d){_VALUE}(?<=\S{{6}}))"), "word"),
     ("secret", re.compile(r"\b[Bb]earer ([A-Za-z0-9._~+/-]{16,}=*)"), "bearer"),
     ("secret", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([A-Za-z0-9+/=\s]*+)-----END"), "pem"),
-    ("secret", re.compile(rf"{_WORDS_OF_SECRETS} (?:is|was|ist|lautet|est|es):? [\"'“]?((?=[^\s\"'<>“”]*\d){_VALUE}(?<=\S{{6}}))"), "word"),
+    ("secret", re.compile(rf"{_WORDS_OF_SECRETS} (?:is|was|ist|lautet|est|es):? [\"'“]?((?=[^\s\"'<>“”]*\d)[^\s\"'<>“”]*[^\s\"'<>“”.,;:)\]}}](?<=\S{{6}}))"), "word"),
     ("secret", re.compile(r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)\b"), "mark"),
     ("secret", re.compile(r"\b(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*\d)[0-9A-F]{32,64})\b", re.A), "hex"),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A), "account"),
