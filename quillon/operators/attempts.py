@@ -16,7 +16,8 @@ from quillon.operators.gates import chosen_answer, wants_second
 from quillon.sources.io import exists
 
 MOST, FIRST_SEED, SEEDS_APART = 3, 42, 100
-#: What an attempt comes to: the first two end a row's attempts.
+#: Columns that an attempt makes, and what it comes to: the first two verdicts end a row's attempts.
+MADE = ("text", "tokens", "ended", "parsed", "reasoning", "answer", "results", "seed")
 ACCEPTED, BROKEN, UNPARSED, CUT, FAILED = "accepted", "checker_error", "missing_or_empty_thinking_delimiter", "max_new_tokens_reached", "constraint_check_failed"
 
 
@@ -57,7 +58,8 @@ def attempts(
 ) -> DataFrame:
     """A record for each attempt: key, attempt (from 0), text, tokens, reasoning, answer, results, verdict.
 
-    Attempt k is a table at path/attempt-k of the rows that no attempt before has ended, written before attempt k + 1 reads which of them are left. Called again
+    Attempt k is a table at path/attempt-k of the rows that no attempt before has ended; those that it does not end are in it with all their columns (but those named like a record's), so attempt
+    k + 1 reads them from there, without a join. Called again
     with the same path after any interruption, steps that are whole are read, no prompt of theirs is asked again, and the rest goes on. results gives, for a column of
     answers, an array of booleans over the prompts' columns, null where the checks cannot be made: that ends a row, as does an array that is all true. finished: keys
     of earlier runs, which are left out. The seed of an attempt is 42 + 100 * place + attempt; without a place (a number of each row's own) the key's hash is one, so a rerun asks the same.
@@ -73,19 +75,20 @@ def attempts(
     for k in range(most):
         step = f"{path}/attempt-{k}"
         if not _done(spark, step):
-            asked = left.withColumn("seed", FIRST_SEED + SEEDS_APART * number + k)
-            for before in steps[-1:]:
-                asked = asked.join(spark.read.parquet(before).filter(~F.col("verdict").isin(ACCEPTED, BROKEN)).select(key), key, "left_semi")
+            asked = spark.read.parquet(steps[-1]).filter("row is not null").select("row.*") if steps else left
+            asked = asked.withColumn("seed", FIRST_SEED + SEEDS_APART * number + k)
             got = sampled(asked, factory, prompt).withColumn("parsed", parse_reasoning(F.col("text")))
             got = got.withColumns({"reasoning": F.col("parsed")["reasoning"], "answer": F.col("parsed")["answer"]})
             got = got.withColumn("results", results(F.col("answer")))
             cut = (F.col("tokens") >= max_tokens) & ~F.col("ended")
             verdict = F.when(F.col("parsed").isNull(), UNPARSED).when(F.col("results").isNull(), BROKEN).when(cut, CUT).when(F.forall("results", lambda x: x), ACCEPTED).otherwise(FAILED)
-            got.select(key, F.lit(k).alias("attempt"), "text", "tokens", cut.alias("cut"), "reasoning", "answer", "results", verdict.alias("verdict")).write.mode("overwrite").parquet(step)
+            row = F.struct(*(F.col(f"`{c}`") for c in left.columns if c not in MADE))  # what the next attempt needs, of the rows that it asks
+            record = got.select(key, F.lit(k).alias("attempt"), "text", "tokens", cut.alias("cut"), "reasoning", "answer", "results", verdict.alias("verdict"), row.alias("row"))
+            record.withColumn("row", F.when(~F.col("verdict").isin(ACCEPTED, BROKEN), F.col("row"))).write.mode("overwrite").parquet(step)
         steps.append(step)
         if not spark.read.parquet(step).filter(~F.col("verdict").isin(ACCEPTED, BROKEN)).take(1):
             break
-    return reduce(DataFrame.unionByName, (spark.read.parquet(s) for s in steps))
+    return reduce(DataFrame.unionByName, (spark.read.parquet(s).drop("row") for s in steps))
 
 
 def outcomes(records: DataFrame, key: str = "id") -> DataFrame:
