@@ -118,7 +118,8 @@ def allowed(bucket: Column, n_terms: Column, request: Column) -> Column:
     for name, barred in BARRED.items():
         out = F.when(bucket == name, _strings([k for k in KINDS if k not in barred])).otherwise(out)
     out = F.when(n_terms > 0, out).otherwise(F.array_except(out, _strings(KEYWORD_KINDS)))
-    return F.when(F.length(request) > REPEAT_LIMIT, F.array_except(out, _strings(["combination:repeat_prompt"]))).otherwise(out)
+    # a null request cannot be repeated either
+    return F.when(F.length(request) <= REPEAT_LIMIT, out).otherwise(F.array_except(out, _strings(["combination:repeat_prompt"])))
 
 
 def _lookup(kinds: Column, values: dict, none: Column) -> Column:

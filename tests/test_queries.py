@@ -57,3 +57,17 @@ def test_partition_count_does_not_matter(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     assert sorted(map(repr, registry.QUERIES["stratified_topk"](spark, SF).collect())) == rows
     spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+@pytest.mark.parametrize("lines", [["Éréré.", "ñaña ûû"], ["a" * 25, "incomprehensibly unquestionable"], [None, ""]], ids=["accents", "long words", "nothing"])
+def test_constraint_sampling_knows_terms_as_its_sql_does(spark, tmp_path, lines):
+    con = duckdb.connect()
+    con.execute("create table documents as select cast(unnest(range(60)) as bigint) as doc_id, 's' as source, cast(null as varchar) as text")
+    for i, line in enumerate(lines):
+        con.execute("update documents set text = $1 where doc_id % $2 = $3", [line and f"{line}\nan answer", len(lines), i])
+    con.execute("create table labels as select doc_id, 1 as quality, 0 as toxic from documents")
+    for t in ("documents", "labels"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    want = con.execute(registry.ORACLE_SQL["constraint_sampling"]).fetchall()
+    assert len(want) == 60
+    assert sorted(map(tuple, registry.QUERIES["constraint_sampling"](spark, str(tmp_path)).collect())) == sorted(want)
