@@ -204,7 +204,7 @@ def _inside(groups: DataFrame, classes: DataFrame, sets: DataFrame, threshold: f
     faced = faced.withColumn("against", place("shell2", F.col("k"))).join(sets.withColumnRenamed("cls", "node"), "node")
     faced = faced.select("root", F.least("block", "against").alias("lo"), F.greatest("block", "against").alias("hi"), F.col("node").alias("cls"), "n", "grams", "block")
     met = written(faced.groupBy("root", "lo", "hi").applyInArrow(_counter(threshold), "cls long, links double, root long"), "counted")
-    joined = joined.union(met.filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")).distinct())
+    joined = joined.union(met.filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     return counted.union(met.select("cls", "links")).select("cls", F.col("links").cast("long").alias("links")), joined
 
 
@@ -312,7 +312,7 @@ def _solved(docs: DataFrame, ngram: int, threshold: float, recall: float, loose:
     counted, links = _inside(groups, classes, sets, threshold, block)
     # and pairs of a bucket from different families
     placed = crowd.join(star, ["a", "b"], "left").select("band", F.col("b").alias("node"), (1 - F.coalesce("near", F.lit(1.0))).alias("far"))
-    placed = placed.join(groups, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"), "far")
+    placed = written(placed.join(groups, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"), "far"), "members")
     across = _across(placed, sets, threshold, bands)
     across = written(_compared(across.join(star, ["a", "b"], "left_anti"), sets).filter(F.col("near") >= threshold).select("a", "b"), "across")
     final = components(links.union(across))

@@ -234,6 +234,18 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_take_few_steps(spark, monkeypatch):
+    """Buckets' smallest members beside one that all share: every step that is written costs a task for each partition, however small the graph."""
+    steps = []
+    put = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: steps.append(label) or put(df, label))
+    edges = [(i, b) for i in range(20, 200) for b in (0, i % 7 + 1)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 0 for e in edges for x in e}
+    assert len(steps) <= 6
+
+
+
 def test_ngram_join(spark, docs, corpus, none, clash):
     want = ngram_join.brute(corpus)
     for block in (ngram_join.BLOCK, 4):
